@@ -117,16 +117,11 @@ def words(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 def _words_of_block(body, starts, edges, lo, hi):
     part = body[lo:hi]
     solid = ~IS_SPACE[part]
-    opens = np.ones(len(part) + 1, bool)  # a word may begin here if the byte before is no part of it
-    opens[1:] = ~np.append(solid[:-1], True)[: len(part)] if len(part) == 0 else False
-    opens[1:-1] = ~solid[:-1]
-    inner = edges[(edges >= lo) & (edges < hi)] - lo
-    opens[inner] = True
-    opens[-1] = True
-    first = np.flatnonzero(solid & opens[:-1])
-    closes = opens[1:].copy()
-    closes[:-1] |= ~solid[1:]
-    last = np.flatnonzero(solid & closes) + 1
+    edge = np.zeros(len(part) + 1, bool)
+    edge[edges[(edges >= lo) & (edges <= hi)] - lo] = True
+    edge[[0, -1]] = True
+    first = np.flatnonzero(solid & (edge[:-1] | np.append(True, ~solid[:-1])))
+    last = np.flatnonzero(solid & (edge[1:] | np.append(~solid[1:], True))) + 1
     power, inverse = _powers(len(part) + 1)
     total = np.zeros(len(part) + 1, np.uint64)
     np.cumsum(BYTE_WORD[LOWER[part]] * power[: len(part)], out=total[1:])
