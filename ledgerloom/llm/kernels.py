@@ -85,38 +85,38 @@ def row_blocks(starts: np.ndarray, ends: np.ndarray, limit: int = BLOCK) -> Iter
         i = j
 
 
-def words(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word of the rows, in order; words are the pattern above with A-Z in lower case.
+def words(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray = IS_SPACE, prefixes: tuple[int, ...] = ()):
+    """Hash and row of every word of the rows, in order; words are runs of bytes outside ``gap``, A-Z in lower case.
+
+    For each of ``prefixes`` a third part holds the hashes of the first so many bytes, 0 for words no longer than that.
 
     Long stretches are hashed piece by piece, cut at white space or at the end of a row.
     """
     if not len(starts) or ends[-1] <= starts[0]:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes, rows, lo, hi = [], [], int(starts[0]), int(ends[-1])
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), *([np.zeros(0, np.uint64)] * len(prefixes)))
+    parts, lo, hi = [], int(starts[0]), int(ends[-1])
     edges = np.unique(np.concatenate([starts, ends]))
     while lo < hi:
         cut = min(lo + BLOCK, hi)
         if cut < hi:
-            spaces = np.flatnonzero(IS_SPACE[body[lo:cut]])
+            spaces = np.flatnonzero(gap[body[lo:cut]])
             k = int(np.searchsorted(edges, cut, "right")) - 1
             best = max(lo + int(spaces[-1]) + 1 if len(spaces) else lo, int(edges[k]))
             if best <= lo:  # one word fills the block: take it whole
                 later = edges[edges > lo]
                 cut = int(later[0])
-                spaces = np.flatnonzero(IS_SPACE[body[lo:cut]])
+                spaces = np.flatnonzero(gap[body[lo:cut]])
                 cut = lo + int(spaces[0]) + 1 if len(spaces) else cut
             else:
                 cut = best
-        h, r = _words_of_block(body, starts, edges, lo, cut)
-        hashes.append(h)
-        rows.append(r)
+        parts.append(_words_of_block(body, starts, edges, lo, cut, gap, prefixes))
         lo = cut
-    return np.concatenate(hashes), np.concatenate(rows)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _words_of_block(body, starts, edges, lo, hi):
+def _words_of_block(body, starts, edges, lo, hi, gap, prefixes):
     part = body[lo:hi]
-    solid = ~IS_SPACE[part]
+    solid = ~gap[part]
     edge = np.zeros(len(part) + 1, bool)
     edge[edges[(edges >= lo) & (edges <= hi)] - lo] = True
     edge[[0, -1]] = True
@@ -126,7 +126,13 @@ def _words_of_block(body, starts, edges, lo, hi):
     total = np.zeros(len(part) + 1, np.uint64)
     np.cumsum(BYTE_WORD[LOWER[part]] * power[: len(part)], out=total[1:])
     hashed = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
-    return hashed, np.searchsorted(starts, first + lo, "right") - 1
+    heads = []
+    for size in prefixes:
+        longer = np.flatnonzero(last - first > size)
+        head = np.zeros(len(first), np.uint64)
+        head[longer] = mix((total[first[longer] + size] - total[first[longer]]) * inverse[first[longer]] + _U(size << 32))
+        heads.append(head)
+    return (hashed, np.searchsorted(starts, first + lo, "right") - 1, *heads)
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, width: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +192,8 @@ def parity_sketch(values: np.ndarray) -> bytes:
     Its size follows that of the set, so that it can tell large sets apart too.
     """
     n = len(values)
-    bits = 256 if n < 512 else 2048 if n < 4096 else 16384
-    where = (values >> _U(50)).astype(np.int64) & (bits - 1)
+    bits = 1 << min(max((2 * n).bit_length(), 8), 16)
+    where = (values >> _U(48)).astype(np.int64) & (bits - 1)
     odd = (np.bincount(where, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).tobytes()
 

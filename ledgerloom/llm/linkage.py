@@ -34,6 +34,12 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL_ROWS else df
 
 
+def small_lists(df: DataFrame, column: str, entries: int = SMALL_ROWS) -> DataFrame:
+    """Marked for broadcast if its lists hold few entries in all."""
+    total = df.select(F.sum(F.size(column))).first()[0] or 0
+    return F.broadcast(df) if total <= entries else df
+
+
 def may_be_similar(n: np.ndarray, m: np.ndarray, differ: np.ndarray, num: int, den: int) -> np.ndarray:
     """False only where den * |A & B| >= num * |A | B| is impossible, given sizes and a lower bound of |A ^ B|."""
     return (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (differ * (num + den) <= (den - num) * (n + m))
@@ -69,11 +75,11 @@ def _verify(num: int, den: int):
 
 
 def _pairs_across(num: int, den: int):
-    """Rows (key, node, root, n, sketch) sorted by key, to the pairs of one key in different components that may be similar."""
+    """Rows (key, node, root, own, n, sketch) sorted by key, to the pairs of one key in different components that may be similar."""
 
-    def of_bucket(node, root, n, sketch) -> Iterator[pa.RecordBatch]:
+    def of_bucket(node, root, own, n, sketch) -> Iterator[pa.RecordBatch]:
         order = np.argsort(n, kind="stable")
-        node, root, n = node[order], root[order], n[order]
+        node, root, own, n = node[order], root[order], own[order], n[order]
         raw = [sketch[i] for i in order]
         for i in range(0, len(node), _BLOCK):
             # sizes ascend: partners of this block end where sizes are too large
@@ -85,7 +91,7 @@ def _pairs_across(num: int, den: int):
                 theirs = np.stack([kernels.fold(np.frombuffer(b, np.uint8), size) for b in raw[j:stop]])
                 for k in range(len(mine)):
                     d = np.bitwise_count(theirs ^ mine[k]).sum(1, dtype=np.int64)
-                    ok = may_be_similar(n[j:stop], n[i + k], d, num, den) & (root[j:stop] != root[i + k])
+                    ok = may_be_similar(n[j:stop], n[i + k], d, num, den) & (root[j:stop] != root[i + k]) & (own[j:stop] | own[i + k])
                     if j == i:
                         ok[: k + 1] = False
                     hit = np.flatnonzero(ok)
@@ -111,43 +117,51 @@ def _pairs_across(num: int, den: int):
 
     def of_rows(parts):
         t = pa.Table.from_batches(parts)
-        node, root, n = (t.column(i).to_numpy() for i in (1, 2, 3))
-        yield from of_bucket(node, root, n, t.column(4).to_pylist())
+        node, root, own, n = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
+        yield from of_bucket(node, root, own.astype(bool), n, t.column(5).to_pylist())
 
     return run
 
 
 def link(
     candidates: DataFrame,
-    meta: DataFrame,
+    meta: DataFrame | None,
     fetch: Callable[[DataFrame], DataFrame],
     num: int,
     den: int,
 ) -> DataFrame:
     """Components of the graph that links sets of a common signature with den * |A & B| >= num * |A | B|.
 
-    candidates ``(key long, node long)``; meta ``(node long, n long, sketch binary)``, which must cover all nodes;
-    ``fetch(nodes)`` gives ``(node long, feats binary)``: the sorted distinct 64-bit features of the nodes asked for.
+    candidates ``(key long, node long, own boolean)``: own is false for a set that is in a bucket only to meet others
+    that are there on their own account; two such guests need not be compared. meta ``(node long, n long, sketch binary)``, which must cover all nodes, or
+    None to derive it from the features of the nodes that share a signature; ``fetch(nodes)`` gives ``(node long, feats binary)``: the sorted distinct 64-bit features of the nodes asked for.
     Returns ``(node, root)`` for nodes that have a link; root is the least node of the component.
     """
     spark = candidates.sparkSession
     ship(spark)
-    own = Window.partitionBy("key")
-    shared = candidates.select("key", "node", F.min("node").over(own).alias("leader"), F.max("node").over(own).alias("far"))
-    shared = stage(shared.where("leader <> far").select("key", "node", "leader"), "shared")
+    same = Window.partitionBy("key")
+    shared = candidates.select("key", "node", "own", F.min("node").over(same).alias("leader"), F.max("node").over(same).alias("far"), F.max("own").over(same).alias("any"))
+    shared = stage(shared.where("leader <> far and any").select("key", "node", "own", "leader"), "shared")
+
+    kept = None
+    if meta is None:
+        nodes = stage(shared.select("node").distinct(), "nodes")
+        kept = stage(fetch(nodes), "feats")
+        meta = kept.mapInArrow(_describe, "node long, n long, sketch binary")
+        drop(nodes)
 
     stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = _verified(stage(_pruned(stars, meta, num, den), "stars"), fetch, num, den)
+    first = _verified(stage(_pruned(stars, meta, num, den), "stars"), fetch, num, den, kept)
     roots = components(first)
 
-    placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    placed = placed.select("key", "node", "root", F.min("root").over(own).alias("lo"), F.max("root").over(own).alias("hi"))
-    open_rows = stage(placed.where("lo <> hi").select("key", "node", "root"), "open")
-    with_meta = open_rows.join(meta, "node").select("key", "node", "root", "n", "sketch")
+    placed = shared.join(roots, "node", "left").select("key", "node", "own", F.coalesce("root", "node").alias("root"))
+    placed = placed.select("key", "node", "own", "root", F.min("root").over(same).alias("lo"), F.max("root").over(same).alias("hi"))
+    open_rows = stage(placed.where("lo <> hi").select("key", "node", "root", "own"), "open")
+    with_meta = open_rows.join(meta, "node").select("key", "node", "root", "own", "n", "sketch")
     spread = with_meta.repartition("key").sortWithinPartitions("key")
     pairs = stage(spread.mapInArrow(_pairs_across(num, den), "a long, b long").distinct(), "pairs")
-    second = _verified(pairs, fetch, num, den)
-    drop(shared, open_rows, pairs)
+    second = _verified(pairs, fetch, num, den, kept)
+    drop(shared, open_rows, pairs, *([kept] if kept is not None else []))
     if second.isEmpty():
         return roots
     final = components(first.union(second))
@@ -161,11 +175,21 @@ def _pruned(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
     return with_meta.mapInArrow(_prune(num, den), "a long, b long")
 
 
-def _verified(pairs: DataFrame, fetch, num: int, den: int) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    nodes = stage(nodes, "wanted")
-    feats = stage(fetch(nodes), "feats")
+def _describe(batches):
+    for x in batches:
+        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in x.column(1)]
+        sketches = [kernels.parity_sketch(s) for s in sets]
+        yield pa.record_batch([x.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
+
+
+def _verified(pairs: DataFrame, fetch, num: int, den: int, feats: DataFrame | None = None) -> DataFrame:
+    """The pairs that are similar by their sets; feats are the sets if they are at hand."""
+    own = []
+    if feats is None:
+        nodes = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+        feats = stage(fetch(nodes), "feats")
+        own = [nodes, feats]
     both = pairs.join(feats.toDF("a", "x"), "a").join(feats.toDF("b", "y"), "b").select("a", "b", "x", "y")
     found = stage(both.mapInArrow(_verify(num, den), "a long, b long").distinct(), "links")
-    drop(nodes, feats)
+    drop(*own)
     return found

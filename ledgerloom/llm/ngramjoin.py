@@ -86,8 +86,9 @@ def _salts(tag: int, n1: int, ways: int) -> np.ndarray:
     return kernels.mix(x + np.uint64((tag + 1) << 40))
 
 
-def signatures(values: np.ndarray, mixed: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of one set: ``values`` its sorted distinct hashes, ``mixed`` a second hash of each."""
+def signatures(values: np.ndarray, mixed: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """Signatures of one set, those of its own band and those of the next: ``values`` its sorted distinct hashes,
+    ``mixed`` a second hash of each."""
     out = []
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(mixed, out=total[1:])
@@ -95,6 +96,7 @@ def signatures(values: np.ndarray, mixed: np.ndarray, num: int, den: int) -> np.
     for tag in (own, own + 1):
         k, n1, n2, k2, spare = plan(tag, num, den)
         if k == 0:
+            out.append(np.zeros(0, np.uint64))
             continue  # only equal sets are similar, and those are one class already
         cells = n1 * n2
         edges = np.arange(cells + 1, dtype=np.uint64) * np.uint64((2**64 - 1) // cells)
@@ -111,7 +113,7 @@ def signatures(values: np.ndarray, mixed: np.ndarray, num: int, den: int) -> np.
         keys = kernels.mix(content + _salts(tag, n1, len(choices)))
         empty = held == 0
         out.append(keys.ravel() if empty.any(1).sum() > spare else keys[~empty])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return out
 
 
 def _sets(batches, width):
@@ -146,7 +148,7 @@ def _sign(width, num, den):
         for ids, values, at in _sets(batches, width):
             mixed = kernels.mix(values + np.uint64(77))
             same = kernels.segment_sums(mixed, at)
-            keys, nodes, held = [], [], 0
+            keys, nodes, owns, held = [], [], [], 0
             for i in range(len(ids)):
                 a, b = at[i], at[i + 1]
                 mark = (int(same[i]), int(b - a))
@@ -154,21 +156,22 @@ def _sign(width, num, den):
                     continue
                 if len(seen) < _SEEN:
                     seen.add(mark)
-                k = signatures(values[a:b], mixed[a:b], num, den)
-                keys.append(k)
-                nodes.append(np.full(len(k), ids[i]))
-                held += len(k)
+                for own, k in zip((True, False), signatures(values[a:b], mixed[a:b], num, den), strict=True):
+                    keys.append(k)
+                    nodes.append(np.full(len(k), ids[i]))
+                    owns.append(np.full(len(k), own))
+                    held += len(k)
                 if held >= _ROWS:
-                    yield _rows(keys, nodes)
-                    keys, nodes, held = [], [], 0
+                    yield _rows(keys, nodes, owns)
+                    keys, nodes, owns, held = [], [], [], 0
             if held:
-                yield _rows(keys, nodes)
+                yield _rows(keys, nodes, owns)
 
     return run
 
 
-def _rows(keys, nodes):
-    return pa.record_batch([pa.array(kernels.signed(np.concatenate(keys))), pa.array(np.concatenate(nodes))], names=["key", "node"])
+def _rows(keys, nodes, owns):
+    return pa.record_batch([pa.array(kernels.signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(owns))], names=["key", "node", "own"])
 
 
 def _features(width):
@@ -198,7 +201,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.max("node").alias("far"))
     classes = stage(classes, "classes")
     # signed rows bear the id of a copy, not of its class; equal sets among them meet in all their buckets anyway
-    candidates = slim.mapInArrow(_sign(width, num, den), "key long, node long")
+    candidates = slim.mapInArrow(_sign(width, num, den), "key long, node long, own boolean")
     meta = profile.where("n > 0").select("node", "n", "sketch").dropDuplicates(["node", "n"])
 
     def fetch(nodes: DataFrame) -> DataFrame:
