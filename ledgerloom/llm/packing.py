@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.runtime import drop, ship, stage
 
-#: Pieces below which the rest is placed best fit, and the most rounds of the program before that.
-REST, ROUNDS, STEPS = 2_000, 12, 40
+#: Pieces below which the rest is placed best fit; the most rounds of the program before that, steps of a round, share of
+#: a solution that a round uses before it solves again, how sharply weights follow cover, and how near the best price a
+#: configuration must be.
+REST, ROUNDS, STEPS, STRIDE, SHARP, NEAR = 20_000, 60, 24, 0.3, 4.0, 0.02
 #: Texts of these characters only are split alike by both tokenizer libraries; all others go to the slower one.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ſ]")
 _END = 0
@@ -129,12 +131,12 @@ def _shares(left: np.ndarray, capacity: int, steps: int) -> dict[tuple[int, ...]
     weight = np.zeros(capacity + 1)
     for step in range(steps):
         ratio = cover[lengths] / left[lengths]
-        weight[lengths] = lengths / capacity * np.exp(-4.0 * (ratio - ratio.min()) / (ratio.mean() + 1e-9) if step else 0.0)
+        weight[lengths] = lengths / capacity * np.exp(-SHARP * (ratio - ratio.min()) / (ratio.mean() + 1e-9) if step else 0.0)
         gain = np.full(capacity, -1.0)
         gain[lengths - 1] = weight[lengths]
         best, take = _knapsack(gain, capacity)
         worth = weight[lengths] + best[capacity - lengths]
-        good = lengths[worth >= (1 - 0.15) * worth.max()] if step else lengths
+        good = lengths[worth >= (1 - NEAR) * worth.max()]
         for x in good.tolist():
             left[x] -= 1
             pattern = tuple(sorted([x, *_fill(take, capacity - x, left)], reverse=True))
@@ -177,18 +179,19 @@ def configurations(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
     for _ in range(ROUNDS):
-        if left.sum() <= REST:
+        before = left.sum()
+        if before <= REST:
             break
         shares = _shares(left, capacity, STEPS)
-        scale = max(1e-12, min(1.0, 1.0 / max(1e-12, _overuse(shares, left, capacity))))
-        before = left.sum()
-        for pattern, share in sorted(shares.items(), key=lambda p: (capacity - sum(p[0]), -p[1], p[0])):
+        scale = STRIDE / max(1e-12, _overuse(shares, left, capacity))
+        for pattern, share in sorted(shares.items(), key=lambda p: (-p[1], p[0])):
             names, times = np.unique(pattern, return_counts=True)
-            n = int(min(np.floor(share * scale + 1e-9), (left[names] // times).min()))
+            wanted = share * scale
+            n = int(min(np.floor(wanted) if before > 5 * REST else np.ceil(wanted), (left[names] // times).min()))
             if n > 0:
                 out.append((pattern, n))
                 left[names] -= n * times
-        if left.sum() > 0.98 * before:
+        if left.sum() > 0.97 * before:
             break
     counts: dict[tuple[int, ...], int] = {}
     for pattern in best_fit(left, capacity):
