@@ -31,74 +31,92 @@ _ORDERS = np.random.Generator(np.random.PCG64(7)).integers(0, BANDS * ROWS, (64,
 _BAND_SALT = kernels.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
+_EMPTY = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+
+
 def lines(body: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """Non-blank lines of a block of rows.
 
-    Returns row, line number, two hashes of the normal form, and its shingles as (values, line index), unsorted.
+    Returns row, line number, two hashes of the normal form, its shingles as (values, line index) in line order and
+    unsorted, and the first and one-past-last byte of each line in ``body``.
     """
     lo, hi = int(starts[0]), int(ends[-1])
     part = body[lo:hi]
     at = np.flatnonzero((part & 0xC0) != 0x80)
-    if not len(at):
-        z = np.zeros(0, np.int64)
-        return z, z, z.view(np.uint64), z.view(np.uint64), z.view(np.uint64), z
-    lead = part[at]
-    value = kernels.LOWER[lead].astype(np.uint64)
-    wide = np.flatnonzero(lead >= 0xC0)
-    if len(wide):
+    n = len(at)
+    if not n:
+        return _EMPTY
+    plain = n == len(part)
+    lead = part if plain else part[at]
+    letter = kernels.BYTE_WORD[kernels.LOWER[lead]]
+    if not plain:
+        wide = np.flatnonzero(lead >= 0xC0)
         chained = np.ones(len(wide), bool)
         padded = np.append(part, np.zeros(4, np.uint8))
+        code = np.zeros(len(wide), np.uint64)
         for t in (1, 2, 3):
             follow = padded[at[wide] + t]
             chained &= (follow & 0xC0) == 0x80
-            value[wide] |= np.where(chained, follow, 0).astype(np.uint64) << _U(8 * t)
-    n = len(at)
+            code |= np.where(chained, follow, 0).astype(np.uint64) << _U(8 * t)
+        letter[wide] = kernels.mix(letter[wide] + code)
     space, feed = kernels.IS_SPACE[lead], lead == 0x0A
-    opens = np.zeros(n, bool)
-    opens[1:] = feed[:-1]
+    feed_at = np.flatnonzero(feed)
     row_first = np.searchsorted(at, starts[ends > starts] - lo)
-    opens[row_first[row_first < n]] = True
-    opens[0] = True
-    line = np.cumsum(opens) - 1
-    line_at = np.flatnonzero(opens)
-    solid_before = np.concatenate([[0], np.cumsum(~space)])
-    begun = (solid_before[:-1] - solid_before[line_at][line]) > 0
-    bridge = np.zeros(n, bool)
-    bridge[:-1] = space[:-1] & ~space[1:] & ~opens[1:]
-    keep = ~space | (bridge & begun)
-    value[bridge] = 0x20
+    line_at = np.unique(np.concatenate([[0], feed_at + 1, row_first]))
+    line_at = line_at[line_at < n]
+    # of a run of spaces inside a line the last one stays
+    keep = ~space
+    bridge = np.flatnonzero(space[:-1] & keep[1:])
+    opening = np.zeros(n + 1, bool)
+    opening[line_at] = True
+    bridge = bridge[~opening[bridge + 1]]
+    odd = opening[bridge] | space[np.maximum(bridge, 1) - 1]
+    begun = ~odd
+    if odd.any():
+        solid = np.flatnonzero(keep)
+        before = np.searchsorted(solid, bridge[odd]) - 1
+        own = line_at[np.searchsorted(line_at, bridge[odd], "right") - 1]
+        begun[odd] = (before >= 0) & (solid[np.maximum(before, 0)] >= own)
+    bridge = bridge[begun]
+    keep[bridge] = True
+    letter[bridge] = kernels.BYTE_WORD[0x20]
+    size = np.add.reduceat(keep.view(np.int8), line_at, dtype=np.int64)
+    kept = np.flatnonzero(size)
+    if not len(kept):
+        return _EMPTY
     row = np.searchsorted(starts, at[line_at] + lo, "right") - 1
-    feeds = np.concatenate([[0], np.cumsum(feed)])
-    row_at = np.searchsorted(at, starts - lo)
-    number = feeds[line_at] - feeds[row_at[row]]
-
-    letters = kernels.mix(value[keep] + _U(0x51ED27))
-    owner = line[keep]
-    if not len(letters):
-        z = np.zeros(0, np.int64)
-        return z, z, z.view(np.uint64), z.view(np.uint64), z.view(np.uint64), z
-    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    last = np.append(first[1:], len(owner))
-    power, inverse = kernels._powers(len(owner) + 1)
-    size = (last - first).astype(np.uint64)
-    hashes = []
-    for x in (letters, (letters >> _U(29)) * kernels._ODD[50] + letters):
-        total = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(x * power[: len(x)], out=total[1:])
-        hashes.append(kernels.mix((total[last] - total[first]) * inverse[first] + size))
-    kept = owner[first]
-    index = np.cumsum(np.append(False, owner[1:] != owner[:-1]))
+    number = np.searchsorted(feed_at, line_at) - np.searchsorted(feed_at, np.searchsorted(at, starts - lo))[row]
+    bounds = np.append(at[line_at], len(part)) + lo
+    first_byte, past = bounds[:-1][kept], bounds[1:][kept]
+
+    letters, size = letter[keep], size[kept]
+    last = np.cumsum(size)
+    first = last - size
+    power, inverse = kernels._powers(len(letters) + 1)
+    total = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(letters * power[: len(letters)], out=total[1:])
+    h1 = kernels.mix((total[last] - total[first]) * inverse[first] + size.astype(np.uint64))
+    h2 = kernels.mix(np.add.reduceat(letters, first) + size.astype(np.uint64))
 
     x, reach = letters, 1
     while reach < CHARS:
         x = x[:-reach] * kernels._ODD[reach] + x[reach:] if len(x) > reach else x[:0]
         reach *= 2
-    same = index[: len(x)] == index[len(index) - len(x) :]
-    values, of = kernels.mix(x[same]), index[: len(x)][same]
-    short = np.flatnonzero(last - first < CHARS)
+    # a line of fewer characters than a shingle gives its whole form
+    count = np.maximum(size - CHARS + 1, 1)
+    of = np.repeat(np.arange(len(kept)), count)
+    short = np.flatnonzero(size < CHARS)
     if len(short):
-        values, of = np.concatenate([values, hashes[0][short]]), np.concatenate([of, short])
-    return row[kept], number[kept], hashes[0], hashes[1], values, of
+        x = np.append(x, np.zeros(CHARS, np.uint64))[: len(letters)]
+        x[first[short]] = h1[short]
+    whole = np.ones(len(letters), bool)
+    tail = last[:, None] - 1 - np.arange(CHARS - 1)
+    whole[tail[tail > first[:, None]]] = False
+    values = x[whole[: len(x)]]
+    values = values ^ (values >> _U(32))
+    values *= _U(0xD6E8FEB86659FD93)
+    values ^= values >> _U(29)
+    return row[kept], number[kept], h1, h2, values, of, first_byte, past
 
 
 def band_keys(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -128,16 +146,16 @@ def band_keys(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 def _blocks(batch, text_at):
     body, starts, ends = kernels.string_buffers(batch.column(text_at))
-    for i, j in kernels.row_blocks(starts, ends, kernels.BLOCK // 2):
+    for i, j in kernels.row_blocks(starts, ends, kernels.BLOCK // 8):
         if ends[j - 1] > starts[i]:
-            yield i, lines(body, starts[i:j], ends[i:j])
+            yield i, body, lines(body, starts[i:j], ends[i:j])
 
 
 def _sign(batches):
     seen: set[int] = set()
     for batch in batches:
         node, mark = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        for i, (row, number, h1, h2, values, of) in _blocks(batch, 2):
+        for i, _, (row, number, h1, h2, values, of, _, _) in _blocks(batch, 2):
             n = len(row)
             if not n:
                 continue
@@ -159,24 +177,28 @@ def _sign(batches):
 
 
 def _wanted(batches):
-    """Rows (wanted hashes, text) to the shingle sets of the lines wanted."""
+    """Rows (wanted line numbers, text) to the hash and text of those lines."""
     for batch in batches:
         wanted = batch.column(0)
-        for i, (row, _, h1, _, values, of) in _blocks(batch, 1):
+        for i, body, (row, number, h1, _, _, _, a, b) in _blocks(batch, 1):
             if not len(row):
                 continue
-            sets = {int(r): set(wanted[i + int(r)].as_py()) for r in np.unique(row)}
-            named = kernels.signed(h1)
-            take = np.array([h in sets[r] for h, r in zip(named.tolist(), row.tolist(), strict=True)], bool)
-            if not take.any():
-                continue
-            place = np.cumsum(take) - 1
-            mine = take[of]
-            of, values, n = place[of[mine]], values[mine], int(take.sum())
-            order = np.argsort(of, kind="stable")
-            values, at = kernels.distinct_sorted(values[order], of[order], n)
-            feats = [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([pa.array(named[take]), pa.array(feats, pa.binary())], names=["node", "feats"])
+            numbers = {int(r): set(wanted[i + int(r)].as_py()) for r in np.unique(row)}
+            take = [k for k, (r, x) in enumerate(zip(row.tolist(), number.tolist(), strict=True)) if x in numbers[r]]
+            texts = [body[a[k] : b[k]].tobytes() for k in take]
+            yield pa.record_batch([pa.array(kernels.signed(h1)[take]), pa.array(texts, pa.binary())], names=["node", "feats"])
+
+
+def line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of a column that holds one non-blank line in each row."""
+    body, starts, ends = kernels.string_buffers(column)
+    values, at = [], [np.zeros(1, np.int64)]
+    for i, j in kernels.row_blocks(starts, ends):
+        _, _, _, _, v, of, _, _ = lines(body, starts[i:j], ends[i:j])
+        v, offsets = kernels.distinct_sorted(v, of, j - i)
+        values.append(v)
+        at.append(offsets[1:] + at[-1][-1])
+    return np.concatenate(values) if values else np.zeros(0, np.uint64), np.concatenate(at)
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -205,11 +227,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = found.where("bands is not null").select(F.explode("bands").alias("key"), F.col("h1").alias("node"), F.lit(True).alias("own"))
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        places = nodes.join(classes, "node").groupBy(F.col("first.doc").alias("doc"), F.col("first.mark").alias("mark")).agg(F.collect_list("node").alias("wanted"))
+        places = nodes.join(classes, "node").groupBy(F.col("first.doc").alias("doc"), F.col("first.mark").alias("mark")).agg(F.collect_list("first.line").alias("wanted"))
         places = stage(places, "places")
-        return slim.join(small_lists(places, "wanted"), ["doc", "mark"]).select("wanted", "text").mapInArrow(_wanted, "node long, feats binary").dropDuplicates(["node"])
+        return slim.join(small_lists(places, "wanted"), ["doc", "mark"]).select("wanted", "text").mapInArrow(_wanted, "node long, feats binary")
 
-    roots = link(candidates, None, fetch, NUM, DEN)
+    roots = link(candidates, None, fetch, NUM, DEN, line_sets)
     grouped = classes.join(roots, "node", "left").where("first <> last or root is not null")
     grouped = grouped.select("node", "first", F.coalesce("root", "node").alias("root"))
     keepers = grouped.groupBy("root").agg(F.min("first").alias("keeper"))

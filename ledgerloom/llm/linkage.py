@@ -3,7 +3,8 @@
 A *candidate row* says that a set has a signature. Sets that share a signature may be similar; how surely similar
 sets share one is up to the caller. Three steps find the components of the similarity graph over all such pairs:
 
-1. each bucket of a signature contributes a star from its least member; stars are verified exactly and joined;
+1. each bucket of a signature contributes a star from the member that meets most others over all buckets; stars are
+   verified exactly and joined;
 2. buckets whose members are then all in one component are done, whatever their size: no further link can change it;
 3. of the others, pairs of members in different components are compared inside the bucket, first by bounds that
    never rule out a similar pair (sizes, parity sketches), and the few that pass are verified exactly.
@@ -27,6 +28,8 @@ from ledgerloom.plans.runtime import drop, ship, stage
 #: Rows up to which a table of ids is sent to every executor; a longer one is joined through a shuffle.
 SMALL_ROWS = 1_000_000
 _BLOCK = 1024
+#: Members up to which buckets are compared many at once.
+_SMALL = 64
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -61,65 +64,130 @@ def _prune(num: int, den: int):
     return run
 
 
-def _verify(num: int, den: int):
+Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def stored_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of sets that are stored as the bytes of their sorted 64-bit features."""
+    body, starts, ends = kernels.string_buffers(column)
+    at = np.concatenate([[0], np.cumsum((ends - starts) // 8)])
+    return np.frombuffer(body[starts[0] : ends[-1]].tobytes() if len(starts) else b"", np.uint64), at
+
+
+def _verify(num: int, den: int, sets: Sets):
     def run(batches):
-        for x in batches:
-            ok = np.zeros(x.num_rows, bool)
-            for i, (a, b) in enumerate(zip(x.column(2), x.column(3), strict=True)):
-                s, t = (np.frombuffer(y.as_buffer(), np.uint64) for y in (a, b))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok[i] = den * both >= num * (len(s) + len(t) - both)
-            yield x.select([0, 1]).filter(pa.array(ok))
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BLOCK):
+                x = batch.slice(at, _BLOCK)
+                ok = np.zeros(x.num_rows, bool)
+                (v, i), (w, j) = sets(x.column(2)), sets(x.column(3))
+                for k in range(x.num_rows):
+                    s, t = v[i[k] : i[k + 1]], w[j[k] : j[k + 1]]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    ok[k] = den * both >= num * (len(s) + len(t) - both)
+                yield x.select([0, 1]).filter(pa.array(ok))
 
     return run
 
 
+def _folded(sketches: pa.Array, size: int = 32) -> np.ndarray:
+    """All sketches brought to ``size`` bytes, one row each."""
+    body, starts, ends = kernels.string_buffers(sketches)
+    out = np.zeros((len(starts), size), np.uint8)
+    width = ends - starts
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        wide = body[starts[rows][:, None] + np.arange(w)]
+        out[rows] = np.bitwise_xor.reduce(wide.reshape(len(rows), -1, size), axis=1)
+    return out
+
+
+def _few(t: dict, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of many small buckets at once: by size, component and folded sketch, then by whole sketches."""
+    key, n, root, own, node = t["key"], t["n"], t["root"], t["own"], t["node"]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    ends = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+    count = ends - np.arange(len(key)) - 1
+    for low in range(0, len(key), _BLOCK * 8):
+        high = min(low + _BLOCK * 8, len(key))
+        a = np.repeat(np.arange(low, high), count[low:high])
+        begin = np.cumsum(count[low:high]) - count[low:high]
+        b = a + 1 + np.arange(len(a)) - np.repeat(begin, count[low:high])
+        ok = (root[a] != root[b]) & (own[a] | own[b])
+        a, b = a[ok], b[ok]
+        for at in range(0, len(a), _BLOCK * 16):
+            i, j = a[at : at + _BLOCK * 16], b[at : at + _BLOCK * 16]
+            differ = np.bitwise_count(t["folded"][i] ^ t["folded"][j]).sum(1, dtype=np.int64)
+            ok = np.flatnonzero(may_be_similar(n[i], n[j], differ, num, den))
+            i, j = i[ok], j[ok]
+            whole = np.array([sketch_distance(t["sketch"][x].as_py(), t["sketch"][y].as_py()) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+            ok = may_be_similar(n[i], n[j], whole, num, den)
+            i, j = node[i[ok]], node[j[ok]]
+            if len(i):
+                yield pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+
+def _many(t: dict, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of one large bucket, block against block, in order of size so that most blocks need no look."""
+    order = np.argsort(t["n"], kind="stable")
+    node, root, own, n = (t[c][order] for c in ("node", "root", "own", "n"))
+    raw = [t["sketch"][i].as_py() for i in order.tolist()]
+    for i in range(0, len(node), _BLOCK):
+        # sizes ascend: partners of this block end where sizes are too large
+        until = int(np.searchsorted(n * num, n[min(i + _BLOCK, len(n)) - 1] * den, "right"))
+        size = len(raw[i])
+        bring = lambda some: np.stack([kernels.fold(np.frombuffer(b, np.uint8), size) for b in some])  # noqa: B023, E731
+        mine = bring(raw[i : i + _BLOCK])
+        for j in range(i, until, _BLOCK):
+            stop = min(j + _BLOCK, until)
+            theirs = bring(raw[j:stop])
+            for k in range(len(mine)):
+                ok = (root[j:stop] != root[i + k]) & (own[j:stop] | own[i + k])
+                if j == i:
+                    ok[: k + 1] = False
+                at = np.flatnonzero(ok)
+                d = np.bitwise_count(theirs[at] ^ mine[k]).sum(1, dtype=np.int64)
+                hit = at[may_be_similar(n[j:stop][at], n[i + k], d, num, den)]
+                if len(hit):
+                    a, b = np.full(len(hit), node[i + k]), node[j:stop][hit]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def _pairs_across(num: int, den: int):
     """Rows (key, node, root, own, n, sketch) sorted by key, to the pairs of one key in different components that may be similar."""
 
-    def of_bucket(node, root, own, n, sketch) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(n, kind="stable")
-        node, root, own, n = node[order], root[order], own[order], n[order]
-        raw = [sketch[i] for i in order]
-        for i in range(0, len(node), _BLOCK):
-            # sizes ascend: partners of this block end where sizes are too large
-            until = int(np.searchsorted(n * num, n[min(i + _BLOCK, len(n)) - 1] * den, "right"))
-            size = len(raw[i])
-            mine = np.stack([np.frombuffer(b, np.uint8)[:size] if len(b) == size else kernels.fold(np.frombuffer(b, np.uint8), size) for b in raw[i : i + _BLOCK]])
-            for j in range(i, until, _BLOCK):
-                stop = min(j + _BLOCK, until)
-                theirs = np.stack([kernels.fold(np.frombuffer(b, np.uint8), size) for b in raw[j:stop]])
-                for k in range(len(mine)):
-                    d = np.bitwise_count(theirs ^ mine[k]).sum(1, dtype=np.int64)
-                    ok = may_be_similar(n[j:stop], n[i + k], d, num, den) & (root[j:stop] != root[i + k]) & (own[j:stop] | own[i + k])
-                    if j == i:
-                        ok[: k + 1] = False
-                    hit = np.flatnonzero(ok)
-                    if len(hit):
-                        a, b = np.full(len(hit), node[i + k]), node[j:stop][hit]
-                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def of_rows(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        names = ("key", "node", "root", "own", "n")
+        t = {c: table.column(i).to_numpy() for i, c in enumerate(names)}
+        t["own"] = t["own"].astype(bool)
+        sketch = table.column(5).chunk(0)
+        first = np.flatnonzero(np.append(True, t["key"][1:] != t["key"][:-1]))
+        size = np.diff(np.append(first, len(t["key"])))
+        small_one = np.repeat(size <= _SMALL, size)
+        rows = np.flatnonzero(small_one)
+        if len(rows):
+            chosen = sketch.take(pa.array(rows))
+            yield from _few({c: t[c][rows] for c in names} | {"sketch": chosen, "folded": _folded(chosen)}, num, den)
+        for k in np.flatnonzero(size > _SMALL):
+            cut = slice(first[k], first[k] + size[k])
+            yield from _many({c: t[c][cut] for c in names} | {"sketch": sketch.slice(first[k], size[k])}, num, den)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # rows of the last key so far, which may go on
         for x in batches:
+            if not x.num_rows:
+                continue
             key = x.column(0).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            if held and len(key) and held[0].column(0)[0].as_py() != key[0]:
-                cuts = np.append(0, cuts)
-            at = 0
-            for c in cuts:
-                yield from of_rows([*held, x.slice(at, int(c) - at)])
-                held, at = [], int(c)
-            if at < len(key):
-                held.append(x.slice(at))
+            last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            if last or (held and held[0].column(0)[0].as_py() != key[0]):
+                done = [*held, x.slice(0, last)] if last else held
+                yield from of_rows(done)
+                held = []
+            held.append(x.slice(last))
         if held:
             yield from of_rows(held)
 
-    def of_rows(parts):
-        t = pa.Table.from_batches(parts)
-        node, root, own, n = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
-        yield from of_bucket(node, root, own.astype(bool), n, t.column(5).to_pylist())
-
     return run
 
 
@@ -129,29 +197,33 @@ def link(
     fetch: Callable[[DataFrame], DataFrame],
     num: int,
     den: int,
+    sets: Sets = stored_sets,
 ) -> DataFrame:
     """Components of the graph that links sets of a common signature with den * |A & B| >= num * |A | B|.
 
     candidates ``(key long, node long, own boolean)``: own is false for a set that is in a bucket only to meet others
     that are there on their own account; two such guests need not be compared. meta ``(node long, n long, sketch binary)``, which must cover all nodes, or
-    None to derive it from the features of the nodes that share a signature; ``fetch(nodes)`` gives ``(node long, feats binary)``: the sorted distinct 64-bit features of the nodes asked for.
+    None to derive it from the features of the nodes that share a signature; ``fetch(nodes)`` gives ``(node long, feats)`` of the nodes asked for, which ``sets`` turns into their sorted
+    distinct 64-bit features: the bytes of those, unless ``sets`` says otherwise.
     Returns ``(node, root)`` for nodes that have a link; root is the least node of the component.
     """
     spark = candidates.sparkSession
     ship(spark)
     same = Window.partitionBy("key")
-    shared = candidates.select("key", "node", "own", F.min("node").over(same).alias("leader"), F.max("node").over(same).alias("far"), F.max("own").over(same).alias("any"))
-    shared = stage(shared.where("leader <> far and any").select("key", "node", "own", "leader"), "shared")
-
+    found = candidates.select("key", "node", "own", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("far"), F.max("own").over(same).alias("any"), F.count("*").over(same).alias("met"))
+    shared = stage(found.where("low <> far and any").select("key", "node", "own", "met"), "shared")
     kept = None
     if meta is None:
         nodes = stage(shared.select("node").distinct(), "nodes")
         kept = stage(fetch(nodes), "feats")
-        meta = kept.mapInArrow(_describe, "node long, n long, sketch binary")
+        meta = kept.mapInArrow(_describe(sets), "node long, n long, sketch binary")
         drop(nodes)
 
-    stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = _verified(stage(_pruned(stars, meta, num, den), "stars"), fetch, num, den, kept)
+    # the set that meets most others is likely what they are copies of, so it leads the buckets that it is in
+    known = shared.groupBy("node").agg(F.sum("met").alias("met"))
+    ranked = shared.select("key", "node").join(known, "node").select("key", "node", F.max(F.struct("met", "node")).over(same)["node"].alias("leader"))
+    stars = ranked.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    first = _verified(stage(_pruned(stars, meta, num, den), "stars"), fetch, num, den, sets, kept)
     roots = components(first)
 
     placed = shared.join(roots, "node", "left").select("key", "node", "own", F.coalesce("root", "node").alias("root"))
@@ -160,7 +232,7 @@ def link(
     with_meta = open_rows.join(meta, "node").select("key", "node", "root", "own", "n", "sketch")
     spread = with_meta.repartition("key").sortWithinPartitions("key")
     pairs = stage(spread.mapInArrow(_pairs_across(num, den), "a long, b long").distinct(), "pairs")
-    second = _verified(pairs, fetch, num, den, kept)
+    second = _verified(pairs, fetch, num, den, sets, kept)
     drop(shared, open_rows, pairs, *([kept] if kept is not None else []))
     if second.isEmpty():
         return roots
@@ -175,14 +247,19 @@ def _pruned(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
     return with_meta.mapInArrow(_prune(num, den), "a long, b long")
 
 
-def _describe(batches):
-    for x in batches:
-        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in x.column(1)]
-        sketches = [kernels.parity_sketch(s) for s in sets]
-        yield pa.record_batch([x.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
+def _describe(sets: Sets):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BLOCK):
+                x = batch.slice(at, _BLOCK)
+                v, i = sets(x.column(1))
+                sketches = [kernels.parity_sketch(v[a:b]) for a, b in zip(i[:-1], i[1:], strict=True)]
+                yield pa.record_batch([x.column(0), pa.array(np.diff(i)), pa.array(sketches, pa.binary())], names=["node", "n", "sketch"])
+
+    return run
 
 
-def _verified(pairs: DataFrame, fetch, num: int, den: int, feats: DataFrame | None = None) -> DataFrame:
+def _verified(pairs: DataFrame, fetch, num: int, den: int, sets: Sets, feats: DataFrame | None = None) -> DataFrame:
     """The pairs that are similar by their sets; feats are the sets if they are at hand."""
     own = []
     if feats is None:
@@ -190,6 +267,6 @@ def _verified(pairs: DataFrame, fetch, num: int, den: int, feats: DataFrame | No
         feats = stage(fetch(nodes), "feats")
         own = [nodes, feats]
     both = pairs.join(feats.toDF("a", "x"), "a").join(feats.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    found = stage(both.mapInArrow(_verify(num, den), "a long, b long").distinct(), "links")
+    found = stage(both.mapInArrow(_verify(num, den, sets), "a long, b long").distinct(), "links")
     drop(*own)
     return found

@@ -49,29 +49,45 @@ def band_edges(i: int, num: int, den: int) -> tuple[int, int]:
     return low, low * den // num
 
 
+#: Shingles that a signature covers on average before it is worth to have more signatures for more cover.
+_COVER = 4.0
+
+
+def _weak(n1: int, n2: int, k2: int, spare: int, least: int) -> tuple[float, float]:
+    """Shingles that a signature covers in sets of size ``least``, and the share of these sets with more weak parts than
+    spare ones, as a Poisson tail."""
+    cover = least * (n2 - k2) / (n1 * n2)
+    expected = n1 * min(1.0, math.comb(n2, k2) * math.exp(-cover))
+    if expected > 500:  # a Poisson law is near normal there, and its terms vanish in doubles
+        return cover, 0.5 * math.erfc((spare + 0.5 - expected) / math.sqrt(2 * expected))
+    term = head = math.exp(-expected)
+    for i in range(1, spare + 1):
+        term *= expected / i
+        head += term
+    return cover, max(0.0, 1 - head)
+
+
 @lru_cache(None)
 def plan(tag: int, num: int, den: int) -> tuple[int, int, int, int, int]:
     """(differences k, parts n1, pieces n2, free pieces k2, spare parts) for joins whose larger set is in band ``tag``.
 
-    The cheapest choice, in signatures, under which a piece choice holds four shingles on average and fewer than one
-    set in ten thousand has more weak parts than there are spare ones; all choices are equally exact.
+    All choices are exact; this is the cheapest in signatures, each shingle of cover that they lack counting double and
+    each hundredth of weak sets as much as all others.
     """
     least = band_edges(max(tag - 1, 0), num, den)[0]
-    most = band_edges(tag, num, den)[1]
-    k = (den - num) * 2 * most // (den + num)
+    k = (den - num) * 2 * band_edges(tag, num, den)[1] // (den + num)
     best = None
     for k2 in range(0, min(k, 4) + 1):
-        for n2 in range(k2 + 1, k2 + 5) if k2 else (1,):
-            for spare in range(0, 9):
-                n1 = k // (k2 + 1) + 1 + spare
-                ways = math.comb(n2, k2)
-                mean = least * (n2 - k2) / (n1 * n2)
-                weak = n1 * min(1.0, ways * math.exp(-mean))
-                tail = 1 - sum(math.exp(-weak) * weak**i / math.factorial(i) for i in range(spare + 1))
-                bad = max(0.0, 4 - mean) + (10 if tail > 1e-4 and mean >= 4 else 0)
-                cost = (bad, n1 * ways)
+        for n2 in range(k2 + 1, k2 + 6) if k2 else (1,):
+            parts, spare = k // (k2 + 1) + 1, 0
+            while spare <= parts:
+                cover, weak = _weak(parts + spare, n2, k2, spare, least)
+                cost = (parts + spare) * math.comb(n2, k2) * 2 ** max(0.0, _COVER - cover) * (1 + 100 * weak)
                 if best is None or cost < best[0]:
-                    best = (cost, (k, n1, n2, k2, spare))
+                    best = (cost, (k, parts + spare, n2, k2, spare))
+                if weak < 1e-6:
+                    break
+                spare += 1 + spare // 8
     return best[1]
 
 
@@ -226,3 +242,14 @@ def _assemble(profile: DataFrame, classes: DataFrame, roots: DataFrame, id_col:
     result = stage(out.select(named("node").alias(id_col), "n_shingles", named("component_id").alias("component_id")), "ngram_join")
     drop(profile, classes, roots, merged)
     return result
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that are linked, over any number of links, to one of lesser id.
+
+    Documents without words stay. Rows that share an id stay or go together.
+    """
+    found = ngram_join(docs, id_col, text_col, **options)
+    gone = found.where("n_shingles > 0").where(F.coalesce(F.col(id_col), F.lit(NO_ID)) != F.coalesce("component_id", F.lit(NO_ID)))
+    gone = stage(gone.select(F.col(id_col).alias("_ll_id")).distinct(), "gone")
+    return docs.join(small(gone), docs[id_col].cast("long") == F.col("_ll_id"), "left_anti")
