@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import kernels
 from ledgerloom.plans.runtime import drop, ship, stage
 
-#: Labelled rows of each class from which lexicons are mined and on whose texts the classifier is trained.
-SAMPLE = 6_000
+#: Labelled rows from which lexicons are mined, clean and toxic ones at most, and on which the classifier is trained.
+SAMPLE = (16_000, 8_000)
 #: Lists that the mined features are dealt over, and the most features.
 LISTS, FEATURES = 12, 20_000
-#: A feature must stand in so many toxic rows of the sample, and toxic rows must be this share of its rows at even odds.
-SUPPORT, PURITY = 6, 0.9
+#: A feature must stand in so many toxic rows of the sample, and toxic rows must be this share of its rows at even odds
+#: of the classes, counting one row more of the other class than there is.
+SUPPORT, PURITY = 4, 0.96
+#: Purer features than this, whose class rates also differ by the factor, make lists of their own, the first so many.
+PURE, FACTOR, PURE_LISTS = 0.97, 100, 8
 PREFIXES = (4, 5, 6)
 #: One row in so many is held out of everything that is learnt from labels.
 FOLDS = 5
@@ -74,6 +77,18 @@ def _blocks(column):
         yield i, j, body, starts[i:j], ends[i:j]
 
 
+def _group(batches):
+    """Rows (toxic, text) with the least hash of five words of the text in a row, which near copies mostly have in common."""
+    for batch in batches:
+        out = []
+        for _, _, body, starts, ends in _blocks(batch.column(1)):
+            h, row = kernels.shingles(*kernels.words(body, starts, ends, _GAP), 5, len(starts))
+            least = np.full(len(starts), 2**64 - 1, np.uint64)
+            np.minimum.at(least, row, h)
+            out.append(kernels.signed(least))
+        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(np.concatenate(out))], names=["toxic", "text", "doc_id", "group"])
+
+
 def _mine(batches):
     """Rows (toxic, text) to (token, rows that have it, toxic ones of them), added up over a batch."""
     for batch in batches:
@@ -133,19 +148,30 @@ class LabelModel:
     weight: np.ndarray
     correlated: list[tuple[int, int]]
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, silent: bool = True) -> np.ndarray:
+        """Chance of class 1 for each row of votes. A voter that is silent says something too, unless ``silent`` is false
+        and another one votes: then it abstains."""
         yes, no = np.log(self.hit / self.false), np.log((1 - self.hit) / (1 - self.false))
-        logit = np.log(self.prior / (1 - self.prior)) + (np.where(votes, yes, no) * self.weight).sum(1)
+        said = np.where(votes, yes, 0 if not silent else no) * self.weight
+        if not silent:
+            said = np.where(votes.any(1)[:, None], said, no * self.weight)
+        logit = np.log(self.prior / (1 - self.prior)) + said.sum(1)
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def fit_label_model(n: int, joint: np.ndarray, prior: float, rounds: int = 3, excess: float = 0.15) -> LabelModel:
-    """From counts alone: ``joint[i, j]`` of ``n`` rows have the votes of both i and j, ``joint[i, i]`` that of i."""
-    voters = len(joint)
-    mean = np.diag(joint) / max(n, 1)
-    covariance = joint / max(n, 1) - np.outer(mean, mean)
+def fit_label_model(patterns: np.ndarray, n: np.ndarray, prior: float, core: int, rounds: int = 3, excess: float = 0.15, steps: int = 60) -> LabelModel:
+    """From how often each combination of votes occurs: ``patterns`` (combinations, voters) and their counts ``n``.
+
+    Covariances give a first estimate and the correlated pairs; expectation-maximisation over the combinations, in which
+    correlated voters weigh less, refines it. No label enters but the prior, and that only as a start. The first ``core``
+    voters are known to speak for class 1 and alone decide what the classes are; what the others say is then measured.
+    """
+    votes, n = patterns.astype(float), n.astype(float)
+    total, voters = max(n.sum(), 1.0), votes.shape[1]
+    mean = n @ votes / total
+    covariance = (votes * n[:, None]).T @ votes / total - np.outer(mean, mean)
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
-    live = mean * n >= 3
+    live = mean * total >= 3
     use = ~np.eye(voters, dtype=bool) & live & live[:, None]
     correlated: list[tuple[int, int]] = []
     v = np.zeros(voters)
@@ -161,13 +187,22 @@ def fit_label_model(n: int, joint: np.ndarray, prior: float, rounds: int = 3, ex
             break
         use &= ~far
         correlated += [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(far)), strict=True)]
-    d = v / np.sqrt(prior * (1 - prior))
-    clip = lambda x: np.clip(x, 1e-4, 1 - 1e-4)
     weight = np.ones(voters)
     for i, j in correlated:
         weight[i] += 1
         weight[j] += 1
-    return LabelModel(prior, clip(mean + (1 - prior) * d), clip(mean - prior * d), np.where(live, 1 / weight, 0.0), correlated)
+    d = v / np.sqrt(prior * (1 - prior))
+    clip = lambda x: np.clip(x, 1e-5, 1 - 1e-5)
+    heard = np.where(live, 1 / weight, 0.0)
+    leads = np.arange(voters) < core
+    model = LabelModel(prior, clip(mean + (1 - prior) * d), clip(mean - prior * d), heard * leads, correlated)
+    for _ in range(steps if live[:core].any() else 0):
+        hit, false = np.maximum(model.hit, 2e-5), np.where(leads, np.minimum(model.false, 0.5 * model.hit), model.false)
+        toxic = LabelModel(model.prior, hit, clip(false), model.weight, correlated).posterior(patterns)
+        one, none = n * toxic, n * (1 - toxic)
+        share = float(np.clip(one.sum() / total, 0.5 * prior, min(2 * prior, 0.5)))
+        model = LabelModel(share, clip((one @ votes + 0.01) / (one.sum() + 0.02)), clip((none @ votes + 0.01) / (none.sum() + 0.02)), model.weight, correlated)
+    return LabelModel(model.prior, model.hit, clip(np.where(leads, np.minimum(model.false, 0.5 * model.hit), model.false)), heard, correlated)
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, importance: np.ndarray, size: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -200,19 +235,18 @@ def _votes(rows: list[np.ndarray], voter: np.ndarray, voters: int) -> np.ndarray
     return votes
 
 
-def _co_votes(voter: np.ndarray, voters: int):
-    """Rows (features) to joint vote counts of the batch."""
+def _combinations(voter: np.ndarray):
+    """Rows (features) to (combination of votes as bits, rows that have it), added up over a batch."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column(0)
             offsets = np.asarray(lists.offsets)
             flat = voter[np.asarray(lists.values)[offsets[0] : offsets[-1]].astype(np.int64)]
-            votes = np.zeros((len(lists), voters), np.float64)
-            votes[np.repeat(np.arange(len(lists)), np.diff(offsets)), flat] = 1
-            joint = (votes.T @ votes).astype(np.int64)
-            i, j = np.nonzero(joint)
-            yield pa.record_batch([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(joint[i, j], len(lists)))], names=["i", "j", "n"])
+            bits = np.zeros(len(lists), np.int64)
+            np.bitwise_or.at(bits, np.repeat(np.arange(len(lists)), np.diff(offsets)), np.int64(1) << flat)
+            bits, n = np.unique(bits, return_counts=True)
+            yield pa.record_batch([pa.array(bits), pa.array(n)], names=["votes", "n"])
 
     return run
 
@@ -249,51 +283,59 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = known.agg(F.avg("toxic")).first()[0]
     prior = min(max(PRIOR if share is None else share, 1e-3), 0.5)
     chosen = None
-    for kind in (0, 1):
-        some = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    for kind, most in enumerate(SAMPLE):
+        some = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.union(some)
     sample = stage(chosen, "sample")
-    counts = dict(sample.groupBy("toxic").count().collect())
+    # near copies of one text say the same thing: one of them is asked
+    texts = slim.join(F.broadcast(sample), "doc_id").select("toxic", "text", "doc_id").mapInArrow(_group, "toxic int, text string, doc_id long, group long")
+    texts = stage(texts.dropDuplicates(["toxic", "group"]), "texts")
+    counts = dict(texts.groupBy("toxic").count().collect())
 
     vocabulary, listed = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if counts.get(0) and counts.get(1):
-        mined = slim.join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(_mine, "token long, n long, toxic long")
+        mined = texts.select("toxic", "text").mapInArrow(_mine, "token long, n long, toxic long")
         mined = mined.groupBy("token").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"))
-        even = F.col("t") / counts[1] / (F.col("t") / counts[1] + (F.col("n") - F.col("t") + 0.5) / counts[0])
+        even = F.col("t") / counts[1] / (F.col("t") / counts[1] + (F.col("n") - F.col("t") + 1) / counts[0])
         good = mined.where(F.col("t") >= SUPPORT).where(even >= PURITY).orderBy(F.desc("t"), "token").limit(FEATURES)
-        tokens = np.array([r[0] for r in good.select("token").collect()], np.int64).view(np.uint64)
-        vocabulary, listed = tokens, 1 + (kernels.mix(tokens) % np.uint64(LISTS)).astype(np.int64)
+        pure = (even >= PURE) & (F.col("t") * counts[0] >= FACTOR * (F.col("n") - F.col("t")) * counts[1])
+        rows = good.select("token", pure.alias("pure")).collect()
+        vocabulary = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+        place = kernels.mix(vocabulary)
+        first = place % np.uint64(PURE_LISTS)
+        rest = np.uint64(PURE_LISTS) + place % np.uint64(LISTS - PURE_LISTS)
+        listed = 1 + np.where(np.array([r[1] for r in rows], bool), first, rest).astype(np.int64)
     body = np.frombuffer("".join(INSULTS).encode(), np.uint8)
     ends = np.cumsum([len(x) for x in INSULTS])
     fixed = kernels.mix(kernels.words(body, np.concatenate([[0], ends[:-1]]), ends, _GAP)[0] + _SALTS[0])
     fresh = ~np.isin(fixed, vocabulary)
-    listed = np.concatenate([np.where(np.isin(vocabulary, fixed), 0, listed), np.zeros(int(fresh.sum()), np.int64)])
+    listed = np.concatenate([listed, np.zeros(int(fresh.sum()), np.int64)])
     vocabulary = np.concatenate([vocabulary, fixed[fresh]])
     voter, voters = _voter_table(len(vocabulary), listed), LISTS + 1 + len(PATTERNS)
 
     found = stage(slim.mapInArrow(_features(vocabulary), "doc_id long, features array<int>"), "features")
-    joint, n = np.zeros((voters, voters)), 0
-    sums = found.select("features").mapInArrow(_co_votes(voter, voters), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n"))
-    for i, j, k in sums.collect():  # one row for each pair of voters
-        if i < 0:
-            n = k
-        else:
-            joint[i, j] = k
-    model = fit_label_model(n, joint, prior)
-
-    train = found.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("features").collect()  # bounded by SAMPLE
+    sums = found.select("features").mapInArrow(_combinations(voter), "votes long, n long").groupBy("votes").agg(F.sum("n"))
+    seen = np.array(sums.collect(), np.int64).reshape(-1, 2)  # at most 2 to the number of voters
+    model = fit_label_model((seen[:, :1] >> np.arange(voters)) & 1 == 1, seen[:, 1], prior, LISTS + 1)
+
+    train = found.join(F.broadcast(texts.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("features").collect()  # bounded by SAMPLE
     if not train:
-        rest = found.where(_fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
+        rest = found.where(_fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id")).limit(sum(SAMPLE))
         train = rest.select("features").collect()
     w, b = np.zeros(len(voter)), float(np.log(prior / (1 - prior)))
     if train:
         rows = [np.array(r[0], np.int64) for r in train]
-        target = model.posterior(_votes(rows, voter, voters))
+        target = model.posterior(_votes(rows, voter, voters), silent=False)
         likely = target >= 0.5
         importance = np.where(likely, prior / max(likely.mean(), 1e-3), (1 - prior) / max(1 - likely.mean(), 1e-3))
-        w, b = fit_linear(rows, target, importance, len(voter))
+        # each feature by itself too, or features that mostly occur together would share the credit of one
+        single = [np.array([k]) for k in range(len(vocabulary))]
+        alone = model.posterior(_votes(single, voter, voters), silent=False)
+        seen_in = np.bincount(np.concatenate(rows), minlength=len(voter))[: len(vocabulary)] + 1
+        weight = 0.2 * importance.sum() * seen_in / max(seen_in.sum(), 1)
+        w, b = fit_linear(rows + single, np.append(target, alone), np.append(importance, weight), len(voter))
     scored = found.mapInArrow(_score(w, b), "doc_id long, score double")
-    drop(known)
+    drop(known, texts)
     return scored.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
