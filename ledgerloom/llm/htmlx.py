@@ -47,6 +47,7 @@ _INLINE = frozenset(
 _SKIP = frozenset("nav aside footer form button select option datalist fieldset input dialog menu head object embed applet audio video canvas".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("html body article main section div table ul ol dl td th blockquote aside nav header footer form".split())
+_HOLDS = frozenset("html body article main section div table td center".split())
 # what the names, classes and roles of elements that hold no article text are made of
 _BOILER = re.compile(
     r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menus|header|masthead|footer|contentinfo|sidebar|side|aside|complementary|widgets?|ad|ads|advert|adverts|advertisement|"
@@ -201,6 +202,8 @@ class Template:
         total = sum(c for _, c in slots)
         self.article = ""
         for path, _ in slots:
+            while path.rpartition("/")[2].partition(".")[0] not in _HOLDS and path:
+                path = path.rpartition("/")[0]  # a paragraph or list is not the article, what holds it is
             k = len(path)
             while k > 0:
                 head = path[:k]

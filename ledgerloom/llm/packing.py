@@ -25,7 +25,7 @@ from ledgerloom.plans.runtime import drop, ship, stage
 #: Pieces below which the rest is placed best fit; the most rounds of the program before that, steps of a round, share of
 #: a solution that a round uses before it solves again, how sharply weights follow cover, and how near the best price a
 #: configuration must be.
-REST, ROUNDS, STEPS, STRIDE, SHARP, NEAR = 20_000, 60, 24, 0.3, 4.0, 0.02
+REST, ROUNDS, STEPS, STRIDE, SHARP, NEAR = 2_000, 60, 24, 0.3, 4.0, 0.02
 #: Texts of these characters only are split alike by both tokenizer libraries; all others go to the slower one.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ſ]")
 _END = 0
