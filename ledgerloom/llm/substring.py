@@ -2,7 +2,7 @@
 
 A gear hash rolls over the bytes of a text: each byte shifts it by one and adds a word of a random table, so after 32
 bytes it depends on those 32 alone. A chunk ends where the top bits of the hash are zero, if it is long enough by then;
-very long ones are cut anyway. Where a passage begins in a text shifts its chunks only at its edges: further inside both
+where that does not happen for long, it ends where the hash is least. Where a passage begins in a text shifts its chunks only at its edges: further inside both
 copies are cut alike, so equal chunks meet by digest however much was inserted before them.
 """
 
@@ -19,10 +19,11 @@ from ledgerloom.llm.linkage import small_lists
 from ledgerloom.llm.ngramjoin import NO_ID
 from ledgerloom.plans.runtime import drop, ship, stage
 
-#: Least and greatest bytes of a chunk, and top bits of the hash that are zero at its end: about 48 bytes on average.
-LEAST, MOST, BITS = 16, 512, 5
-#: Bytes that a run of repeated chunks must have to count as a passage. A passage of over 50 words has twice as many.
-PASSAGE = 160
+#: Least and greatest bytes of a chunk, and top bits of the hash that are zero at its end: about 24 bytes on average.
+LEAST, MOST, BITS = 8, 128, 4
+#: Bytes that a run of repeated chunks must have to count as a passage. A passage of over 50 words has more of them than that,
+#: less a chunk at either end that the texts around it spoil.
+PASSAGE = 200
 _WINDOW = 32
 _GEAR = (kernels.BYTE_WORD >> np.uint64(16)).astype(np.uint32)
 
@@ -40,7 +41,8 @@ def gear(part: np.ndarray) -> np.ndarray:
 
 def chunk_ends(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first byte, one past the last byte) of the chunks of rows that lie in ``part`` at starts, ends."""
-    marks = np.flatnonzero(gear(part) >> np.uint32(32 - BITS) == 0) + 1
+    h = gear(part)
+    marks = np.flatnonzero(h >> np.uint32(32 - BITS) == 0) + 1
     lo = np.searchsorted(marks, starts + max(LEAST, _WINDOW), "left")  # before that the hash looks at another row
     hi = np.searchsorted(marks, ends, "left")
     begins: list[int] = []
@@ -51,24 +53,18 @@ def chunk_ends(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
         if e <= s:
             continue
         last, n = s, len(begins)
-        for p in listed[lo[r] : hi[r]]:
-            if p - last < LEAST:
-                continue
+        for p in [*listed[lo[r] : hi[r]], e]:
             while p - last > MOST:
+                # no mark for so long is a text that repeats itself: cut where the hash is least, in step with it
+                low = max(last + LEAST, s + _WINDOW)
+                cut = low + int(h[low - 1 : last + MOST].argmin())
                 begins.append(last)
-                last += MOST
-                closes.append(last)
-            if p - last >= LEAST:
+                closes.append(cut)
+                last = cut
+            if p - last >= LEAST or p == e and e > last:
                 begins.append(last)
                 closes.append(p)
                 last = p
-        while e - last > MOST:
-            begins.append(last)
-            last += MOST
-            closes.append(last)
-        if e > last:
-            begins.append(last)
-            closes.append(e)
         counts[r] = len(begins) - n
     return np.repeat(np.arange(len(starts)), counts), np.array(begins, np.int64), np.array(closes, np.int64)
 
@@ -102,16 +98,32 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     chunks = stage(_slim(docs, id_col, text_col).mapInArrow(_chunks, "doc long, mark long, start long, size int, digest long, second int"), "chunks")
-    across = chunks.groupBy("digest", "second").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("digest", "second", "lo")
-    found = stage(chunks.join(across, ["digest", "second"]), "repeats")
-    leading = found.where("doc = lo").groupBy("digest", "second").agg(F.min(F.struct("mark", "start")).alias("place"))
-    marked = found.join(leading, ["digest", "second"])
+    across = chunks.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("digest")
+    across = stage(across, "across")
+    found = stage(_likely(chunks, across).join(across, "digest", "left_semi"), "repeats")
+    shared = found.groupBy("digest", "second").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("digest", "second", "lo")
+    held = stage(found.join(shared, ["digest", "second"]), "shared")
+    leading = held.where("doc = lo").groupBy("digest", "second").agg(F.min(F.struct("mark", "start")).alias("place"))
+    marked = held.join(leading, ["digest", "second"])
     first = (F.col("doc") == F.col("lo")) & (F.struct("mark", "start") == F.col("place"))
     out = stage(marked.select("doc", "mark", "start", "size", first.alias("first")).distinct(), "repeated_chunks")
-    drop(chunks, found)
+    drop(chunks, across, found, held)
     return out
 
 
+def _likely(chunks: DataFrame, across: DataFrame) -> DataFrame:
+    """Chunks whose digest may be in ``across``, by a bitmap of at most 16 MB that goes to every executor.
+
+    It only spares rows the way through the join: where the bitmap is too small for the digests, it lets more through.
+    """
+    bits = min(27, max(12, int(8 * across.count()).bit_length()))
+    slot = F.shiftrightunsigned(F.xxhash64("digest"), 64 - bits)
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    words = across.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    tagged = chunks.withColumn("_word", word).withColumn("_bit", bit)
+    return tagged.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE) -> DataFrame:
     """One row per repeated passage of a document: ``(<id>, start, length, n_chunks, first)``, in bytes of the UTF-8 text.
 

@@ -321,7 +321,7 @@ def test_chunks_cover_the_text_and_survive_a_shift():
 
 def test_passages_of_odd_tables(spark):
     assert substring.passages(spark.createDataFrame([], "doc_id bigint, text string, run int")).collect() == []
-    long = "lorem ipsum " * 60
+    long = " ".join(f"word{k * k}" for k in range(80))
     rows = [(None, long), (None, long), (4, long)]
     found = substring.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id for r in found} == {None, 4} and all(r.first == (r.doc_id is None) for r in found)
