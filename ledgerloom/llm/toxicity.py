@@ -196,7 +196,10 @@ def fit_label_model(patterns: np.ndarray, n: np.ndarray, prior: float, core: int
     heard = np.where(live, 1 / weight, 0.0)
     leads = np.arange(voters) < core
     model = LabelModel(prior, clip(mean + (1 - prior) * d), clip(mean - prior * d), heard * leads, correlated)
-    for _ in range(steps if live[:core].any() else 0):
+    if live[:core].sum() < 3:  # fewer say nothing about each other: their votes are taken to be right nine times of ten
+        trusted = np.where(leads, 0.9 * mean / prior, mean), np.where(leads, 0.1 * mean / (1 - prior), mean)
+        return LabelModel(prior, np.clip(trusted[0], 1e-5, 0.9), clip(trusted[1]), heard, correlated)
+    for _ in range(steps):
         hit, false = np.maximum(model.hit, 2e-5), np.where(leads, np.minimum(model.false, 0.5 * model.hit), model.false)
         toxic = LabelModel(model.prior, hit, clip(false), model.weight, correlated).posterior(patterns)
         one, none = n * toxic, n * (1 - toxic)
