@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets that one window orders when samples are looked up.
+_RUN = 1_000
+
+
 def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
     """Percentiles that are samples themselves: the one at rank ceil(n * p)."""
     return rows.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p}) within group (order by {value})").alias(name) for name, p in points.items()], F.max(value).alias("max"))
@@ -78,9 +82,14 @@ def next_sample(events: DataFrame, samples: DataFrame, time: str, value: str, bu
     heads = samples.withColumn("_b", F.floor(F.col(time) / bucket)).groupBy("_b").agg(F.min_by(F.struct(F.col(time), F.col(value)), F.struct(time, value)).alias("_head"))
     asked = events.withColumn("_b", F.floor(F.col(time) / bucket))
     wanted = asked.select("_b").distinct().withColumn("_q", F.lit(True)).unionByName(heads, allowMissingColumns=True)
-    after = Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)  # one row per bucket
     grouped = wanted.groupBy("_b").agg(F.max("_q").alias("_q"), F.first("_head", ignorenulls=True).alias("_head"))
-    later = grouped.select("_b", F.first("_head", ignorenulls=True).over(after).alias("_later"))
+    # the next head: inside a run of buckets by a window, else the first one of a later run, of which there are few
+    grouped = grouped.withColumn("_r", F.floor(F.col("_b") / _RUN))
+    after = Window.partitionBy("_r").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    beyond = Window.orderBy("_r").rowsBetween(1, Window.unboundedFollowing)
+    runs = grouped.groupBy("_r").agg(F.min_by("_head", F.when(F.col("_head").isNotNull(), F.col("_b"))).alias("_first"))
+    runs = runs.select("_r", F.first("_first", ignorenulls=True).over(beyond).alias("_beyond"))
+    later = grouped.withColumn("_near", F.first("_head", ignorenulls=True).over(after)).join(runs, "_r").select("_b", F.coalesce("_near", "_beyond").alias("_later"))
     last = samples.agg(F.max_by(F.struct(F.col(time), F.col(value)), F.struct(time, value)).alias("_last"))
     marked = asked.withColumn("_is", F.lit(0)).unionByName(
         samples.select(time, value).withColumn("_b", F.floor(F.col(time) / bucket)).withColumn("_is", F.lit(1)).withColumnRenamed(value, "_v"), allowMissingColumns=True
