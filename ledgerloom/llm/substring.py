@@ -17,7 +17,7 @@ from ledgerloom.llm import kernels
 from ledgerloom.llm.linededup import _slim
 from ledgerloom.llm.linkage import small_lists
 from ledgerloom.llm.ngramjoin import NO_ID
-from ledgerloom.plans.runtime import drop, ship, stage
+from ledgerloom.plans.runtime import ship, stage
 
 #: Least and greatest bytes of a chunk, and top bits of the hash that are zero at its end: about 24 bytes on average.
 LEAST, MOST, BITS = 8, 128, 4
@@ -83,32 +83,26 @@ def _chunks(batches):
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(kernels.BYTE_WORD[part] * power[: len(part)], out=total[1:])
             digest = kernels.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
-            np.cumsum((kernels.BYTE_WORD[part] >> np.uint64(7)) * power[: len(part)], out=total[1:])
-            second = kernels.mix((total[b] - total[a]) * inverse[a]) >> np.uint64(32)
             yield pa.record_batch(
-                [pa.array(doc[i + row]), pa.array(mark[i + row]), pa.array(a + lo - starts[i + row]), pa.array((b - a).astype(np.int32)), pa.array(kernels.signed(digest)), pa.array(second.astype(np.uint32).view(np.int32))],
-                names=["doc", "mark", "start", "size", "digest", "second"],
+                [pa.array(doc[i + row]), pa.array(mark[i + row]), pa.array(a + lo - starts[i + row]), pa.array((b - a).astype(np.int32)), pa.array(kernels.signed(digest))],
+                names=["doc", "mark", "start", "size", "digest"],
             )
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, mark, start, size, first)``: chunks whose bytes stand in more than one document.
+    """``(doc, mark, start, size, first)``: chunks whose digest stands in more than one document, dealt out by document.
 
-    ``first`` is true at the least (doc, mark, start) of a digest of 96 bits. Rows of one id and text are one document.
+    ``first`` is true in the document of the least id that has the digest. Digests have 64 bits: two chunks may share one
+    by chance in corpora of billions, but not the several in a row that make a passage. Rows of one id and text are one
+    document.
     """
     ship(docs.sparkSession)
-    chunks = stage(_slim(docs, id_col, text_col).mapInArrow(_chunks, "doc long, mark long, start long, size int, digest long, second int"), "chunks")
-    across = chunks.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("digest")
+    chunks = stage(_slim(docs, id_col, text_col).mapInArrow(_chunks, "doc long, mark long, start long, size int, digest long"), "chunks")
+    across = chunks.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("digest", "lo")
     across = stage(across, "across")
-    found = stage(_likely(chunks, across).join(across, "digest", "left_semi"), "repeats")
-    shared = found.groupBy("digest", "second").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("digest", "second", "lo")
-    held = stage(found.join(shared, ["digest", "second"]), "shared")
-    leading = held.where("doc = lo").groupBy("digest", "second").agg(F.min(F.struct("mark", "start")).alias("place"))
-    marked = held.join(leading, ["digest", "second"])
-    first = (F.col("doc") == F.col("lo")) & (F.struct("mark", "start") == F.col("place"))
-    out = stage(marked.select("doc", "mark", "start", "size", first.alias("first")).distinct(), "repeated_chunks")
-    drop(chunks, across, found, held)
-    return out
+    # an inner join: the optimizer would move a semi-join below the bitmap
+    found = _likely(chunks, across).join(across, "digest").select("doc", "mark", "start", "size", (F.col("doc") == F.col("lo")).alias("first"))
+    return found.repartition("doc", "mark").dropDuplicates(["doc", "mark", "start"])
 
 
 def _likely(chunks: DataFrame, across: DataFrame) -> DataFrame:
