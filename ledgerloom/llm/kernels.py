@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _U = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

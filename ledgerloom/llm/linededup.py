@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
-from ledgerloom.llm.linkage import link, small_lists
+from ledgerloom.llm.linkage import link, small, small_lists
 from ledgerloom.llm.ngramjoin import NO_ID
 from ledgerloom.plans.runtime import drop, ship, stage
 
@@ -146,7 +146,7 @@ def band_keys(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 def _blocks(batch, text_at):
     body, starts, ends = kernels.string_buffers(batch.column(text_at))
-    for i, j in kernels.row_blocks(starts, ends, kernels.BLOCK // 8):
+    for i, j in kernels.row_blocks(starts, ends):
         if ends[j - 1] > starts[i]:
             yield i, body, lines(body, starts[i:j], ends[i:j])
 
@@ -234,13 +234,13 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = link(candidates, None, fetch, NUM, DEN, line_sets)
     grouped = classes.join(roots, "node", "left").where("first <> last or root is not null")
     grouped = grouped.select("node", "first", F.coalesce("root", "node").alias("root"))
-    keepers = grouped.groupBy("root").agg(F.min("first").alias("keeper"))
-    shared = stage(grouped.join(keepers, "root").select(F.col("node").alias("h1"), "keeper"), "keepers")
+    keepers = stage(grouped.groupBy("root").agg(F.min("first").alias("keeper")), "keepers")
+    shared = stage(grouped.join(small(keepers), "root").select(F.col("node").alias("h1"), "keeper"), "shared")
     rows = found.select("doc", "mark", "line", "h1").join(shared, "h1", "left")
     keeper = F.coalesce("keeper", place)
     out = rows.select("doc", "mark", "line", keeper["doc"].alias("first_doc"), keeper["mark"].alias("first_mark"), keeper["line"].alias("first_line"), (keeper == place).alias("kept"))
     result = stage(out, "line_classes")
-    drop(found, classes, roots, shared)
+    drop(found, classes, roots, keepers, shared)
     return result
 
 
