@@ -119,7 +119,10 @@ def _(spark, sf_dir):
 
 @query("block_range_asc", f"WITH {_SIZED}, t AS ({_flat_sql(where='height BETWEEN 950 AND 1049')}) SELECT t.*, s.sapling_size, s.orchard_size, s.ironwood_size, s.height - 950 AS pos FROM t JOIN sized s USING (height)")
 def _(spark, sf_dir):
-    rows = reads.numbered(reads.scan(project.by_pool(sized_blocks(spark, sf_dir), []), 950, 1049), 950, 1049)
+    # sizes run over the whole chain, on flat counts; transactions are nested for the range alone
+    blocks = reads.scan(derive.nested_blocks(spark, sf_dir), 950, 1049)
+    sizes = reads.scan(sized(spark, sf_dir).select("height", *_SIZES), 950, 1049)
+    rows = reads.numbered(project.by_pool(blocks.join(sizes, "height"), []), 950, 1049)
     return _flat(rows, *_SIZES, "pos")
 
 
