@@ -497,6 +497,42 @@ def _(spark, sf_dir):
     return verify.same_multiset(spans, spans.select(F.when(n % 3 == 0, n + 100000).otherwise(n).alias("subtree")))
 
 
+_LEAVES = f"""{_SIZED}, leaves AS (SELECT s.sapling_size - s.sapling + row_number() OVER (PARTITION BY i.height ORDER BY i.tx, i.place) - 1 AS position, sha256(i.id || 'c') AS leaf
+  FROM items i JOIN sized s USING (height) WHERE i.kind = 'output')"""
+
+
+@query("subtree_rebuild", f"""WITH {_LEAVES}, a AS (SELECT position // 2 AS position, sha256(string_agg(leaf, '' ORDER BY position)) AS node, count(*) AS n FROM leaves GROUP BY 1)
+  SELECT position // 2 AS subtree, sha256(string_agg(node, '' ORDER BY position)) AS root FROM a WHERE n = 2 GROUP BY 1 HAVING count(*) = 2""")
+def _(spark, sf_dir):
+    """Roots of subtrees of four commitments, from the chain order of the commitments themselves."""
+    from ledgerloom.operators import merkle
+
+    before = sized(spark, sf_dir).select("height", (F.col("sapling_size") - F.col("sapling")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("height").orderBy("tx", "place")) - 1
+    made = derive.items(spark, sf_dir).where("kind = 'output'").withColumn("k", place).join(before, "height")
+    leaves = made.select((F.col("before") + F.col("k")).alias("position"), derive.digest(F.col("id"), "c").alias("leaf"))
+    return merkle.subtree_roots(leaves, 2)
+
+
+@query("range_listing", f"WITH {_RANGES} SELECT start_height, CASE WHEN start_height % 3000 = 0 THEN 'verified' ELSE 'unverified' END AS state FROM ranges WHERE start_height >= 2000 AND start_height % 4000 <> 0")
+def _(spark, sf_dir):
+    from ledgerloom.sources.snapshot import listing
+
+    s = F.col("start_height")
+    rows = windows.range_rollup(sized(spark, sf_dir), _SIZES).select("start_height")
+    state = F.when(s % 4000 == 0, "rejected").when(s % 3000 == 0, "verified").otherwise("unverified")
+    return listing(rows.withColumn("state", state), 2000)
+
+
+@query("mined_answers", f"WITH {_OUTPUTS} SELECT txid AS asked, txid, height FROM outputs WHERE height % 5 > 1")
+def _(spark, sf_dir):
+    from ledgerloom.service import mined_answer
+
+    h = F.col("height")
+    rows = derive.outputs(spark, sf_dir).select(F.col("txid").alias("asked"), "txid", F.when(h % 5 == 0, F.lit(-1)).when(h % 5 > 1, h).alias("height"))
+    return mined_answer(rows)
+
+
 # --- addresses
 
 
@@ -747,3 +783,27 @@ def _(spark, sf_dir):
     blocks = sized_blocks(spark, sf_dir).select("height", "hash", "prev_hash", "time", "vtx", *_SIZES).where("height < 1000")
     back = blobs.unpack_ranges(blobs.pack_ranges(blocks))
     return back.select("height", "hash", "prev_hash", *_SIZES)
+
+
+@query("wire_roundtrip", f"WITH {_SIZED} SELECT height, hash, prev_hash, time, sapling_size, orchard_size, ironwood_size FROM sized WHERE height BETWEEN 200 AND 1399")
+def _(spark, sf_dir):
+    """Nested blocks through the wire format and back."""
+    from ledgerloom.sources import wire
+
+    nested = derive.nested_blocks(spark, sf_dir).where("height between 200 and 1399")
+    sizes = sized(spark, sf_dir).select("height", *_SIZES)
+    return wire.from_wire(wire.to_wire(nested.join(sizes, "height"))).drop("vtx")
+
+
+@query("stream_depth_late_data", "SELECT o_orderkey AS height, CASE WHEN o_orderkey <= (1388 - 99) // 1000 * 1000 - 1 THEN 'deep recovery' WHEN o_orderkey <= 1378 THEN 'replace' WHEN o_orderkey <= 1388 THEN 'head' ELSE 'ahead' END AS action FROM orders WHERE o_orderkey % 3 = 0")
+def _(spark, sf_dir):
+    """Rows that arrive on a stream, sorted out by depth below a tip."""
+    from ledgerloom.plans.runtime import fresh_path
+    from ledgerloom.streaming.head import late_rows
+
+    shape = derive.table(spark, sf_dir, "orders").schema
+    live = spark.readStream.schema(shape).parquet(f"{sf_dir}/orders.parquet*")
+    late = late_rows(live.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("height")), 1388)
+    out = fresh_path(spark, "stream_late")
+    late.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}_progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("height bigint, action string").parquet(out)
