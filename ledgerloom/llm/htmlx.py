@@ -8,8 +8,9 @@ more and keep their order are valid; ordered by place and nested by path they ar
 between its tokens are slots.
 
 Slots whose path says menu, header, footer, sidebar, notice, advert, form or comments are dropped, as are scripts and
-styles wherever they stand. The article is what is left below ``article`` or ``main``; on pages without either it is the
-slot that holds most of the host's varying text, and text that is itself a token of the template is not part of it.
+styles wherever they stand, and text that is itself a token of the template. Every other slot is kept, however its text
+is shared out over containers and paragraphs. ``article`` and ``main`` are a hint alone: text below them is kept even if
+it is constant over the host, and text outside them is judged by the template like that of any page.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ from ledgerloom.plans.runtime import drop, ship, stage
 
 #: A class must stand on so many pages of the host, and on this share of them.
 PAGES, SHARE = 3, 0.5
-#: Share of a host's varying text that the slot taken for the article must hold.
-MOST = 0.6
 _FLUSH = 4 << 20
 
 _TAG = re.compile(
@@ -47,7 +46,6 @@ _INLINE = frozenset(
 _SKIP = frozenset("nav aside footer form button select option datalist fieldset input dialog menu head object embed applet audio video canvas".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("html body article main section div table ul ol dl td th blockquote aside nav header footer form".split())
-_HOLDS = frozenset("html body article main section div table td center".split())
 # what the names, classes and roles of elements that hold no article text are made of
 _BOILER = re.compile(
     r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menus|header|masthead|footer|contentinfo|sidebar|side|aside|complementary|widgets?|ad|ads|advert|adverts|advertisement|"
@@ -96,12 +94,12 @@ def _step(name: str, attributes: str) -> tuple[str, bool, bool]:
 
 
 class Block:
-    """A run of text between block boundaries: path, text, whether it is skipped or in an article, characters in links."""
+    """A run of text between block boundaries: path, text, whether it is skipped or in an article."""
 
-    __slots__ = ("path", "text", "skip", "article", "links")
+    __slots__ = ("path", "text", "skip", "article")
 
-    def __init__(self, path, text, skip, article, links):
-        self.path, self.text, self.skip, self.article, self.links = path, text, skip, article, links
+    def __init__(self, path, text, skip, article):
+        self.path, self.text, self.skip, self.article = path, text, skip, article
 
 
 def parse(page: str) -> tuple[list[str], list[Block]]:
@@ -110,26 +108,20 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
     paths: list[str] = []
     blocks: list[Block] = []
     pieces: list[str] = []
-    links = inside_link = 0
     at, n = 0, len(page)
 
     def flush():
-        nonlocal links
         if pieces:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
                 _, path, skip, article = stack[-1]
-                blocks.append(Block(path, text, skip, article, links))
-        links = 0
+                blocks.append(Block(path, text, skip, article))
 
     def say(raw: str):
-        nonlocal links
         if "&" in raw:
             raw = entities.unescape(raw)
         pieces.append(raw)
-        if inside_link:
-            links += len(raw)
 
     while at < n:
         m = _TAG.search(page, at)
@@ -150,8 +142,6 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
                 at = end.end() if end else n
             continue
         if name in _INLINE:
-            if name == "a":
-                inside_link = 0 if closing else 1
             continue
         if name == "br" or name == "img" or name == "wbr":
             if name == "br":
@@ -192,32 +182,17 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
 
 
 class Template:
-    """What is known of a host: order of its landmark paths, its constant text, the path of its article."""
-
-    def __init__(self, rows):
-        marks = sorted((r["place"], r["path"]) for r in rows if r["single"] and not r["text"])
-        self.order = {path: k for k, (_, path) in enumerate(marks)}
-        self.constant = {r["token"] for r in rows if r["text"]}
-        slots = [(r["path"], r["chars"] - 2 * r["links"]) for r in rows if r["path"] and r["chars"] > 2 * r["links"]]
-        total = sum(c for _, c in slots)
-        self.article = ""
-        for path, _ in slots:
-            while path.rpartition("/")[2].partition(".")[0] not in _HOLDS and path:
-                path = path.rpartition("/")[0]  # a paragraph or list is not the article, what holds it is
-            k = len(path)
-            while k > 0:
-                head = path[:k]
-                if len(head) > len(self.article) and sum(c for p, c in slots if p == head or p.startswith(head + "/")) >= MOST * total:
-                    self.article = head
-                    break
-                k = path.rfind("/", 0, k)
-        self.rows = len(rows)
+    """What is known of a host: order of its landmark paths, its constant text, both as digests."""
+
+    def __init__(self, landmarks, constant):
+        self.order = {token: k for k, token in enumerate(landmarks)}
+        self.constant = frozenset(constant)
 
     def fits(self, paths: list[str]) -> bool:
         """Do the landmarks that the page has come in the order of the template?"""
         last = -1
         for p in dict.fromkeys(paths):
-            k = self.order.get(p)
+            k = self.order.get(_path_token(p))
             if k is not None:
                 if k < last:
                     return False
@@ -226,60 +201,51 @@ class Template:
 
 
 def main_text(page: str | None, template: Template | None = None) -> str:
-    """The article of a page, one line per block."""
+    """The text of the slots of a page, one line per block."""
     if not page:
         return ""
     paths, blocks = parse(page)
-    if any(b.article for b in blocks):
-        return "\n".join(b.text for b in blocks if b.article and not b.skip)
     rest = [b for b in blocks if not b.skip]
-    if template is not None and template.rows and template.fits(paths):
-        varying = [b for b in rest if _digest("text", b.path, b.text) not in template.constant]
-        inside = [b for b in varying if b.path == template.article or b.path.startswith(template.article + "/")] if template.article else varying
-        rest = inside or varying or rest
+    if template is not None and template.constant and template.fits(paths):
+        rest = [b for b in rest if b.article or _digest("text", b.path, b.text) not in template.constant] or rest
     return "\n".join(b.text for b in rest)
 
 
 def _tokens(batches):
-    """Rows (url, html) to (host, token, path, text?, pages, vector, place, chars, links, single), added up over a batch."""
+    """Rows (url, html) to (host, token, path, text?, pages, vector, place, single), added up over a batch."""
     task, row = TaskContext.get().partitionId(), 0
     for batch in batches:
         sums: dict[tuple[str, int], list] = {}
 
-        def add(key, path, text, vector, place, chars, linked, single, sums=sums):
+        def add(key, path, text, vector, place, single, sums=sums):
             s = sums.get(key)
             if s is None:
-                sums[key] = [path, text, 1, vector, place, chars, linked, single]
+                sums[key] = [path, text, 1, vector, place, single]
             else:
                 s[2] += 1
                 s[3] ^= vector
                 s[4] += place
-                s[5] += chars
-                s[6] += linked
-                s[7] &= single
+                s[5] &= single
 
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             host, page = host_of(url), page.as_py()
             row += 1
-            add((host, 0), "", False, 0, 0.0, 0, 0, True)
+            add((host, 0), "", False, 0, 0.0, True)
             if not page:
                 continue
             paths, blocks = parse(page)
             seen: dict[str, list] = {}
             for k, p in enumerate(paths):
-                s = seen.setdefault(p, [k, 0, 0, 0])
+                s = seen.setdefault(p, [k, 0])
                 s[1] += 1
             texts: dict[int, list] = {}
             for b in blocks:
-                if b.path in seen and not b.skip:
-                    seen[b.path][2] += len(b.text)
-                    seen[b.path][3] += b.links
                 t = texts.setdefault(_digest("text", b.path, b.text), [b.path, 0])
                 t[1] += 1
-            for p, (k, count, chars, linked) in seen.items():
-                add((host, _path_token(p)), p, False, _vector(task, row, count), k / len(paths), chars, linked, count == 1)
+            for p, (k, count) in seen.items():
+                add((host, _path_token(p)), p, False, _vector(task, row, count), k / len(paths), count == 1)
             for token, (p, count) in texts.items():
-                add((host, token), p, True, _vector(task, row, count), 0.0, 0, 0, count == 1)
+                add((host, token), p, True, _vector(task, row, count), 0.0, count == 1)
             if len(sums) > 200_000:
                 yield _token_rows(sums)
                 sums.clear()
@@ -306,13 +272,13 @@ def _vector(task: int, row: int, count: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_SUMS = "host string, token long, path string, text boolean, pages long, vector long, place double, chars long, links long, single boolean"
+_SUMS = "host string, token long, path string, text boolean, pages long, vector long, place double, single boolean"
 
 
 def _token_rows(sums):
     keys, values = list(sums), list(sums.values())
-    columns = [[k[0] for k in keys], [k[1] for k in keys], *([v[i] for v in values] for i in range(8))]
-    types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+    columns = [[k[0] for k in keys], [k[1] for k in keys], *([v[i] for v in values] for i in range(6))]
+    types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _SUMS.split(", ")])
 
 
@@ -325,7 +291,7 @@ def templates(pages: DataFrame) -> DataFrame:
     slim = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     sums = slim.mapInArrow(_tokens, _SUMS).groupBy("host", "token").agg(
         F.first("path").alias("path"), F.first("text").alias("text"), F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"),
-        F.sum("place").alias("place"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("single").alias("single"),
+        F.sum("place").alias("place"), F.min("single").alias("single"),
     )
     sums = stage(sums.where(F.col("pages") >= PAGES), "tokens")
     hosts = sums.where("token = 0").select("host", F.col("pages").alias("all_pages"))
@@ -334,7 +300,7 @@ def templates(pages: DataFrame) -> DataFrame:
     valid = frequent.join(classes.where("size >= 2"), ["host", "vector", "pages"])
     # elements that repeat on a page are slots of the template but not landmarks of its order
     token = F.struct(
-        "token", F.col("path"), F.col("text"), F.when(F.col("single"), F.col("place") / F.col("pages")).otherwise(F.lit(2.0)).alias("place"), "chars", "links", "single"
+        "token", F.col("path"), F.col("text"), F.when(F.col("single"), F.col("place") / F.col("pages")).otherwise(F.lit(2.0)).alias("place"), "single"
     )
     out = stage(valid.groupBy("host").agg(F.collect_list(token).alias("tokens")), "templates")
     drop(sums)
@@ -352,7 +318,7 @@ def _extract(batches):
             if tokens.is_valid and hosts[k] not in known:
                 if len(known) > 2_000:
                     known.clear()
-                known[hosts[k]] = Template(tokens.as_py())
+                known[hosts[k]] = Template(tokens["landmarks"].as_py(), tokens["constant"].as_py())
             texts.append(main_text(page.as_py(), known[hosts[k]] if tokens.is_valid else None))
             held += len(texts[-1])
             if held > _FLUSH or k + 1 == len(ids):
@@ -374,10 +340,12 @@ def extract(pages: DataFrame) -> DataFrame:
     known = templates(pages)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     named = slim.select("page_id", "url", "html", _host_column(F.col("url")).alias("host"))
-    # a page with an article of its own needs no template, so it does not carry one to Python
-    own = F.coalesce(F.col("html").rlike("(?i)<(article|main)[\\s>]"), F.lit(True))
-    joined = named.join(small_lists(known, "tokens"), "host", "left")
-    rows = joined.select("page_id", "url", "html", "host", F.when(~own, F.col("tokens")).alias("tokens"))
+    # digests are all that Python needs of a template
+    order = F.sort_array(F.transform(F.filter("tokens", lambda t: t["single"] & ~t["text"]), lambda t: F.struct(t["place"], t["path"], t["token"])))
+    constant = F.transform(F.filter("tokens", lambda t: t["text"]), lambda t: t["token"])
+    slim = known.select("host", F.struct(F.transform(order, lambda t: t["token"]).alias("landmarks"), constant.alias("constant")).alias("template"), "tokens")
+    joined = named.join(small_lists(slim, "tokens").drop("tokens"), "host", "left")
+    rows = joined.select("page_id", "url", "html", "host", "template")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

@@ -109,6 +109,13 @@ def test_template_finds_the_article_where_no_tag_says_it(spark):
     assert found[100] == "Welcome to us\nstory 1\nmore 1\nAll rights"  # one page tells nothing about its host
 
 
+def test_an_article_tag_does_not_hide_the_other_slots(spark):
+    page = "<body><div class=top><p>Welcome to us</p></div><article><p>teaser {n}</p></article><div class=x><p>story {n} {t}</p></div></body>"
+    rows = [(n, f"http://a.b/{n}", page.format(n=n, t="word " * n)) for n in range(9)]
+    found = {r.page_id: r.text for r in htmlx.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(found[n] == f"teaser {n}\nstory {n} {'word ' * n}".strip() for n in range(9))
+
+
 def test_templates_do_not_depend_on_partitions(spark):
     rows = [(n, "http://a.b/", PAGE.format(n=n, open="<div>", close="</div>")) for n in range(20)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
