@@ -116,6 +116,14 @@ def test_an_article_tag_does_not_hide_the_other_slots(spark):
     assert all(found[n] == f"teaser {n}\nstory {n} {'word ' * n}".strip() for n in range(9))
 
 
+def test_paragraphs_may_vary_in_number(spark):
+    page = "<body><div class=top><h1>title {n}</h1></div><div class=x>{body}</div></body>"
+    lines = {n: [f"part {k} of {n}" for k in range(2 + n % 8)] for n in range(12)}
+    rows = [(n, f"http://a.b/{n}", page.format(n=n, body="".join(f"<p>{x}</p>" for x in lines[n]))) for n in lines]
+    found = {r.page_id: r.text for r in htmlx.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(found[n] == "\n".join([f"title {n}", *lines[n]]) for n in lines)
+
+
 def test_templates_do_not_depend_on_partitions(spark):
     rows = [(n, "http://a.b/", PAGE.format(n=n, open="<div>", close="</div>")) for n in range(20)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
