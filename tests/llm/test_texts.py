@@ -124,6 +124,13 @@ def test_paragraphs_may_vary_in_number(spark):
     assert all(found[n] == "\n".join([f"title {n}", *lines[n]]) for n in lines)
 
 
+def test_an_article_in_two_containers_is_kept_whole(spark):
+    page = "<body><div class=top><p>Welcome to us</p></div><div class=lead><p>lead {n} {a}</p></div><div class=rest><p>rest {n} {b}</p></div></body>"
+    rows = [(n, f"http://a.b/{n}", page.format(n=n, a="one " * 35, b="two " * 65)) for n in range(9)]
+    found = {r.page_id: r.text for r in htmlx.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(found[n] == f"lead {n} {'one ' * 35}".strip() + "\n" + f"rest {n} {'two ' * 65}".strip() for n in range(9))
+
+
 def test_templates_do_not_depend_on_partitions(spark):
     rows = [(n, "http://a.b/", PAGE.format(n=n, open="<div>", close="</div>")) for n in range(20)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
