@@ -1,9 +1,11 @@
-"""Repeated passages by content-defined chunking.
+"""Repeated passages of over 50 words by content-defined chunking.
 
 A gear hash rolls over the bytes of a text: each byte shifts it by one and adds a word of a random table, so after 32
-bytes it depends on those 32 alone. A chunk ends where the top bits of the hash are zero, if it is long enough by then;
-where that does not happen for long, it ends where the hash is least. Where a passage begins in a text shifts its chunks only at its edges: further inside both
-copies are cut alike, so equal chunks meet by digest however much was inserted before them.
+bytes it depends on those 32 alone. Every window of 51 words has an anchor: the word end with the least hash among those
+that have 32 bytes of the window before them. Windows in a row with one anchor make a chunk; chunks overlap, and their
+borders depend on the text alone. A window that stands in two documents has the same anchor in both, however much was
+inserted before it, so no passage is missed: chunks meet by the digest of their anchor, equal chunks are shared as a
+whole, and where chunks of one anchor differ, their windows of 51 words are compared one by one.
 """
 
 from __future__ import annotations
@@ -15,15 +17,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
 from ledgerloom.llm.linededup import _slim
-from ledgerloom.llm.linkage import small_lists
+from ledgerloom.llm.linkage import small, small_lists
 from ledgerloom.llm.ngramjoin import NO_ID
 from ledgerloom.plans.runtime import ship, stage
 
 #: Least and greatest bytes of a chunk, and top bits of the hash that are zero at its end: about 24 bytes on average.
 LEAST, MOST, BITS = 8, 128, 4
-#: Bytes that a run of repeated chunks must have to count as a passage. A passage of over 50 words has more of them than that,
-#: less a chunk at either end that the texts around it spoil.
-PASSAGE = 200
+#: Words that a passage must have, and those of them that 32 bytes before a word's end may take: one letter and one space each.
+WORDS, BEHIND = 51, 16
+#: Kinds of chunk beyond which an anchor is treated by itself.
+MANY = 64
 _WINDOW = 32
 _GEAR = (kernels.BYTE_WORD >> np.uint64(16)).astype(np.uint32)
 
@@ -69,6 +72,46 @@ def chunk_ends(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return np.repeat(np.arange(len(starts)), counts), np.array(begins, np.int64), np.array(closes, np.int64)
 
 
+def _word_places(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, one past the last byte, row) of the words of the rows that lie in ``part`` at starts, ends."""
+    solid = ~kernels.IS_SPACE[part]
+    edge = np.zeros(len(part) + 1, bool)
+    edge[starts] = edge[ends] = edge[0] = edge[-1] = True
+    first = np.flatnonzero(solid & (edge[:-1] | np.append(True, ~solid[:-1])))
+    last = np.flatnonzero(solid & (edge[1:] | np.append(~solid[1:], True))) + 1
+    row = np.searchsorted(starts, first, "right") - 1
+    inside = last <= ends[row]  # what lies between rows is of none
+    return first[inside], last[inside], row[inside]
+
+
+def _digests(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Digests of the stretches a to b of ``part``."""
+    power, inverse = kernels._powers(len(part) + 1)
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(kernels.BYTE_WORD[part] * power[: len(part)], out=total[1:])
+    return kernels.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+
+def anchored(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, one past the last byte, end of the anchor) of the chunks of rows that lie in ``part``."""
+    first, last, row = _word_places(part, starts, ends)
+    n = len(first) - WORDS + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 4
+    low = np.uint64(0xFFFFFFFF)
+    least = gear(part)[last - 1].astype(np.uint64) << np.uint64(32) | low - np.arange(len(first), dtype=np.uint64)  # the last one of equals
+    width, reach = WORDS - BEHIND, 1
+    while 2 * reach <= width:
+        least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
+    least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
+    place = (low - (least[BEHIND:] & low)).astype(np.int64)
+    window = np.flatnonzero(row[:n] == row[WORDS - 1 :])
+    place = place[window]
+    opens = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+    closes = np.append(opens[1:], len(place))[: len(opens)] - 1
+    return row[window[opens]], first[window[opens]], last[window[closes] + WORDS - 1], last[place[opens]]
+
+
 def _chunks(batches):
     for batch in batches:
         doc, mark = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -78,70 +121,123 @@ def _chunks(batches):
             if hi <= lo:
                 continue
             part = body[lo:hi]
-            row, a, b = chunk_ends(part, starts[i:j] - lo, ends[i:j] - lo)
-            power, inverse = kernels._powers(len(part) + 1)
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(kernels.BYTE_WORD[part] * power[: len(part)], out=total[1:])
-            digest = kernels.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+            row, a, b, at = anchored(part, starts[i:j] - lo, ends[i:j] - lo)
             yield pa.record_batch(
-                [pa.array(doc[i + row]), pa.array(mark[i + row]), pa.array(a + lo - starts[i + row]), pa.array((b - a).astype(np.int32)), pa.array(kernels.signed(digest))],
-                names=["doc", "mark", "start", "size", "digest"],
-            )
+                [
+                    pa.array(doc[i + row]), pa.array(mark[i + row]), pa.array(a + lo - starts[i + row]), pa.array((b - a).astype(np.int32)),
+                    pa.array(kernels.signed(_digests(part, at - _WINDOW, at))), pa.array(kernels.signed(_digests(part, a, b))),
+                ],
+                names=["doc", "mark", "start", "size", "anchor", "digest"],
+            )
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, mark, start, size, first)``: chunks whose digest stands in more than one document, dealt out by document.
-
-    ``first`` is true in the document of the least id that has the digest. Digests have 64 bits: two chunks may share one
-    by chance in corpora of billions, but not the several in a row that make a passage. Rows of one id and text are one
-    document.
+def _windows(batches):
+    """Rows (text, chunks) to the windows of their chunks: (anchor, digest, lo, hi, k, a, b, window)."""
+    for batch in batches:
+        parts, chunks, held = [], [], 0
+        for k in range(len(batch)):
+            text = batch.column(0)[k].as_py().encode()
+            for c in batch.column(1)[k].as_py():
+                parts.append(text[c["start"] : c["start"] + c["size"]])
+                chunks.append(c)
+                held += c["size"]
+                if held > kernels.BLOCK:
+                    yield _window_rows(parts, chunks)
+                    parts, chunks, held = [], [], 0
+        if parts:
+            yield _window_rows(parts, chunks)
+
+
+def _window_rows(parts, chunks):
+    part = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(x) for x in parts])
+    starts = np.append(0, ends[:-1])
+    first, last, row = _word_places(part, starts, ends)
+    k = np.flatnonzero(row[: len(row) - WORDS + 1] == row[WORDS - 1 :])
+    begins = np.searchsorted(row, np.arange(len(parts)))
+    a, b, row = first[k], last[k + WORDS - 1], row[k]
+    take = lambda name: pa.array(np.array([c[name] for c in chunks], np.int64)[row])
+    columns = [take("anchor"), take("digest"), take("lo"), take("hi"), *(pa.array(x.astype(np.int32)) for x in (k - begins[row], a - starts[row], b - starts[row])), pa.array(kernels.signed(_digests(part, a, b)))]
+    return pa.record_batch(columns, names=["anchor", "digest", "lo", "hi", "k", "a", "b", "window"])
+
+
+def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc, mark, chunk, start, end, first)``: stretches all of whose windows of 51 words stand in other documents too.
+
+    Each lies in the chunk that begins at ``chunk``; those of a document may overlap. ``first`` is true in the document
+    of the least id that has the windows. Rows of one id and text are one document. Windows are compared by 64 bits.
     """
     ship(docs.sparkSession)
-    chunks = stage(_slim(docs, id_col, text_col).mapInArrow(_chunks, "doc long, mark long, start long, size int, digest long"), "chunks")
-    across = chunks.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("digest", "lo")
-    across = stage(across, "across")
+    slim = _slim(docs, id_col, text_col)
+    chunks = stage(slim.mapInArrow(_chunks, "doc long, mark long, start long, size int, anchor long, digest long"), "chunks")
+    across = stage(chunks.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("anchor"), "across")
     # an inner join: the optimizer would move a semi-join below the bitmap
-    found = _likely(chunks, across).join(across, "digest").select("doc", "mark", "start", "size", (F.col("doc") == F.col("lo")).alias("first"))
-    return found.repartition("doc", "mark").dropDuplicates(["doc", "mark", "start"])
+    near = stage(_likely(chunks, across).join(across, "anchor"), "near")
+    # equal chunks are one kind; only where an anchor has several kinds can a part of a chunk be shared
+    where = F.min(F.struct("doc", "mark", "start", "size")).alias("at")
+    kinds = stage(near.groupBy("anchor", "digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), where), "kinds")
+    counts = stage(kinds.groupBy("anchor").agg(F.count("*").alias("n")), "counts")
+    # anchors with many kinds do not go through a join that is dealt by them
+    many = small(counts.where(F.col("n") > MANY).select("anchor"))
+    rest = kinds.join(many, "anchor", "left_anti").join(counts.select("anchor", (F.col("n") > 1).alias("several")), "anchor")
+    kinds = stage(rest.unionByName(kinds.join(many, "anchor", "left_semi").withColumn("several", F.lit(True))), "kinds_counted")
+    whole = kinds.where("not several").select("anchor", "digest", F.lit(0).alias("a"), F.col("at.size").alias("b"), "lo")
+    kind = F.struct("at.start", "at.size", "anchor", "digest", "lo", "hi")
+    asked = kinds.where("several").groupBy(F.col("at.doc").alias("doc"), F.col("at.mark").alias("mark")).agg(F.collect_list(kind).alias("kinds"))
+    rows = slim.join(small_lists(stage(asked, "asked"), "kinds"), ["doc", "mark"]).select("text", "kinds")
+    windows = stage(rows.mapInArrow(_windows, "anchor long, digest long, lo long, hi long, k int, a int, b int, window long"), "windows")
+    shared = windows.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("window", "lo")
+    met = windows.drop("lo", "hi").join(shared, "window")
+    own = Window.partitionBy("anchor", "digest").orderBy("a")
+    opens = F.coalesce((F.lag("k").over(own) != F.col("k") - 1) | (F.lag("lo").over(own) != F.col("lo")), F.lit(True))
+    runs = met.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(own))
+    parts = runs.groupBy("anchor", "digest", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("lo").alias("lo")).drop("run")
+    pieces = stage(whole.unionByName(parts), "pieces")
+    found = near.select("doc", "mark", "start", "anchor", "digest").join(pieces, ["anchor", "digest"])
+    return found.select("doc", "mark", F.col("start").alias("chunk"), (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"), (F.col("doc") == F.col("lo")).alias("first"))
 
 
 def _likely(chunks: DataFrame, across: DataFrame) -> DataFrame:
-    """Chunks whose digest may be in ``across``, by a bitmap of at most 16 MB that goes to every executor.
+    """Chunks whose anchor may be in ``across``, by a bitmap of at most 16 MB that goes to every executor.
 
-    It only spares rows the way through the join: where the bitmap is too small for the digests, it lets more through.
+    It only spares rows the way through the join: where the bitmap is too small for the anchors, it lets more through.
     """
     bits = min(27, max(12, int(8 * across.count()).bit_length()))
-    slot = F.shiftrightunsigned(F.xxhash64("digest"), 64 - bits)
+    slot = F.shiftrightunsigned(F.xxhash64("anchor"), 64 - bits)
     word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
     words = across.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     tagged = chunks.withColumn("_word", word).withColumn("_bit", bit)
     return tagged.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE) -> DataFrame:
+def _merged(found: DataFrame) -> DataFrame:
+    """Overlapping stretches of a document as one: ``(doc, mark, start, length, n_chunks, first)``."""
+    before = Window.partitionBy("doc", "mark").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("doc", "mark").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce(F.max("end").over(before) < F.col("start"), F.lit(True))
+    runs = found.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(own))
+    out = runs.groupBy("doc", "mark", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.size(F.collect_set("chunk")).cast("long").alias("n_chunks"), F.min("first").alias("first")
+    )
+    return out.select("doc", "mark", "start", (F.col("end") - F.col("start")).alias("length"), "n_chunks", "first")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated passage of a document: ``(<id>, start, length, n_chunks, first)``, in bytes of the UTF-8 text.
 
-    A passage is a run of adjacent chunks that stand in other documents too, of at least ``least`` bytes in all;
-    ``first`` is true if none of them stands in a document before this one, so that it is the copy to keep. Null and
-    empty texts have none. Null ids are one id below all others and come back as null. Repeated rows of one id and text
-    are one document. Other columns are not read.
+    A passage is a longest stretch that is covered by windows of 51 words that other documents have too, byte by byte;
+    windows that overlap are one passage, whichever documents share them. Words end at ASCII white space. ``n_chunks``
+    counts the chunks it was found in; ``first`` is true if no window of it stands in a document before this one, so
+    that it is the copy to keep. Null and empty texts have none. Null ids are one id below all others and come back as
+    null. Repeated rows of one id and text are one document. Other columns are not read.
     """
-    found = repeated_chunks(docs, id_col, text_col)
-    own = Window.partitionBy("doc", "mark").orderBy("start")
-    opens = F.coalesce(F.lag(F.col("start") + F.col("size")).over(own) != F.col("start"), F.lit(True))
-    runs = found.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(own))
-    out = runs.groupBy("doc", "mark", "run").agg(F.min("start").alias("start"), F.sum("size").alias("length"), F.count("*").alias("n_chunks"), F.min("first").alias("first"))
-    out = out.where(F.col("length") >= least)
+    out = _merged(repeated_stretches(docs, id_col, text_col))
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), "start", "length", "n_chunks", "first")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every passage cut out of the text that an earlier document has too; all rows and columns stay."""
-    found = repeated_chunks(docs, id_col, text_col).where("not first")
-    own = Window.partitionBy("doc", "mark").orderBy("start")
-    opens = F.coalesce(F.lag(F.col("start") + F.col("size")).over(own) != F.col("start"), F.lit(True))
-    runs = found.withColumn("run", F.sum(opens.cast("int")).over(own))
-    spans = runs.groupBy("doc", "mark", "run").agg(F.min("start").alias("a"), F.sum("size").alias("n")).where(F.col("n") >= least)
+    spans = _merged(repeated_stretches(docs, id_col, text_col).where("not first")).select("doc", "mark", F.col("start").alias("a"), F.col("length").alias("n"))
     gone = stage(spans.groupBy(F.col("doc").alias("_ll_doc"), F.col("mark").alias("_ll_mark")).agg(F.sort_array(F.collect_list(F.struct("a", "n"))).alias("_ll_gone")), "gone")
     key = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.coalesce(F.xxhash64(docs[text_col].cast("string")), F.lit(0)))
     rows = docs.join(small_lists(gone, "_ll_gone"), (key[0] == F.col("_ll_doc")) & (key[1] == F.col("_ll_mark")), "left")

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -328,6 +329,40 @@ def test_shared_passages_are_found_wherever_they_stand(spark):
     assert sum(len(left[k].encode()) < len(body[k].encode()) - 150 for k in range(20, 80)) >= 55
 
 
+def brute_passages(rows):
+    """The stretches covered by windows of 51 words that another document has too, in bytes."""
+    places, seen = {}, {}
+    for k, text in rows:
+        body = (text or "").encode()
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", body)]
+        places[k] = [(words[i][0], words[i + 50][1]) for i in range(len(words) - 50)]
+        for a, b in places[k]:
+            seen.setdefault(body[a:b], set()).add(k)
+    found = set()
+    for k, text in rows:
+        body, runs = (text or "").encode(), []
+        for a, b in places[k]:
+            if len(seen[body[a:b]]) > 1:
+                first = k == min(seen[body[a:b]])
+                if runs and a <= runs[-1][1]:
+                    runs[-1] = (runs[-1][0], b, runs[-1][2] and first)
+                else:
+                    runs.append((a, b, first))
+        found |= {(k, a, b - a, first) for a, b, first in runs}
+    return found
+
+
+@pytest.mark.parametrize("letters", [1, 2, 6])
+def test_passages_of_51_words_however_short(spark, letters):
+    rng = random.Random(letters)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(1, letters))) for _ in range(n))
+    shared = [text(n) for n in (51, 51, 51, 52, 60, 130, 50, 49)]
+    rows = [(k, f"{text(rng.randrange(0, 90))} {shared[k % 8]}\n{text(rng.randrange(0, 90))} {shared[rng.randrange(8)]}") for k in range(80)]
+    rows += [(100, rows[3][1]), (101, rows[3][1] + " tail"), (102, " ".join(["a"] * 300)), (103, " ".join(["a"] * 90))]
+    found = substring.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.start, r.length, r.first) for r in found} == brute_passages(rows)
+
+
 def test_chunks_cover_the_text_and_survive_a_shift():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 255, 20_000, dtype=np.uint8)
