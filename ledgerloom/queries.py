@@ -807,3 +807,47 @@ def _(spark, sf_dir):
     out = fresh_path(spark, "stream_late")
     late.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}_progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("height bigint, action string").parquet(out)
+
+
+# --- the same features over whole tables
+
+
+@query("seal_boundaries_all", "SELECT o_orderkey AS tip, CASE WHEN o_orderkey >= 100 THEN (o_orderkey - 99) // 1000 * 1000 - 1 ELSE -1 END AS sealed, greatest(o_orderkey - 10, -1) AS durable FROM orders")
+def _(spark, sf_dir):
+    t = F.col("o_orderkey")
+    sealed = F.when(t >= 100, F.floor((t - 99) / RANGE_SIZE) * RANGE_SIZE - 1).otherwise(-1).cast("bigint")
+    return derive.table(spark, sf_dir, "orders").select(t.alias("tip"), sealed.alias("sealed"), F.greatest(t - 10, F.lit(-1)).alias("durable"))
+
+
+@query("blob_roundtrip_all", f"WITH {_SIZED} SELECT height, hash, prev_hash, sapling_size, orchard_size, ironwood_size FROM sized WHERE height < ({_TIP} + 1) // 1000 * 1000")
+def _(spark, sf_dir):
+    """All complete ranges through the packed binary form and back; a range that the tip has not filled is never packed."""
+    from ledgerloom.sources import blobs
+
+    tip = derive.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    blocks = sized_blocks(spark, sf_dir).select("height", "hash", "prev_hash", "time", "vtx", *_SIZES).where(F.col("height") < (tip + 1) // RANGE_SIZE * RANGE_SIZE)
+    back = blobs.unpack_ranges(blobs.pack_ranges(blocks))
+    return back.select("height", "hash", "prev_hash", *_SIZES)
+
+
+@query("wire_roundtrip_all", f"WITH {_SIZED} SELECT height, hash, prev_hash, time, sapling_size, orchard_size, ironwood_size FROM sized")
+def _(spark, sf_dir):
+    """All blocks through the wire format and back."""
+    from ledgerloom.sources import wire
+
+    nested = derive.nested_blocks(spark, sf_dir)
+    return wire.from_wire(wire.to_wire(nested.join(sized(spark, sf_dir).select("height", *_SIZES), "height"))).drop("vtx")
+
+
+@query("stream_depth_late_data_all", f"SELECT o_orderkey AS height, CASE WHEN o_orderkey <= ({_TIP} - 99) // 1000 * 1000 - 1 THEN 'deep recovery' WHEN o_orderkey <= {_TIP} - 10 THEN 'replace' WHEN o_orderkey <= {_TIP} THEN 'head' ELSE 'ahead' END AS action FROM orders")
+def _(spark, sf_dir):
+    """All rows, arriving on a stream, sorted out by depth below the table's own tip."""
+    from ledgerloom.plans.runtime import fresh_path
+    from ledgerloom.streaming.head import late_rows
+
+    orders = derive.table(spark, sf_dir, "orders")
+    live = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parquet*")
+    late = late_rows(live.select(F.col("o_orderkey").alias("height")), orders.agg(F.max("o_orderkey")).first()[0])
+    out = fresh_path(spark, "stream_late_all")
+    late.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}_progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("height bigint, action string").parquet(out)

@@ -21,3 +21,10 @@ def test_entry_points(spark):
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["seal_boundaries_all", "blob_roundtrip_all", "wire_roundtrip_all", "stream_depth_late_data_all"])
+def test_whole_table_queries_have_every_height(spark, name):
+    """sf0.01 ends with a complete range, so all of its 15 ranges are packed too."""
+    sf_dir = "/root/testdata/sf0.01"
+    assert QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count() == 15_000
