@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
-from ledgerloom.llm.linkage import link, small, small_lists
+from ledgerloom.llm.linkage import link, small, small_lists, unused
 from ledgerloom.llm.ngramjoin import NO_ID
 from ledgerloom.plans.runtime import drop, ship, stage
 
@@ -229,7 +229,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def fetch(nodes: DataFrame) -> DataFrame:
         places = nodes.join(classes, "node").groupBy(F.col("first.doc").alias("doc"), F.col("first.mark").alias("mark")).agg(F.collect_list("first.line").alias("wanted"))
         places = stage(places, "places")
-        return slim.join(small_lists(places, "wanted"), ["doc", "mark"]).select("wanted", "text").mapInArrow(_wanted, "node long, feats binary")
+        return slim.join(small_lists(places, "wanted"), ["doc", "mark"]).select("wanted", "text").mapInArrow(_wanted, "node long, feats binary").dropDuplicates(["node"])
 
     roots = link(candidates, None, fetch, NUM, DEN, line_sets)
     grouped = classes.join(roots, "node", "left").where("first <> last or root is not null")
@@ -251,15 +251,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     column ``n_chars`` it becomes the length of the new text.
     """
     classes = line_classes(docs, id_col, text_col)
-    gone = stage(classes.where("not kept").select("doc", "mark", "line").distinct().groupBy("doc", "mark").agg(F.collect_list(F.col("line").cast("int")).alias("gone")), "gone")
+    lost = classes.where("not kept").select("doc", "mark", "line").distinct().groupBy("doc", "mark")
+    doc, mark, gone = unused(docs, "_doc", "_mark", "_gone")
+    side = stage(lost.agg(F.collect_list(F.col("line").cast("int")).alias(gone)).withColumnsRenamed({"doc": doc, "mark": mark}), "gone")
+    drop(classes)
     text = F.col(text_col).cast("string")
     key = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.coalesce(F.xxhash64(docs[text_col].cast("string")), F.lit(0)))
-    side = gone.select(F.col("doc").alias("_ll_doc"), F.col("mark").alias("_ll_mark"), F.col("gone").alias("_ll_gone"))
-    rows = docs.join(small_lists(side, "_ll_gone"), (key[0] == F.col("_ll_doc")) & (key[1] == F.col("_ll_mark")), "left")
+    rows = docs.join(small_lists(side, gone), (key[0] == F.col(doc)) & (key[1] == F.col(mark)), "left")
     pieces = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("_ll_gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(gone))
     shorter = F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "\n")
-    changed = F.when(F.col("_ll_gone").isNotNull(), shorter).otherwise(text)
+    changed = F.when(F.col(gone).isNotNull(), shorter).otherwise(text)
     columns = [changed.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     out = rows.select(*columns)
     if "n_chars" in docs.columns:

@@ -1,15 +1,19 @@
 """From shared signatures to components of similar sets, without writing out the pairs of a group.
 
 A *candidate row* says that a set has a signature. Sets that share a signature may be similar; how surely similar
-sets share one is up to the caller. Three steps find the components of the similarity graph over all such pairs:
+sets share one is up to the caller. Four steps find the components of the similarity graph over all such pairs:
 
-1. each bucket of a signature contributes a star from the member that meets most others over all buckets; stars are
+1. signatures are counted, with partial sums ahead of the shuffle, and only rows of those that several sets share go on;
+2. each bucket of a signature contributes a star from the member that meets most others over all buckets; stars are
    verified exactly and joined;
-2. buckets whose members are then all in one component are done, whatever their size: no further link can change it;
-3. of the others, pairs of members in different components are compared inside the bucket, first by bounds that
-   never rule out a similar pair (sizes, parity sketches), and the few that pass are verified exactly.
-
-So a group of m near copies costs m comparisons in each bucket and not m squared, and no similar pair is lost.
+3. buckets whose members are then all in one component are done, whatever their size: no further link can change it.
+   In the others, members of different components are compared by bounds that never rule out a similar pair (sizes,
+   parity sketches); what comes out is the members that have such a partner, not the pairs;
+4. the sets of these members are sent to their buckets, compared exactly there, and each bucket gives a spanning forest
+   of its links: fewer rows than it has members, whatever the links among them.
+
+A bucket of many members is dealt to several cells: its members have seats, and two seats meet in one cell, so no task
+holds more than two seats of one bucket.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
@@ -27,6 +31,8 @@ from ledgerloom.plans.runtime import drop, ship, stage
 
 #: Rows up to which a table of ids is sent to every executor; a longer one is joined through a shuffle.
 SMALL_ROWS = 1_000_000
+#: Members, and features of members, that one seat of a bucket is meant for.
+SEAT, SEAT_FEATURES = 4096, 1 << 20
 _BLOCK = 1024
 #: Members up to which buckets are compared many at once.
 _SMALL = 64
@@ -43,6 +49,31 @@ def small_lists(df: DataFrame, column: str, entries: int = SMALL_ROWS) -> DataFr
     return F.broadcast(df) if total <= entries else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores ahead as it takes to be no column of ``df``, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def likely(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` may be in ``keys``, by a bitmap of at most 16 MB that goes to every executor.
+
+    It only spares rows the way through a join: where the bitmap is too small for the keys, it lets more through.
+    """
+    bits = min(27, max(12, int(8 * keys.count()).bit_length()))
+    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    words = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    tagged = rows.withColumn("_word", word).withColumn("_bit", bit)
+    return tagged.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+
+
 def may_be_similar(n: np.ndarray, m: np.ndarray, differ: np.ndarray, num: int, den: int) -> np.ndarray:
     """False only where den * |A & B| >= num * |A | B| is impossible, given sizes and a lower bound of |A ^ B|."""
     return (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (differ * (num + den) <= (den - num) * (n + m))
@@ -74,18 +105,19 @@ def stored_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body[starts[0] : ends[-1]].tobytes() if len(starts) else b"", np.uint64), at
 
 
+def _linked(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return den * both >= num * (len(s) + len(t) - both)
+
+
 def _verify(num: int, den: int, sets: Sets):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, _BLOCK):
                 x = batch.slice(at, _BLOCK)
-                ok = np.zeros(x.num_rows, bool)
                 (v, i), (w, j) = sets(x.column(2)), sets(x.column(3))
-                for k in range(x.num_rows):
-                    s, t = v[i[k] : i[k + 1]], w[j[k] : j[k + 1]]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    ok[k] = den * both >= num * (len(s) + len(t) - both)
-                yield x.select([0, 1]).filter(pa.array(ok))
+                ok = [_linked(v[i[k] : i[k + 1]], w[j[k] : j[k + 1]], num, den) for k in range(x.num_rows)]
+                yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -102,95 +134,145 @@ def _folded(sketches: pa.Array, size: int = 32) -> np.ndarray:
     return out
 
 
-def _few(t: dict, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of many small buckets at once: by size, component and folded sketch, then by whole sketches."""
-    key, n, root, own, node = t["key"], t["n"], t["root"], t["own"], t["node"]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    ends = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
-    count = ends - np.arange(len(key)) - 1
-    for low in range(0, len(key), _BLOCK * 8):
-        high = min(low + _BLOCK * 8, len(key))
-        a = np.repeat(np.arange(low, high), count[low:high])
-        begin = np.cumsum(count[low:high]) - count[low:high]
-        b = a + 1 + np.arange(len(a)) - np.repeat(begin, count[low:high])
-        ok = (root[a] != root[b]) & (own[a] | own[b])
-        a, b = a[ok], b[ok]
-        for at in range(0, len(a), _BLOCK * 16):
-            i, j = a[at : at + _BLOCK * 16], b[at : at + _BLOCK * 16]
-            differ = np.bitwise_count(t["folded"][i] ^ t["folded"][j]).sum(1, dtype=np.int64)
-            ok = np.flatnonzero(may_be_similar(n[i], n[j], differ, num, den))
-            i, j = i[ok], j[ok]
-            whole = np.array([sketch_distance(t["sketch"][x].as_py(), t["sketch"][y].as_py()) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
-            ok = may_be_similar(n[i], n[j], whole, num, den)
-            i, j = node[i[ok]], node[j[ok]]
-            if len(i):
-                yield pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
-
-
-def _many(t: dict, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one large bucket, block against block, in order of size so that most blocks need no look."""
-    order = np.argsort(t["n"], kind="stable")
-    node, root, own, n = (t[c][order] for c in ("node", "root", "own", "n"))
-    raw = [t["sketch"][i].as_py() for i in order.tolist()]
-    for i in range(0, len(node), _BLOCK):
-        # sizes ascend: partners of this block end where sizes are too large
-        until = int(np.searchsorted(n * num, n[min(i + _BLOCK, len(n)) - 1] * den, "right"))
-        size = len(raw[i])
-        bring = lambda some: np.stack([kernels.fold(np.frombuffer(b, np.uint8), size) for b in some])  # noqa: B023, E731
-        mine = bring(raw[i : i + _BLOCK])
-        for j in range(i, until, _BLOCK):
-            stop = min(j + _BLOCK, until)
-            theirs = bring(raw[j:stop])
-            for k in range(len(mine)):
-                ok = (root[j:stop] != root[i + k]) & (own[j:stop] | own[i + k])
-                if j == i:
-                    ok[: k + 1] = False
-                at = np.flatnonzero(ok)
-                d = np.bitwise_count(theirs[at] ^ mine[k]).sum(1, dtype=np.int64)
-                hit = at[may_be_similar(n[j:stop][at], n[i + k], d, num, den)]
-                if len(hit):
-                    a, b = np.full(len(hit), node[i + k]), node[j:stop][hit]
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def _pairs_across(num: int, den: int):
-    """Rows (key, node, root, own, n, sketch) sorted by key, to the pairs of one key in different components that may be similar."""
-
-    def of_rows(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        names = ("key", "node", "root", "own", "n")
-        t = {c: table.column(i).to_numpy() for i, c in enumerate(names)}
-        t["own"] = t["own"].astype(bool)
-        sketch = table.column(5).chunk(0)
-        first = np.flatnonzero(np.append(True, t["key"][1:] != t["key"][:-1]))
-        size = np.diff(np.append(first, len(t["key"])))
-        small_one = np.repeat(size <= _SMALL, size)
-        rows = np.flatnonzero(small_one)
-        if len(rows):
-            chosen = sketch.take(pa.array(rows))
-            yield from _few({c: t[c][rows] for c in names} | {"sketch": chosen, "folded": _folded(chosen)}, num, den)
-        for k in np.flatnonzero(size > _SMALL):
-            cut = slice(first[k], first[k] + size[k])
-            yield from _many({c: t[c][cut] for c in names} | {"sketch": sketch.slice(first[k], size[k])}, num, den)
+# --- cells: (key, a, b) with the members of seats a and b of the bucket
+
+
+def whole_cells(batches, keys: int) -> Iterator[pa.Table]:
+    """Batches that are sorted by their first ``keys`` columns, as tables that cut no run of equal ones."""
+    held: list[pa.RecordBatch] = []
+    for x in batches:
+        if not x.num_rows:
+            continue
+        key = np.stack([x.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
+        change = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        last = int(change[-1]) if len(change) else 0
+        fresh = bool(held) and [held[0].column(i)[0].as_py() for i in range(keys)] != key[0].tolist()
+        if last or fresh:
+            done = [*held, x.slice(0, last)] if last else held
+            yield pa.Table.from_batches(done).combine_chunks()
+            held = []
+        held.append(x.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class Cells:
+    """The rows (key, a, b, seat, node, root, own, n, ...) of some whole cells, and the pairs of a cell that may be similar."""
+
+    def __init__(self, table: pa.Table, sketches: pa.Array):
+        key, a, b, seat, self.node, self.root, own, self.n = (table.column(i).to_numpy() for i in range(8))
+        self.own, self.sketch = own.astype(bool), sketches
+        self.seat = np.where(a == b, -1 - np.arange(len(a)), seat)  # in a cell of one seat all pairs count
+        self.first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        self.size = np.diff(np.append(self.first, len(key)))
+
+    def pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        small_rows = np.flatnonzero(np.repeat(self.size <= _SMALL, self.size))
+        if len(small_rows):
+            yield from self._few(small_rows, num, den)
+        for k in np.flatnonzero(self.size > _SMALL):
+            yield from self._many(np.arange(self.first[k], self.first[k] + self.size[k]), num, den)
+
+    def _meet(self, i, j):
+        return (self.root[i] != self.root[j]) & (self.own[i] | self.own[j]) & (self.seat[i] != self.seat[j])
+
+    def _few(self, rows, num, den):
+        """Pairs of many small cells at once: by size, component and folded sketch, then by whole sketches."""
+        folded = _folded(self.sketch.take(pa.array(rows)))
+        size = self.size[self.size <= _SMALL]
+        count = np.repeat(np.cumsum(size), size) - np.arange(len(rows)) - 1
+        for low in range(0, len(rows), _BLOCK * 8):
+            high = min(low + _BLOCK * 8, len(rows))
+            a = np.repeat(np.arange(low, high), count[low:high])
+            begin = np.cumsum(count[low:high]) - count[low:high]
+            b = a + 1 + np.arange(len(a)) - np.repeat(begin, count[low:high])
+            ok = self._meet(rows[a], rows[b])
+            a, b = a[ok], b[ok]
+            for at in range(0, len(a), _BLOCK * 16):
+                x, y = a[at : at + _BLOCK * 16], b[at : at + _BLOCK * 16]
+                differ = np.bitwise_count(folded[x] ^ folded[y]).sum(1, dtype=np.int64)
+                i, j = rows[x], rows[y]
+                ok = np.flatnonzero(may_be_similar(self.n[i], self.n[j], differ, num, den))
+                i, j = i[ok], j[ok]
+                whole = np.array([sketch_distance(self.sketch[p].as_py(), self.sketch[q].as_py()) for p, q in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+                ok = may_be_similar(self.n[i], self.n[j], whole, num, den)
+                if ok.any():
+                    yield i[ok], j[ok]
+
+    def _many(self, rows, num, den):
+        """Pairs of one large cell, block against block, in order of size so that most blocks need no look."""
+        rows = rows[np.argsort(self.n[rows], kind="stable")]
+        n = self.n[rows]
+        raw = [np.frombuffer(self.sketch[k].as_py(), np.uint8) for k in rows.tolist()]
+        for i in range(0, len(rows), _BLOCK):
+            # sizes ascend: partners of this block end where sizes are too large
+            until = int(np.searchsorted(n * num, n[min(i + _BLOCK, len(n)) - 1] * den, "right"))
+            size = len(raw[i])
+            mine = np.stack([kernels.fold(x, size) for x in raw[i : i + _BLOCK]])
+            for j in range(i, until, _BLOCK):
+                stop = min(j + _BLOCK, until)
+                theirs = np.stack([kernels.fold(x, size) for x in raw[j:stop]])
+                for k in range(len(mine)):
+                    ok = self._meet(rows[i + k], rows[j:stop])
+                    if j == i:
+                        ok[: k + 1] = False
+                    at = np.flatnonzero(ok)
+                    d = np.bitwise_count(theirs[at] ^ mine[k]).sum(1, dtype=np.int64)
+                    hit = rows[j + at[may_be_similar(n[j:stop][at], n[i + k], d, num, den)]]
+                    if len(hit):
+                        yield np.full(len(hit), rows[i + k]), hit
+
+
+def _survivors(num: int, den: int):
+    """Rows (key, a, b, seat, node, root, own, n, sketch), sorted by cell, to those that may be similar to one of another component."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []  # rows of the last key so far, which may go on
-        for x in batches:
-            if not x.num_rows:
-                continue
-            key = x.column(0).to_numpy(zero_copy_only=False)
-            last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
-            if last or (held and held[0].column(0)[0].as_py() != key[0]):
-                done = [*held, x.slice(0, last)] if last else held
-                yield from of_rows(done)
-                held = []
-            held.append(x.slice(last))
-        if held:
-            yield from of_rows(held)
+        for t in whole_cells(batches, 3):
+            alive = np.zeros(len(t), bool)
+            for i, j in Cells(t, t.column(8).chunk(0)).pairs(num, den):
+                alive[i] = alive[j] = True
+            if alive.any():
+                yield from t.select(["key", "node", "root", "own", "n"]).filter(pa.array(alive)).to_batches()
 
     return run
 
 
+def _forest(num: int, den: int, sets: Sets):
+    """Rows (key, a, b, seat, node, root, own, n, feats), sorted by cell, to links that join their components."""
+
+    def run(batches):
+        for t in whole_cells(batches, 3):
+            v, at = sets(t.column(8).chunk(0))
+            cells = Cells(t, pa.array([kernels.parity_sketch(v[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+            parent: dict[int, int] = {}
+
+            def find(x, parent=parent):
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            out = []
+            for some, others in cells.pairs(num, den):
+                for i, j in zip(some.tolist(), others.tolist(), strict=True):
+                    r, s = find(int(cells.root[i])), find(int(cells.root[j]))
+                    if r != s and _linked(v[at[i] : at[i + 1]], v[at[j] : at[j + 1]], num, den):
+                        parent[max(r, s)] = min(r, s)
+                        out.append(sorted((int(cells.node[i]), int(cells.node[j]))))
+            if out:
+                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, parts: DataFrame, payload: str) -> DataFrame:
+    """Rows at their cells, sorted by them: ``parts`` (key, parts) says how many seats a bucket has."""
+    seated = rows.join(parts, "key").withColumn("seat", F.pmod(F.xxhash64("node"), F.col("parts")))
+    met = seated.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("key", F.least("seat", "other").alias("a"), F.greatest("seat", "other").alias("b"), "seat", "node", "root", "own", "n", payload)
+    return met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+
 def link(
     candidates: DataFrame,
     meta: DataFrame | None,
@@ -202,42 +284,51 @@ def link(
     """Components of the graph that links sets of a common signature with den * |A & B| >= num * |A | B|.
 
     candidates ``(key long, node long, own boolean)``: own is false for a set that is in a bucket only to meet others
-    that are there on their own account; two such guests need not be compared. meta ``(node long, n long, sketch binary)``, which must cover all nodes, or
-    None to derive it from the features of the nodes that share a signature; ``fetch(nodes)`` gives ``(node long, feats)`` of the nodes asked for, which ``sets`` turns into their sorted
+    that are there on their own account; two such guests need not be compared. Repeated rows are fine; the plan of the
+    candidates is run twice and must name the same sets each time. meta ``(node long, n long, sketch binary)`` has one
+    row for each node, or is None to be derived from the features of the nodes that share a signature; ``fetch(nodes)``
+    gives ``(node long, feats)``, one row for each of the nodes asked for, which ``sets`` turns into their sorted
     distinct 64-bit features: the bytes of those, unless ``sets`` says otherwise.
     Returns ``(node, root)`` for nodes that have a link; root is the least node of the component.
     """
     spark = candidates.sparkSession
     ship(spark)
-    same = Window.partitionBy("key")
-    found = candidates.select("key", "node", "own", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("far"), F.max("own").over(same).alias("any"), F.count("*").over(same).alias("met"))
-    shared = stage(found.where("low <> far and any").select("key", "node", "own", "met"), "shared")
+    met = candidates.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("far"), F.max("own").alias("any"), F.count("*").alias("met"))
+    keys = stage(met.where("low <> far and any").select("key", "met"), "keys")
+    # an inner join: the optimizer would move a semi-join below the bitmap
+    found = likely(candidates, keys, "key").join(keys, "key")
+    shared = stage(found.groupBy("key", "node").agg(F.max("own").alias("own"), F.max("met").alias("met")), "shared")
+    drop(keys)
     kept = None
     if meta is None:
         nodes = stage(shared.select("node").distinct(), "nodes")
         kept = stage(fetch(nodes), "feats")
-        meta = kept.mapInArrow(_describe(sets), "node long, n long, sketch binary")
+        meta = stage(kept.mapInArrow(_describe(sets), "node long, n long, sketch binary"), "meta")
         drop(nodes)
 
     # the set that meets most others is likely what they are copies of, so it leads the buckets that it is in
-    known = shared.groupBy("node").agg(F.sum("met").alias("met"))
-    ranked = shared.select("key", "node").join(known, "node").select("key", "node", F.max(F.struct("met", "node")).over(same)["node"].alias("leader"))
-    stars = ranked.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    first = _verified(stage(_pruned(stars, meta, num, den), "stars"), fetch, num, den, sets, kept)
+    known = shared.groupBy("node").agg(F.sum("met").alias("all_met"))
+    leaders = shared.select("key", "node").join(known, "node").groupBy("key").agg(F.max(F.struct("all_met", "node"))["node"].alias("leader"))
+    stars = shared.select("key", "node").join(leaders, "key").where("node <> leader")
+    stars = stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    pruned = stage(_pruned(stars, meta, num, den), "stars")
+    first = _verified(pruned, fetch, num, den, sets, kept)
     roots = components(first)
+    drop(pruned)
 
     placed = shared.join(roots, "node", "left").select("key", "node", "own", F.coalesce("root", "node").alias("root"))
-    placed = placed.select("key", "node", "own", "root", F.min("root").over(same).alias("lo"), F.max("root").over(same).alias("hi"))
-    open_rows = stage(placed.where("lo <> hi").select("key", "node", "root", "own"), "open")
-    with_meta = open_rows.join(meta, "node").select("key", "node", "root", "own", "n", "sketch")
-    spread = with_meta.repartition("key").sortWithinPartitions("key")
-    pairs = stage(spread.mapInArrow(_pairs_across(num, den), "a long, b long").distinct(), "pairs")
-    second = _verified(pairs, fetch, num, den, sets, kept)
-    drop(shared, open_rows, pairs, *([kept] if kept is not None else []))
-    if second.isEmpty():
-        return roots
-    final = components(first.union(second))
-    drop(roots, first, second)
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / SEAT).cast("long").alias("parts"))
+    split = stage(split.where("lo <> hi").select("key", "parts"), "open")
+    in_open = likely(placed, split, "key").join(meta, "node")
+    alive = _dealt(in_open, split, "sketch").mapInArrow(_survivors(num, den), "key long, node long, root long, own boolean, n long")
+    alive = stage(alive.distinct(), "alive")
+    seats = alive.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SEAT), F.ceil(F.sum("n") / SEAT_FEATURES)).cast("long").alias("parts"))
+    nodes = stage(alive.select("node").distinct(), "wanted")
+    feats = kept if kept is not None else stage(fetch(nodes), "feats")
+    second = _dealt(alive.join(feats, "node"), seats, "feats").mapInArrow(_forest(num, den, sets), "a long, b long")
+    second = stage(second.distinct(), "links")
+    final = roots if second.isEmpty() else components(first.union(second))
+    drop(shared, split, alive, nodes, feats, first, second, *([meta] if kept is not None else []), *([roots] if final is not roots else []))
     return final
 
 

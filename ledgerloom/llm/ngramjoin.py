@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
-from ledgerloom.llm.linkage import link, small
+from ledgerloom.llm.components import components
+from ledgerloom.llm.linkage import link, small, unused
 from ledgerloom.plans.runtime import drop, ship, stage
 
 #: Stands for a null id inside the operator; such documents are one vertex below all others.
@@ -133,26 +134,30 @@ def signatures(values: np.ndarray, mixed: np.ndarray, num: int, den: int) -> lis
 
 
 def _sets(batches, width):
-    """(ids, values, offsets) of the shingle sets of the rows, block by block."""
+    """(rows, values, offsets) of the shingle sets of the rows, whose last column is the text, block by block."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        body, starts, ends = kernels.string_buffers(batch.column(1))
+        body, starts, ends = kernels.string_buffers(batch.column(batch.num_columns - 1))
         for i, j in kernels.row_blocks(starts, ends):
             h, r = kernels.words(body, starts[i:j], ends[i:j])
             s, r = kernels.shingles(h, r, width, j - i)
             values, at = kernels.distinct_sorted(s, r, j - i)
-            yield ids[i:j], values, at
+            yield batch.slice(i, j - i), values, at
+
+
+def _marked(batches, width):
+    """(rows, values, second hashes, offsets, two hashes of each set) of the rows, block by block."""
+    for ids, values, at in _sets(batches, width):
+        mixed = kernels.mix(values + np.uint64(77))
+        yield ids, values, mixed, at, kernels.segment_sums(kernels.mix(mixed), at), kernels.segment_sums(mixed, at)
 
 
 def _profile(width):
     def run(batches):
-        for ids, values, at in _sets(batches, width):
-            mixed = kernels.mix(values + np.uint64(77))
-            one, two = kernels.segment_sums(kernels.mix(mixed), at), kernels.segment_sums(mixed, at)
+        for rows, values, _, at, one, two in _marked(batches, width):
             sketches = [kernels.parity_sketch(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.record_batch(
-                [pa.array(ids), pa.array(np.diff(at)), pa.array(kernels.signed(one)), pa.array(kernels.signed(two)), pa.array(sketches, pa.binary())],
-                names=["node", "n", "h1", "h2", "sketch"],
+                [rows.column(0), rows.column(1), pa.array(np.diff(at)), pa.array(kernels.signed(one)), pa.array(kernels.signed(two)), pa.array(sketches, pa.binary())],
+                names=["doc", "mark", "n", "h1", "h2", "sketch"],
             )
 
     return run
@@ -161,42 +166,36 @@ def _profile(width):
 def _sign(width, num, den):
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for ids, values, at in _sets(batches, width):
-            mixed = kernels.mix(values + np.uint64(77))
-            same = kernels.segment_sums(mixed, at)
-            keys, nodes, owns, held = [], [], [], 0
-            for i in range(len(ids)):
+        for _, values, mixed, at, one, two in _marked(batches, width):
+            out, held = [], 0
+            for i, mark in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
                 a, b = at[i], at[i + 1]
-                mark = (int(same[i]), int(b - a))
                 if a == b or mark in seen:
                     continue
                 if len(seen) < _SEEN:
                     seen.add(mark)
                 for own, k in zip((True, False), signatures(values[a:b], mixed[a:b], num, den), strict=True):
-                    keys.append(k)
-                    nodes.append(np.full(len(k), ids[i]))
-                    owns.append(np.full(len(k), own))
+                    out.append((k, np.full(len(k), one[i]), np.full(len(k), two[i]), np.full(len(k), own)))
                     held += len(k)
                 if held >= _ROWS:
-                    yield _rows(keys, nodes, owns)
-                    keys, nodes, owns, held = [], [], [], 0
+                    yield _rows(out)
+                    out, held = [], 0
             if held:
-                yield _rows(keys, nodes, owns)
+                yield _rows(out)
 
     return run
 
 
-def _rows(keys, nodes, owns):
-    return pa.record_batch([pa.array(kernels.signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(owns))], names=["key", "node", "own"])
+def _rows(out):
+    key, one, two, own = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.record_batch([pa.array(kernels.signed(x)) for x in (key, one, two)] + [pa.array(own)], names=["key", "h1", "h2", "own"])
 
 
 def _features(width):
     def run(batches):
-        for ids, values, at in _sets(batches, width):
-            yield pa.record_batch(
-                [pa.array(ids), pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                names=["node", "feats"],
-            )
+        for _, values, _, at, one, two in _marked(batches, width):
+            feats = [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.record_batch([pa.array(kernels.signed(one)), pa.array(kernels.signed(two)), pa.array(feats, pa.binary())], names=["h1", "h2", "feats"])
 
     return run
 
@@ -208,48 +207,56 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; fewer words make one shingle of all). ``component_id`` is the least
     id reachable by links, the row's own included. Null, empty and blank texts have no shingles and link with nothing.
     Null ids count as one id below all others and come back as null. Repeated rows come back as often as they came in;
-    rows with one id and several texts are one vertex. Other columns are not read, whatever their names.
+    rows with one id and several texts are one vertex, with the links of all its texts. Other columns are not read,
+    whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("node"), F.col(text_col).cast("string").alias("text"))
-    profile = stage(slim.mapInArrow(_profile(width), "node long, n long, h1 long, h2 long, sketch binary"), "profile")
-    classes = profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.max("node").alias("far"))
-    classes = stage(classes, "classes")
-    # signed rows bear the id of a copy, not of its class; equal sets among them meet in all their buckets anyway
-    candidates = slim.mapInArrow(_sign(width, num, den), "key long, node long, own boolean")
-    meta = profile.where("n > 0").select("node", "n", "sketch").dropDuplicates(["node", "n"])
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"), text.alias("text"))
+    profile = stage(slim.mapInArrow(_profile(width), "doc long, mark long, n long, h1 long, h2 long, sketch binary"), "profile")
+    # sets, not ids, are what is joined: a set is named by its first hash, and by both where two sets share that
+    filled = profile.where("n > 0")
+    twice = [r["h1"] for r in filled.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo <> hi").select("h1").collect()]  # a few in 2**32 sets
+    node = F.when(F.col("h1").isin(twice), F.xxhash64("h1", "h2")).otherwise(F.col("h1")) if twice else F.col("h1")
+    sets = filled.select(node.alias("node"), "doc", "mark", "n", "sketch")
+    classes = stage(sets.groupBy("node").agg(F.min(F.struct("doc", "mark")).alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    signed = slim.select("doc", "mark", "text").mapInArrow(_sign(width, num, den), "key long, h1 long, h2 long, own boolean")
+    candidates = signed.select("key", node.alias("node"), "own")
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        return slim.join(small(nodes), "node", "left_semi").mapInArrow(_features(width), "node long, feats binary")
-
-    roots = link(candidates, meta, fetch, num, den)
-    return _assemble(profile, classes, roots, id_col)
-
-
-def _assemble(profile: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
-    """Class members and links between classes brought together."""
-    from ledgerloom.llm.components import components
-
-    # equal sets hang together through their class, linked ones through the roots found
-    copies = classes.where("rep <> far").select("h1", "h2", "n", "rep")
-    members = profile.where("n > 0").join(copies, ["h1", "h2", "n"]).select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    joined = members.where("a <> b").union(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b"))
-    merged = components(joined)
-    rows = profile.select("node", F.col("n").alias("n_shingles")).join(merged, "node", "left")
-    out = rows.select("node", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("node")).alias("component_id"))
-    named = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    result = stage(out.select(named("node").alias(id_col), "n_shingles", named("component_id").alias("component_id")), "ngram_join")
-    drop(profile, classes, roots, merged)
+        places = nodes.join(classes, "node").select(F.col("place.doc").alias("doc"), F.col("place.mark").alias("mark")).distinct()
+        found = slim.join(small(places), ["doc", "mark"], "left_semi").select("doc", "mark", "text").mapInArrow(_features(width), "h1 long, h2 long, feats binary")
+        return found.select(node.alias("node"), "feats").dropDuplicates(["node"])
+
+    roots = link(candidates, classes.select("node", "n", "sketch"), fetch, num, den)
+    rooted = sets.select("node", "doc").join(roots, "node", "left").select("doc", F.coalesce("root", "node").alias("root"))
+    rooted = stage(rooted, "rooted")
+    # an id with texts in several components holds these together
+    several = rooted.groupBy("doc").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    bridges = stage(rooted.join(several.select("doc", "a"), "doc").select("a", F.col("root").alias("b")).where("a <> b").distinct(), "bridges")
+    whole = rooted
+    if not bridges.isEmpty():
+        over = components(bridges).toDF("root", "above")
+        whole = rooted.join(over, "root", "left").select("doc", F.coalesce("above", "root").alias("root"))
+    firsts = whole.groupBy("root").agg(F.min("doc").alias("first"))
+    # one row for each id that has words: its component is that of any of its texts
+    named = stage(whole.groupBy("doc").agg(F.min("root").alias("root")).join(firsts, "root").select("doc", "first"), "named")
+    out = profile.select("doc", F.col("n").alias("n_shingles")).join(named, "doc", "left")
+    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    out = out.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc")))
+    result = stage(out.select(null("doc").alias(id_col), "n_shingles", null("component").alias("component_id")), "ngram_join")
+    drop(profile, classes, roots, rooted, bridges, named)
     return result
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that are linked, over any number of links, to one of lesser id.
 
-    Documents without words stay. Rows that share an id stay or go together.
+    Documents without words stay. Rows that share an id stay or go together. No name of a column of ``docs`` is in the way.
     """
     found = ngram_join(docs, id_col, text_col, **options)
     gone = found.where("n_shingles > 0").where(F.coalesce(F.col(id_col), F.lit(NO_ID)) != F.coalesce("component_id", F.lit(NO_ID)))
-    gone = stage(gone.select(F.col(id_col).alias("_ll_id")).distinct(), "gone")
-    return docs.join(small(gone), docs[id_col].cast("long") == F.col("_ll_id"), "left_anti")
+    (key,) = unused(docs, "_id")
+    gone = stage(gone.select(F.col(id_col).alias(key)).distinct(), "gone")
+    return docs.join(small(gone), docs[id_col].cast("long") == F.col(key), "left_anti")

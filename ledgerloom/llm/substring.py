@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
 from ledgerloom.llm.linededup import _slim
-from ledgerloom.llm.linkage import small, small_lists
+from ledgerloom.llm.linkage import likely, small, small_lists, unused
 from ledgerloom.llm.ngramjoin import NO_ID
 from ledgerloom.plans.runtime import ship, stage
 
@@ -172,7 +172,7 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chunks = stage(slim.mapInArrow(_chunks, "doc long, mark long, start long, size int, anchor long, digest long"), "chunks")
     across = stage(chunks.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("anchor"), "across")
     # an inner join: the optimizer would move a semi-join below the bitmap
-    near = stage(_likely(chunks, across).join(across, "anchor"), "near")
+    near = stage(likely(chunks, across, "anchor").join(across, "anchor"), "near")
     # equal chunks are one kind; only where an anchor has several kinds can a part of a chunk be shared
     where = F.min(F.struct("doc", "mark", "start", "size")).alias("at")
     kinds = stage(near.groupBy("anchor", "digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), where), "kinds")
@@ -197,19 +197,6 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select("doc", "mark", F.col("start").alias("chunk"), (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"), (F.col("doc") == F.col("lo")).alias("first"))
 
 
-def _likely(chunks: DataFrame, across: DataFrame) -> DataFrame:
-    """Chunks whose anchor may be in ``across``, by a bitmap of at most 16 MB that goes to every executor.
-
-    It only spares rows the way through the join: where the bitmap is too small for the anchors, it lets more through.
-    """
-    bits = min(27, max(12, int(8 * across.count()).bit_length()))
-    slot = F.shiftrightunsigned(F.xxhash64("anchor"), 64 - bits)
-    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    words = across.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    tagged = chunks.withColumn("_word", word).withColumn("_bit", bit)
-    return tagged.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
-
-
 def _merged(found: DataFrame) -> DataFrame:
     """Overlapping stretches of a document as one: ``(doc, mark, start, length, n_chunks, first)``."""
     before = Window.partitionBy("doc", "mark").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -238,14 +225,15 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every passage cut out of the text that an earlier document has too; all rows and columns stay."""
     spans = _merged(repeated_stretches(docs, id_col, text_col).where("not first")).select("doc", "mark", F.col("start").alias("a"), F.col("length").alias("n"))
-    gone = stage(spans.groupBy(F.col("doc").alias("_ll_doc"), F.col("mark").alias("_ll_mark")).agg(F.sort_array(F.collect_list(F.struct("a", "n"))).alias("_ll_gone")), "gone")
+    doc, mark, cut = unused(docs, "_doc", "_mark", "_gone")
+    gone = spans.groupBy(F.col("doc").alias(doc), F.col("mark").alias(mark)).agg(F.sort_array(F.collect_list(F.struct("a", "n"))).alias(cut))
     key = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.coalesce(F.xxhash64(docs[text_col].cast("string")), F.lit(0)))
-    rows = docs.join(small_lists(gone, "_ll_gone"), (key[0] == F.col("_ll_doc")) & (key[1] == F.col("_ll_mark")), "left")
+    rows = docs.join(small_lists(stage(gone, "gone"), cut), (key[0] == F.col(doc)) & (key[1] == F.col(mark)), "left")
     raw = F.encode(F.col(text_col).cast("string"), "utf-8")
     # what stands between the spans: from the end of one to the start of the next
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_ll_gone", lambda x: x["a"] + x["n"]))
-    begins = F.concat(F.transform("_ll_gone", lambda x: x["a"]), F.array(F.octet_length(raw).cast("long")))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(cut, lambda x: x["a"] + x["n"]))
+    begins = F.concat(F.transform(cut, lambda x: x["a"]), F.array(F.octet_length(raw).cast("long")))
     piece = lambda a, b: F.hex(F.substr(raw, (a + 1).cast("int"), (b - a).cast("int")))
     left = F.decode(F.unhex(F.array_join(F.zip_with(ends, begins, piece), "")), "utf-8")
-    changed = F.when(F.col("_ll_gone").isNotNull(), left).otherwise(F.col(text_col).cast("string"))
+    changed = F.when(F.col(cut).isNotNull(), left).otherwise(F.col(text_col).cast("string"))
     return rows.select(*[changed.alias(c) if c == text_col else F.col(c) for c in docs.columns])

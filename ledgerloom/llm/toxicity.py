@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
+from ledgerloom.llm.linkage import unused
 from ledgerloom.plans.runtime import drop, ship, stage
 
 #: Labelled rows from which lexicons are mined, clean and toxic ones at most, and on which the classifier is trained.
@@ -345,5 +346,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score as toxic. Rows of one id go together only if all of them are rejected."""
     scored = score(docs, labels, id_col, text_col)
-    toxic = stage(scored.groupBy("doc_id").agg(F.min("predicted").alias("p")).where("p = 1").select(F.col("doc_id").alias("_ll_id")), "toxic")
-    return docs.join(toxic, docs[id_col].cast("long").eqNullSafe(F.col("_ll_id")), "left_anti")
+    (key,) = unused(docs, "_id")
+    toxic = stage(scored.groupBy("doc_id").agg(F.min("predicted").alias("p")).where("p = 1").select(F.col("doc_id").alias(key)), "toxic")
+    return docs.join(toxic, docs[id_col].cast("long").eqNullSafe(F.col(key)), "left_anti")

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import linededup, linkage, ngramjoin, vecjoin
+from ledgerloom.llm import kernels, linededup, linkage, mixing, ngramjoin, substring, toxicity, vecjoin
 from ledgerloom.llm.components import components
 from tests.llm.helpers import components as brute_components
 from tests.llm.helpers import jaccard_links, line_form, shingles
@@ -152,11 +153,8 @@ def test_lines_of_odd_tables(spark):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([(None, "one line here\nx", "k", 15), (3, "", "k", 0), (3, "", "k", 0), (4, None, "k", None)], key=repr)
 
 
-def test_in_bucket_pairs_of_large_and_small_buckets():
-    import pyarrow as pa
-
-    from ledgerloom.llm import kernels
-
+def buckets():
+    """Rows (key, node, root, own, set) of buckets of several sizes."""
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (50, 60, 300, 2000)]
     rows = []
@@ -165,13 +163,6 @@ def test_in_bucket_pairs_of_large_and_small_buckets():
             b = base[rng.integers(0, 4)]
             s = np.unique(np.concatenate([rng.permutation(b)[: len(b) - rng.integers(0, 6)], rng.integers(0, 2**63, rng.integers(0, 6)).astype(np.uint64)]))
             rows.append((key, len(rows), int(rng.integers(0, 4)), bool(rng.integers(0, 2)), s))
-    batch = lambda part: pa.record_batch(
-        [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part]), pa.array([len(r[4]) for r in part], pa.int64()), pa.array([kernels.parity_sketch(r[4]) for r in part], pa.binary())],
-        names=list("knross")[:6],
-    )
-    found = set()
-    for out in linkage._pairs_across(4, 5)(iter([batch(rows[i : i + 37]) for i in range(0, len(rows), 37)])):
-        found |= set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
     similar = set()
     for i, x in enumerate(rows):
         for y in rows[i + 1 :]:
@@ -179,7 +170,85 @@ def test_in_bucket_pairs_of_large_and_small_buckets():
                 both = len(np.intersect1d(x[4], y[4]))
                 if 5 * both >= 4 * (len(x[4]) + len(y[4]) - both):
                     similar.add((x[1], y[1]))
-    assert similar and similar <= found and all(rows[a][0] == rows[b][0] and rows[a][2] != rows[b][2] for a, b in found)
+    return rows, similar
+
+
+def cells(rows, parts, payload, name):
+    """The rows at their cells as Arrow batches that cut cells anywhere, sorted as the shuffle leaves them."""
+    out = []
+    for key, node, root, own, s in rows:
+        seat = node % parts
+        out += [(key, min(seat, o), max(seat, o), seat, node, root, own, len(s), payload(s)) for o in range(parts)]
+    out.sort(key=lambda r: r[:3])
+    names = ["key", "a", "b", "seat", "node", "root", "own", "n", name]
+    return [pa.record_batch([pa.array(c) for c in zip(*out[i : i + 37], strict=True)], names=names) for i in range(0, len(out), 37)]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_buckets_lose_no_link_and_give_forests(parts):
+    rows, similar = buckets()
+    found = set()
+    for out in linkage._survivors(4, 5)(iter(cells(rows, parts, kernels.parity_sketch, "sketch"))):
+        found |= set(out.column("node").to_pylist())
+    assert similar and {x for e in similar for x in e} <= found
+    links = []
+    for out in linkage._forest(4, 5, linkage.stored_sets)(iter(cells(rows, parts, lambda s: s.tobytes(), "feats"))):
+        links += zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)
+    assert set(links) <= similar and (parts > 1 or len(links) < len(rows))
+    # with what hangs together already, the forest spans what all links span
+    start = [(r[2], 1000 + r[1]) for r in rows]
+    name = lambda links: [(1000 + a, 1000 + b) for a, b in links]
+    nodes = [*range(4), *(1000 + r[1] for r in rows)]
+    assert brute_components(nodes, start + name(links)) == brute_components(nodes, start + name(similar))
+
+
+@pytest.mark.parametrize("seat", [4096, 50])
+def test_a_large_group_of_near_copies(spark, monkeypatch, seat):
+    """Thousands of copies of one text, some of which are only linked by a chain of others."""
+    monkeypatch.setattr(linkage, "SEAT", seat)
+    rng = random.Random(8)
+    base = words(rng, 120, 5000)
+    docs = []
+    for k in range(1500 if seat > 1000 else 300):
+        copy = list(base)
+        for _ in range(rng.randrange(9)):  # about half as many edits keep two copies apart
+            copy[rng.randrange(120)] = f"z{rng.randrange(9999)}"
+        docs.append((k, " ".join(copy)))
+    sets = {k: shingles(t, 4) for k, t in docs}
+    expected = brute_components(sets, jaccard_links(sets, 85, 100))
+    found = ngramjoin.ngram_join(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4))
+    assert {r.doc_id: r.component_id for r in found.collect()} == expected
+    assert len(set(expected.values())) > 5
+
+
+def test_an_id_on_two_texts_of_equal_size_keeps_the_links_of_both(spark):
+    rng = random.Random(9)
+    rows, pairs = [], []
+    for k in range(20):
+        one = words(rng, 207, 9000)
+        two = list(one)
+        two[3] = "other"
+        other = words(rng, 207, 9000)
+        rows += [(k, " ".join(one)), (1000 + k, " ".join(two)), (1000 + k, " ".join(other))]
+        pairs.append((1000 + k, k))
+    found = {r.doc_id: r.component_id for r in ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert all(found[a] == b for a, b in pairs)
+
+
+CLASHES = "_id int, _doc int, _mark int, _gone int, _times int, _copy int, node int, root int, key int, n int"
+
+
+def test_helpers_take_any_column_names(spark):
+    more = (1,) * 10
+    rows = [(1, "one line here\nanother line there", "a", *more), (2, "one line here", "a", *more), (2, "one line here", "b", *more), (None, None, None, *more)]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, source string, {CLASHES}")
+    assert sorted(r.doc_id or 0 for r in ngramjoin.keep_one(docs).collect()) == [0, 1, 2, 2]
+    assert {r.text for r in linededup.dedup_lines(docs).collect()} == {rows[0][1], "", None}
+    assert substring.drop_repeats(docs).count() == 4
+    assert set(mixing.copies(docs).columns) == set(docs.columns)
+    labels = spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int")
+    for kept in (toxicity.keep_clean(docs, labels), mixing.copies(docs), ngramjoin.keep_one(docs), linededup.dedup_lines(docs), substring.drop_repeats(docs)):
+        assert kept.columns == docs.columns and kept.collect() is not None
 
 
 def vectors(n_labels=3, per=150, size=12):
