@@ -227,9 +227,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = found.where("bands is not null").select(F.explode("bands").alias("key"), F.col("h1").alias("node"), F.lit(True).alias("own"))
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        places = nodes.join(classes, "node").groupBy(F.col("first.doc").alias("doc"), F.col("first.mark").alias("mark")).agg(F.collect_list("first.line").alias("wanted"))
-        places = stage(places, "places")
-        return slim.join(small_lists(places, "wanted"), ["doc", "mark"]).select("wanted", "text").mapInArrow(_wanted, "node long, feats binary").dropDuplicates(["node"])
+        places = nodes.join(classes, "node").select(F.xxhash64("first.doc", "first.mark").alias("place"), F.col("first.line").cast("int").alias("line"))
+        places = stage(places.groupBy("place").agg(F.collect_list("line").alias("wanted")), "places")
+        rows = slim.select(F.xxhash64("doc", "mark").alias("place"), "text").join(small_lists(places, "wanted"), "place")
+        # lines are named by their text, so a place too many does no harm
+        return rows.select("wanted", "text").mapInArrow(_wanted, "node long, feats binary").dropDuplicates(["node"])
 
     roots = link(candidates, None, fetch, NUM, DEN, line_sets)
     grouped = classes.join(roots, "node", "left").where("first <> last or root is not null")

@@ -3,7 +3,7 @@
 A *candidate row* says that a set has a signature. Sets that share a signature may be similar; how surely similar
 sets share one is up to the caller. Four steps find the components of the similarity graph over all such pairs:
 
-1. signatures are counted, with partial sums ahead of the shuffle, and only rows of those that several sets share go on;
+1. signatures are counted, with partial sums ahead of the shuffle, and only rows of those that occur again go on;
 2. each bucket of a signature contributes a star from the member that meets most others over all buckets; stars are
    verified exactly and joined;
 3. buckets whose members are then all in one component are done, whatever their size: no further link can change it.
@@ -293,12 +293,14 @@ def link(
     """
     spark = candidates.sparkSession
     ship(spark)
-    met = candidates.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("far"), F.max("own").alias("any"), F.count("*").alias("met"))
-    keys = stage(met.where("low <> far and any").select("key", "met"), "keys")
+    # a first count leaves what is alone out, at eleven bytes a row; copies of one set may still be several rows
+    keys = stage(candidates.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
     # an inner join: the optimizer would move a semi-join below the bitmap
     found = likely(candidates, keys, "key").join(keys, "key")
-    shared = stage(found.groupBy("key", "node").agg(F.max("own").alias("own"), F.max("met").alias("met")), "shared")
-    drop(keys)
+    members = stage(found.groupBy("key", "node").agg(F.max("own").alias("own")), "members")
+    met = members.groupBy("key").agg(F.count("*").alias("met"), F.max("own").alias("any")).where("met > 1 and any").select("key", "met")
+    shared = stage(members.join(met, "key").select("key", "node", "own", "met"), "shared")
+    drop(keys, members)
     kept = None
     if meta is None:
         nodes = stage(shared.select("node").distinct(), "nodes")
