@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
-from ledgerloom.llm.linkage import link, small, small_lists, unused
+from ledgerloom.llm.linkage import link, small_lists, unused
 from ledgerloom.llm.ngramjoin import NO_ID
 from ledgerloom.plans.runtime import drop, ship, stage
 
@@ -237,7 +237,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = classes.join(roots, "node", "left").where("first <> last or root is not null")
     grouped = grouped.select("node", "first", F.coalesce("root", "node").alias("root"))
     keepers = stage(grouped.groupBy("root").agg(F.min("first").alias("keeper")), "keepers")
-    shared = stage(grouped.join(small(keepers), "root").select(F.col("node").alias("h1"), "keeper"), "shared")
+    shared = stage(grouped.join(keepers, "root").select(F.col("node").alias("h1"), "keeper"), "shared")
     rows = found.select("doc", "mark", "line", "h1").join(shared, "h1", "left")
     keeper = F.coalesce("keeper", place)
     out = rows.select("doc", "mark", "line", keeper["doc"].alias("first_doc"), keeper["mark"].alias("first_mark"), keeper["line"].alias("first_line"), (keeper == place).alias("kept"))
