@@ -3,7 +3,7 @@
 A *candidate row* says that a set has a signature. Sets that share a signature may be similar; how surely similar
 sets share one is up to the caller. Four steps find the components of the similarity graph over all such pairs:
 
-1. signatures are counted, with partial sums ahead of the shuffle, and only rows of those that occur again go on;
+1. signatures are counted, with partial sums ahead of the shuffle, and only rows of those that several sets share go on;
 2. each bucket of a signature contributes a star from the member that meets most others over all buckets; stars are
    verified exactly and joined;
 3. buckets whose members are then all in one component are done, whatever their size: no further link can change it.
@@ -283,8 +283,8 @@ def link(
 ) -> DataFrame:
     """Components of the graph that links sets of a common signature with den * |A & B| >= num * |A | B|.
 
-    candidates ``(key long, node long, own boolean)``: own is false for a set that is in a bucket only to meet others
-    that are there on their own account; two such guests need not be compared. Repeated rows are fine; the plan of the
+    candidates ``(key long, node long[, own boolean])``: own is false for a set that is in a bucket only to meet others
+    that are there on their own account; two such guests need not be compared. Without that column none is a guest. Repeated rows are fine; the plan of the
     candidates is run twice and must name the same sets each time. meta ``(node long, n long, sketch binary)`` has one
     row for each node, or is None to be derived from the features of the nodes that share a signature; ``fetch(nodes)``
     gives ``(node long, feats)``, one row for each of the nodes asked for, which ``sets`` turns into their sorted
@@ -293,14 +293,14 @@ def link(
     """
     spark = candidates.sparkSession
     ship(spark)
-    # a first count leaves what is alone out, at eleven bytes a row; copies of one set may still be several rows
-    keys = stage(candidates.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
+    guests = "own" in candidates.columns
+    own = F.max("own") if guests else F.lit(True)
+    met = candidates.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("far"), F.count("*").alias("met"), *([own.alias("any")] if guests else []))
+    keys = stage(met.where("low <> far and any" if guests else "low <> far").select("key", "met"), "keys")
     # an inner join: the optimizer would move a semi-join below the bitmap
     found = likely(candidates, keys, "key").join(keys, "key")
-    members = stage(found.groupBy("key", "node").agg(F.max("own").alias("own")), "members")
-    met = members.groupBy("key").agg(F.count("*").alias("met"), F.max("own").alias("any")).where("met > 1 and any").select("key", "met")
-    shared = stage(members.join(met, "key").select("key", "node", "own", "met"), "shared")
-    drop(keys, members)
+    shared = stage(found.groupBy("key", "node").agg(F.max("met").alias("met"), *([own.alias("own")] if guests else [])).withColumn("own", F.col("own") if guests else own), "shared")
+    drop(keys)
     kept = None
     if meta is None:
         nodes = stage(shared.select("node").distinct(), "nodes")
