@@ -4,7 +4,7 @@ Only the histogram of piece lengths decides how full sequences get, and it has a
 many documents there are. The driver solves the covering program over configurations (sets of lengths that fit one
 sequence) by multiplicative weights: lengths still short of cover weigh more, a knapsack table prices all
 configurations at once, and the best one for each length gains a share. Shares are rounded down to whole sequences,
-what is left is solved again, and a small rest is placed best fit. Executors then number the pieces of each length
+what is left is solved again, and a rest of at most one piece for each length is placed best fit, alike pieces at once. Executors then number the pieces of each length
 without sorting them (a count per task and length is enough) and look their place up in the plan.
 """
 
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.runtime import drop, ship, stage
 
-#: Pieces below which the rest is placed best fit; the most rounds of the program before that, steps of a round, share of
-#: a solution that a round uses before it solves again, how sharply weights follow cover, and how near the best price a
+#: Steps of a round of the program, share of its solution that is used before it is solved again, share of the pieces below
+#: which a round counts as next to nothing, how sharply weights follow cover, and how near the best price a
 #: configuration must be.
-REST, ROUNDS, STEPS, STRIDE, SHARP, NEAR = 2_000, 60, 24, 0.3, 4.0, 0.02
+STEPS, STRIDE, LITTLE, SHARP, NEAR = 24, 0.3, 0.03, 4.0, 0.02
 #: Texts of these characters only are split alike by both tokenizer libraries; all others go to the slower one.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ſ]")
 _END = 0
@@ -148,55 +148,79 @@ def _shares(left: np.ndarray, capacity: int, steps: int) -> dict[tuple[int, ...]
     return shares
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Longest first, each into the fullest sequence that has room."""
-    free: dict[int, list[list[int]]] = {}
+def best_fit(left: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
+    """Longest first, each into the fullest sequence that has room, all pieces of a length and all alike sequences at once.
+
+    Returns how often each configuration comes about. A step uses up a length or a group of alike sequences, so the work
+    grows with the number of lengths and not with that of pieces.
+    """
+    groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     has = np.zeros(capacity + 1, bool)
-    done: list[list[int]] = []
+    done: dict[tuple[int, ...], int] = {}
+
+    def put(pattern, times, room):
+        if room and times:
+            groups.setdefault(room, []).append((pattern, times))
+            has[room] = True
+        elif times:
+            done[pattern] = done.get(pattern, 0) + times
+
     for x in np.flatnonzero(left)[::-1].tolist():
-        for _ in range(int(left[x])):
+        n = int(left[x])
+        while n:
             rooms = np.flatnonzero(has[x:])
             if len(rooms):
                 room = x + int(rooms[0])
-                one = free[room].pop()
-                has[room] = bool(free[room])
+                pattern, times = groups[room].pop()
+                has[room] = bool(groups[room])
+                fit = min(room // x, n)  # as many into one as go, then the next one
+                some = min(times, n // fit)
+                put(pattern, times - some, room)
+                put(pattern + (x,) * fit, some, room - fit * x)
+                n -= some * fit
             else:
-                room, one = capacity, []
-                done.append(one)
-            one.append(x)
-            room -= x
-            if room:
-                free.setdefault(room, []).append(one)
-                has[room] = True
-    return [tuple(x) for x in done]
+                fit = min(capacity // x, n)
+                put((x,) * fit, n // fit, capacity - fit * x)
+                n -= n // fit * fit
+    for some in groups.values():
+        for pattern, times in some:
+            done[pattern] = done.get(pattern, 0) + times
+    return done
 
 
 def configurations(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how often to use each, so that every piece of the histogram (index: length) is placed once."""
+    """Configurations and how often to use each, so that every piece of the histogram (index: length) is placed once.
+
+    The program is solved for what is left until that is at most one piece for each length and half of all pieces, at
+    every size of the input. Only this rest, which does not grow with the input, is placed best fit.
+    """
     left = histogram.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
+    used: dict[tuple[int, ...], int] = {}
     if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
+        used[(capacity,)] = int(left[capacity])
         left[capacity] = 0
-    for _ in range(ROUNDS):
+    enough = min(np.count_nonzero(left), left.sum() // 2)
+    while left.sum() > enough:
         before = left.sum()
-        if before <= REST:
-            break
         shares = _shares(left, capacity, STEPS)
         scale = STRIDE / max(1e-12, _overuse(shares, left, capacity))
-        for pattern, share in sorted(shares.items(), key=lambda p: (-p[1], p[0])):
-            names, times = np.unique(pattern, return_counts=True)
-            wanted = share * scale
-            n = int(min(np.floor(wanted) if before > 5 * REST else np.ceil(wanted), (left[names] // times).min()))
-            if n > 0:
-                out.append((pattern, n))
-                left[names] -= n * times
-        if left.sum() > 0.97 * before:
-            break
-    counts: dict[tuple[int, ...], int] = {}
-    for pattern in best_fit(left, capacity):
-        counts[pattern] = counts.get(pattern, 0) + 1
-    return out + sorted(counts.items(), reverse=True)
+        order = sorted(shares.items(), key=lambda p: (-p[1], p[0]))
+        for rounded in (np.floor, np.ceil):  # up only where down leaves next to nothing
+            if left.sum() > (1 - LITTLE) * before:
+                _take(left, used, order, scale, rounded)
+    for pattern, times in best_fit(left, capacity).items():
+        used[pattern] = used.get(pattern, 0) + times
+    return sorted(used.items(), reverse=True)
+
+
+def _take(left, used, order, scale, rounded) -> None:
+    """Configurations as often as their rounded shares say and pieces are left."""
+    for pattern, share in order:
+        names, times = np.unique(pattern, return_counts=True)
+        n = int(min(rounded(share * scale), (left[names] // times).min()))
+        if n > 0:
+            used[pattern] = used.get(pattern, 0) + n
+            left[names] -= n * times
 
 
 def _overuse(shares, left, capacity) -> float:

@@ -204,6 +204,30 @@ def test_plans_place_every_piece_and_stay_near_the_bound(kind):
     assert sum(n for _, n in plan) <= 1.02 * bound + 1
 
 
+@pytest.mark.parametrize("times", [1, 100])
+@pytest.mark.parametrize("pieces", [3, 40, 1_000, 20_000])
+def test_the_program_runs_at_every_size_and_leaves_a_bounded_rest(monkeypatch, pieces, times):
+    rng = np.random.default_rng(3)
+    h = np.bincount(np.minimum(2047, rng.exponential(500, pieces).astype(int) + 1), minlength=2049) * times
+    rests, real = [], packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda left, capacity: rests.append(int(left.sum())) or real(left, capacity))
+    plan = packing.configurations(h, 2048)
+    assert rests[0] <= min(np.count_nonzero(h), h.sum() // 2)
+    assert sum(n * len(p) for p, n in plan) == h.sum()
+    assert sum(n for _, n in plan) <= 1.03 * (h @ np.arange(2049)) / 2048 + 1
+
+
+def test_best_fit_of_many_alike_pieces():
+    h = np.zeros(101, int)
+    h[[60, 40, 30, 7, 100]] = [10**12, 10**12 + 5, 9, 10**9, 4]
+    plan = packing.best_fit(h, 100)
+    used = np.zeros(101, int)
+    for pattern, n in plan.items():
+        assert sum(pattern) <= 100
+        np.add.at(used, list(pattern), n)
+    assert (used == h).all() and len(plan) < 20 and sum(plan.values()) <= (h @ np.arange(101)) / 100 * 1.01
+
+
 # --- toxicity
 
 
