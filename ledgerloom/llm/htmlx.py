@@ -1,16 +1,19 @@
-"""Main text of web pages, with a template of each host deduced from how tokens occur over its pages.
+"""Main text of web pages, from a template of each host that is deduced from how tokens occur over its pages.
 
 A token is a block element, told apart by its path (names and classes of the blocks around it), or a block of text at
 its path. Its occurrence vector over the pages of the host is summed up in 64 bits: the exclusive or of a hash of (page,
 count) over the pages that have it. That is a map-side aggregate, so no task ever gathers a host, however many pages it
-has. Tokens of a host with one vector form an equivalence class. Classes that stand on enough pages, hold two tokens or
-more and keep their order are valid; ordered by place and nested by path they are the host's template. What lies
-between its tokens are slots.
-
-Slots whose path says menu, header, footer, sidebar, notice, advert, form or comments are dropped, as are scripts and
-styles wherever they stand, and text that is itself a token of the template. Every other slot is kept, however its text
-is shared out over containers and paragraphs. ``article`` and ``main`` are a hint alone: text below them is kept even if
-it is constant over the host, and text outside them is judged by the template like that of any page.
+has. Tokens of a host with one vector form an equivalence class. A class of elements is valid if it stands on enough
+pages and holds two tokens or more (the page itself is one); those of its tokens that lie in one element must come round
+in one order on every page of the host, or they are none of the template: the pages are read once more to see that.
+Valid tokens are nested by their paths into the template, each below the nearest valid one around it; what lies between
+them are slots, to which all text belongs that varies.
+
+The template says for each slot whether it is kept. Names, classes and roles of its elements are evidence there (menu,
+header, footer, sidebar, notice, advert, form, comments), and so is text that is nearly all links of a list; a slot
+below a dropped one is dropped. Elements inside a slot that are too rare for the template are judged by their names.
+Text that is itself a token of the template, the same on the pages of the host, is dropped outside ``article`` and
+``main``. Scripts and styles are no text. All other slots are extracted, in page order.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,8 +30,12 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.linkage import small, small_lists
 from ledgerloom.plans.runtime import drop, ship, stage
 
-#: A class must stand on so many pages of the host, and on this share of them.
+#: Text must be on so many pages of the host to be one of its tokens; a class must stand on this share of them.
 PAGES, SHARE = 3, 0.5
+#: A slot is a menu if this share of its text is in links, and there are so many of them on a page.
+LINKED, MENU = 0.9, 3
+#: Characters of a path beyond which what is above its last step is written as a digest.
+PATH = 400
 _FLUSH = 4 << 20
 
 _TAG = re.compile(
@@ -56,35 +62,28 @@ _BOILER = re.compile(
 _ARTICLE = frozenset(["article", "main"])
 
 
-def host_of(url: str | None) -> str:
-    """Host of a url in lower case, without user and port; empty if there is none."""
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
-
-
 def _digest(*parts: str) -> int:
     h = hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest()
     return int.from_bytes(h, "little", signed=True)
 
 
-def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """(path step, skipped, hidden) of an element, from its name, class, id and role."""
+def _label(name: str, attributes: str) -> tuple[str, bool]:
+    """(path step, skipped) of an element, from its name, class, id and role; the step of a skipped one says so."""
     if not attributes.strip():
-        return name, name in _SKIP, False
+        return name, name in _SKIP
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
     classes = " ".join(found.get("class", "").lower().split())
     marks = f"{classes} {found.get('id', '').lower()} {found.get('role', '').lower()}"
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     boiler = name not in ("html", "body") and name not in _ARTICLE and bool(_BOILER.search(marks))
-    return f"{name}.{classes}" if classes else name, name in _SKIP or boiler, hidden
+    step = f"{name}.{classes}" if classes else name
+    return f"{step}!" if boiler or hidden else step, name in _SKIP or boiler or hidden
 
 
-_steps: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+_steps: dict[tuple[str, str], tuple[str, bool]] = {}
 
 
-def _step(name: str, attributes: str) -> tuple[str, bool, bool]:
+def _step(name: str, attributes: str) -> tuple[str, bool]:
     key = (name, attributes)
     if key not in _steps:
         if len(_steps) > 50_000:
@@ -94,33 +93,43 @@ def _step(name: str, attributes: str) -> tuple[str, bool, bool]:
 
 
 class Block:
-    """A run of text between block boundaries: path, text, whether it is skipped or in an article."""
+    """A run of text between block boundaries: path, text, whether it is in an article, characters and number of its links."""
+
+    __slots__ = ("path", "text", "article", "linked", "links")
 
-    __slots__ = ("path", "text", "skip", "article")
+    def __init__(self, path, text, article, linked, links):
+        self.path, self.text, self.article, self.linked, self.links = path, text, article, linked, links
 
-    def __init__(self, path, text, skip, article):
-        self.path, self.text, self.skip, self.article = path, text, skip, article
 
+def parse(page: str) -> tuple[list[str], list[Block], dict[str, tuple[str, bool]]]:
+    """Paths of the block elements in page order, the blocks of text, and (path above, skipped by its name) of each path.
 
-def parse(page: str) -> tuple[list[str], list[Block]]:
-    """Paths of the block elements in page order, and the blocks of text."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, skip, article
-    paths: list[str] = []
+    The page itself is the empty path.
+    """
+    stack: list[tuple[str, str, bool]] = [("", "", False)]  # name, path, in an article
+    paths: list[str] = [""]
+    above: dict[str, tuple[str, bool]] = {}
     blocks: list[Block] = []
     pieces: list[str] = []
+    linked, links, in_link = 0, 0, False
     at, n = 0, len(page)
 
     def flush():
+        nonlocal linked, links
         if pieces:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                _, path, skip, article = stack[-1]
-                blocks.append(Block(path, text, skip, article))
+                _, path, article = stack[-1]
+                blocks.append(Block(path, text, article, min(linked, len(text)), links))
+        linked = links = 0
 
     def say(raw: str):
+        nonlocal linked, links
         if "&" in raw:
             raw = entities.unescape(raw)
+        if in_link and not raw.isspace():
+            linked, links = linked + len(raw), links + 1
         pieces.append(raw)
 
     while at < n:
@@ -142,6 +151,8 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
                 at = end.end() if end else n
             continue
         if name in _INLINE:
+            if name == "a":
+                in_link = not closing
             continue
         if name == "br" or name == "img" or name == "wbr":
             if name == "br":
@@ -169,71 +180,73 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
                     break
                 if stack[k][0] in _SCOPE and stack[k][0] not in shuts:
                     break
-        step, skip, hidden = _step(name, m[3] if m[2] else m[6])
-        _, path, skipped, article = stack[-1]
+        step, skip = _step(name, m[3] if m[2] else m[6])
+        _, up, article = stack[-1]
         if name == "header" and not article:
             skip = True
-        path = f"{path}/{step}" if len(path) < 400 else path
+        path = f"{up if len(up) < PATH else f'#{_digest(up):x}'}/{step}"
         paths.append(path)
+        above[path] = up, skip
         if not (m[3] or m[6] or "").endswith("/"):
-            stack.append((name, path, skipped or skip or hidden, article or name in _ARTICLE))
+            stack.append((name, path, article or name in _ARTICLE))
     flush()
-    return paths, blocks
+    return paths, blocks, above
 
 
 class Template:
-    """What is known of a host: order of its landmark paths, its constant text, both as digests."""
+    """What is known of a host, as digests: the tokens of its outline, those of them whose slots are dropped, its constant text."""
 
-    def __init__(self, landmarks, constant):
-        self.order = {token: k for k, token in enumerate(landmarks)}
-        self.constant = frozenset(constant)
+    def __init__(self, outline, dropped, constant):
+        self.outline, self.dropped, self.constant = frozenset(outline), frozenset(dropped), frozenset(constant)
 
-    def fits(self, paths: list[str]) -> bool:
-        """Do the landmarks that the page has come in the order of the template?"""
-        last = -1
-        for p in dict.fromkeys(paths):
-            k = self.order.get(_path_token(p))
-            if k is not None:
-                if k < last:
-                    return False
-                last = k
-        return True
+    def drops(self, path: str, above: dict, known: dict[str, bool]) -> bool:
+        """Does the text at ``path`` belong to a slot that is dropped?"""
+        chain = []
+        while path and path not in known:
+            chain.append(path)
+            path = above[path][0]
+        out = known.get(path, False)
+        for p in reversed(chain):
+            token = _path_token(p)
+            out = out or token in self.dropped or (token not in self.outline and above[p][1])
+            known[p] = out
+        return out
 
 
 def main_text(page: str | None, template: Template | None = None) -> str:
-    """The text of the slots of a page, one line per block."""
+    """The text of the slots of a page that its template keeps, one line per block; all text without a template."""
     if not page:
         return ""
-    paths, blocks = parse(page)
-    rest = [b for b in blocks if not b.skip]
-    if template is not None and template.constant and template.fits(paths):
-        rest = [b for b in rest if b.article or _digest("text", b.path, b.text) not in template.constant] or rest
-    return "\n".join(b.text for b in rest)
+    _, blocks, above = parse(page)
+    if template is not None:
+        known: dict[str, bool] = {}
+        blocks = [b for b in blocks if not template.drops(b.path, above, known)]
+        if template.constant:
+            blocks = [b for b in blocks if b.article or _digest("text", b.path, b.text) not in template.constant] or blocks
+    return "\n".join(b.text for b in blocks)
 
 
 def _tokens(batches):
-    """Rows (url, html) to (host, token, path, text?, pages, vector, place, single), added up over a batch."""
+    """Rows (host, html) to (host, token, path, text?, up, pages, vector, place, skipped), added up over a batch."""
     task, row = TaskContext.get().partitionId(), 0
     for batch in batches:
         sums: dict[tuple[str, int], list] = {}
 
-        def add(key, path, text, vector, place, single, sums=sums):
+        def add(key, path, text, up, vector, place, skipped, sums=sums):
             s = sums.get(key)
             if s is None:
-                sums[key] = [path, text, 1, vector, place, single]
+                sums[key] = [path, text, up, 1, vector, place, skipped]
             else:
-                s[2] += 1
-                s[3] ^= vector
-                s[4] += place
-                s[5] &= single
+                s[3] += 1
+                s[4] ^= vector
+                s[5] += place
 
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            host, page = host_of(url), page.as_py()
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            page = page.as_py()
             row += 1
-            add((host, 0), "", False, 0, 0.0, True)
             if not page:
                 continue
-            paths, blocks = parse(page)
+            paths, blocks, above = parse(page)
             seen: dict[str, list] = {}
             for k, p in enumerate(paths):
                 s = seen.setdefault(p, [k, 0])
@@ -243,9 +256,10 @@ def _tokens(batches):
                 t = texts.setdefault(_digest("text", b.path, b.text), [b.path, 0])
                 t[1] += 1
             for p, (k, count) in seen.items():
-                add((host, _path_token(p)), p, False, _vector(task, row, count), k / len(paths), count == 1)
+                up, skipped = above.get(p, ("", False))
+                add((host, _path_token(p)), p, False, _path_token(up) if p else 0, _vector(task, row, count), k / len(paths), skipped)
             for token, (p, count) in texts.items():
-                add((host, token), p, True, _vector(task, row, count), 0.0, count == 1)
+                add((host, token), p, True, _path_token(p), _vector(task, row, count), 0.0, False)
             if len(sums) > 200_000:
                 yield _token_rows(sums)
                 sums.clear()
@@ -264,46 +278,136 @@ def _path_token(path: str) -> int:
     return _path_tokens[path]
 
 
+_ROOT = _digest("path", "")
+
+
 def _vector(task: int, row: int, count: int) -> int:
-    x = (task << 40 ^ row << 8 ^ min(count, 255)) & 0xFFFFFFFFFFFFFFFF
+    x = (task * 0xA0761D6478BD642F ^ row * 0xE7037ED1A0B428DB ^ count * 0x8EBC6AF09C88C6E3) & 0xFFFFFFFFFFFFFFFF
     x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
     x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
     x ^= x >> 32
     return x - (1 << 64) if x >> 63 else x
 
 
-_SUMS = "host string, token long, path string, text boolean, pages long, vector long, place double, single boolean"
+_SUMS = "host string, token long, path string, text boolean, up long, pages long, vector long, place double, skipped boolean"
 
 
 def _token_rows(sums):
     keys, values = list(sums), list(sums.values())
-    columns = [[k[0] for k in keys], [k[1] for k in keys], *([v[i] for v in values] for i in range(6))]
-    types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+    columns = [[k[0] for k in keys], [k[1] for k in keys], *([v[i] for v in values] for i in range(7))]
+    types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _SUMS.split(", ")])
 
 
+class _Outline:
+    """Candidate tokens of a host. Those of a class that lie in one element are a row, and should come in its order."""
+
+    def __init__(self, tokens, rows):
+        self.of = dict(zip(tokens, rows, strict=True))  # given in order of place
+        self.order: dict[int, list[int]] = {}
+        for t, c in self.of.items():
+            self.order.setdefault(c, []).append(t)
+
+    def broken(self, paths: list[str]) -> set[int]:
+        """Rows that do not come round in their order on a page."""
+        met: dict[int, list[int]] = {}
+        for p in paths:
+            c = self.of.get(t := _path_token(p))
+            if c is not None:
+                met.setdefault(c, []).append(t)
+        return {c for c, found in met.items() if found != self.order[c] * (len(found) // len(self.order[c]))}
+
+
+_SLOTS = "host string, token long, parent long, broken long, pages long, chars long, linked long, links long"
+
+
+def _slots(batches):
+    """Rows (host, html, tokens, rows) to what the pages say of each token: (host, token, parent, broken, pages, chars, linked, links)."""
+    known: dict[str, _Outline] = {}
+    for batch in batches:
+        sums: dict[tuple[str, int, int], list[int]] = {}
+        for k, host in enumerate(batch.column(0).to_pylist()):
+            page = batch.column(1)[k].as_py()
+            if not page:
+                continue
+            if host not in known:
+                if len(known) > 2_000:
+                    known.clear()
+                known[host] = _Outline(batch.column(2)[k].as_py(), batch.column(3)[k].as_py())
+            outline = known[host]
+            paths, blocks, above = parse(page)
+            broken = outline.broken(paths)
+            slot: dict[str, str | None] = {"": ""}
+
+            def nearest(p, slot=slot, above=above, outline=outline):
+                chain = []
+                while p not in slot:
+                    chain.append(p)
+                    if _path_token(p) in outline.of:
+                        slot[p] = p
+                        break
+                    p = above[p][0]
+                for q in chain:
+                    slot[q] = slot[p]
+                return slot[p]
+
+            texts: dict[str, list[int]] = {}
+            for b in blocks:
+                t = texts.setdefault(nearest(b.path), [0, 0, 0])
+                t[0] += len(b.text)
+                if not b.article:
+                    t[1] += b.linked
+                    t[2] += b.links
+            for p in dict.fromkeys(paths):
+                token = _path_token(p)
+                if token in outline.of:
+                    up = _path_token(nearest(above[p][0])) if p else 0
+                    s = sums.setdefault((host, token, up), [0] * 5)
+                    for i, x in enumerate((int(outline.of[token] in broken), 1, *texts.get(p, (0, 0, 0)))):
+                        s[i] += x
+        if sums:
+            columns = [[key[i] for key in sums] for i in range(3)] + [[s[i] for s in sums.values()] for i in range(5)]
+            yield pa.record_batch([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=[x.split()[0] for x in _SLOTS.split(", ")])
+
+
+def _by_host(pages: DataFrame) -> DataFrame:
+    html, url = F.col("html").cast("string").alias("html"), F.col("url").cast("string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html, _host_column(url).alias("host"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """``(host, tokens array<struct>)``: the template of each host, its size bounded by that of a page of the host.
 
-    A token is on at least SHARE of the pages, so there are at most 1 / SHARE times as many as on a page.
+    A token has its path (of a text, that of its block), its class, the token around it, its mean place on a page, and
+    for elements whether the slot is dropped. It is on at least SHARE of the pages, so there are at most 1 / SHARE times
+    as many as on a page.
     """
     ship(pages.sparkSession)
-    slim = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    sums = slim.mapInArrow(_tokens, _SUMS).groupBy("host", "token").agg(
-        F.first("path").alias("path"), F.first("text").alias("text"), F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"),
-        F.sum("place").alias("place"), F.min("single").alias("single"),
+    slim = _by_host(pages)
+    sums = slim.select("host", "html").mapInArrow(_tokens, _SUMS).groupBy("host", "token").agg(
+        F.first("path").alias("path"), F.first("text").alias("text"), F.first("up").alias("up"), F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"),
+        F.sum("place").alias("place"), F.max("skipped").alias("skipped"),
     )
-    sums = stage(sums.where(F.col("pages") >= PAGES), "tokens")
-    hosts = sums.where("token = 0").select("host", F.col("pages").alias("all_pages"))
-    frequent = sums.where("token <> 0").join(small(hosts), "host").where(F.col("pages") >= SHARE * F.col("all_pages"))
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.count("*").alias("size"), F.min("single").alias("landmark"))
-    valid = frequent.join(classes.where("size >= 2"), ["host", "vector", "pages"])
-    # elements that repeat on a page are slots of the template but not landmarks of its order
-    token = F.struct(
-        "token", F.col("path"), F.col("text"), F.when(F.col("single"), F.col("place") / F.col("pages")).otherwise(F.lit(2.0)).alias("place"), "single"
-    )
-    out = stage(valid.groupBy("host").agg(F.collect_list(token).alias("tokens")), "templates")
-    drop(sums)
+    # what is on less than SHARE of the pages can be left out early: the page itself is a token of all of them
+    sums = stage(sums.where((F.col("pages") >= PAGES) | ~F.col("text")), "tokens")
+    hosts = sums.where(F.col("token") == _ROOT).select("host", F.col("pages").alias("all_pages"))
+    frequent = sums.join(small(hosts), "host").where(F.col("pages") >= SHARE * F.col("all_pages"))
+    classes = frequent.groupBy("host", "vector", "pages").agg(F.count("*").alias("size"))
+    valid = stage(frequent.join(classes.where("size >= 2"), ["host", "vector", "pages"]).withColumn("place", F.col("place") / F.col("pages")), "valid")
+    outline = F.sort_array(F.collect_list(F.struct("place", F.length("path").alias("depth"), "token", F.xxhash64("vector", "up").alias("row"))))
+    elements = valid.where("not text").groupBy("host").agg(outline.alias("found"))
+    elements = elements.select("host", F.col("found.token").alias("tokens"), F.col("found.row").alias("rows"))
+    said = slim.select("host", "html").join(small_lists(stage(elements, "outlines"), "tokens"), "host").select("host", "html", "tokens", "rows").mapInArrow(_slots, _SLOTS)
+    total = [F.sum(c).alias(c) for c in ("broken", "chars", "linked", "links")]
+    checked = said.groupBy("host", "token").agg(F.first("parent").alias("parent"), F.sum("pages").alias("seen"), *total).where("broken = 0")
+    menu = (F.col("chars") > 0) & (F.col("linked") >= LINKED * F.col("chars")) & (F.col("links") >= MENU * F.col("seen"))
+    slots = valid.where("not text").join(checked, ["host", "token"])
+    slots = slots.withColumn("dropped", F.col("skipped") | (menu & ~F.col("path").rlike("/h[1-6][^/]*$")))
+    texts = valid.where("text").withColumn("parent", F.lit(None).cast("long")).withColumn("dropped", F.lit(True))
+    columns = ["token", "path", "text", "vector", "parent", "place", "dropped"]
+    both = slots.select("host", *columns).unionByName(texts.select("host", *columns))
+    out = stage(both.groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("tokens")), "templates")
+    drop(sums, valid)
     return out
 
 
@@ -318,7 +422,7 @@ def _extract(batches):
             if tokens.is_valid and hosts[k] not in known:
                 if len(known) > 2_000:
                     known.clear()
-                known[hosts[k]] = Template(tokens["landmarks"].as_py(), tokens["constant"].as_py())
+                known[hosts[k]] = Template(*(tokens[c].as_py() for c in ("outline", "dropped", "constant")))
             texts.append(main_text(page.as_py(), known[hosts[k]] if tokens.is_valid else None))
             held += len(texts[-1])
             if held > _FLUSH or k + 1 == len(ids):
@@ -335,20 +439,17 @@ def extract(pages: DataFrame) -> DataFrame:
     read as far as it goes: unclosed elements end with the block around them. Repeated rows come back as often as they
     came in; other columns are not read.
     """
-    spark = pages.sparkSession
-    ship(spark)
+    ship(pages.sparkSession)
     known = templates(pages)
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    named = slim.select("page_id", "url", "html", _host_column(F.col("url")).alias("host"))
+    of = lambda test: F.transform(F.filter("tokens", test), lambda t: t["token"])
     # digests are all that Python needs of a template
-    order = F.sort_array(F.transform(F.filter("tokens", lambda t: t["single"] & ~t["text"]), lambda t: F.struct(t["place"], t["path"], t["token"])))
-    constant = F.transform(F.filter("tokens", lambda t: t["text"]), lambda t: t["token"])
-    slim = known.select("host", F.struct(F.transform(order, lambda t: t["token"]).alias("landmarks"), constant.alias("constant")).alias("template"), "tokens")
-    joined = named.join(small_lists(slim, "tokens").drop("tokens"), "host", "left")
+    digests = F.struct(of(lambda t: ~t["text"]).alias("outline"), of(lambda t: ~t["text"] & t["dropped"]).alias("dropped"), of(lambda t: t["text"]).alias("constant"))
+    slim = known.select("host", digests.alias("template"), F.transform("tokens", lambda t: t["token"]).alias("entries"))
+    joined = _by_host(pages).join(small_lists(slim, "entries").drop("entries"), "host", "left")
     rows = joined.select("page_id", "url", "html", "host", "template")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def _host_column(url):
-    """The same as host_of, for the urls that a crawler writes; others merely find no template."""
+    """Host of a url as crawlers write it, in lower case, without user and port; empty if there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))

@@ -4,8 +4,9 @@ Only the histogram of piece lengths decides how full sequences get, and it has a
 many documents there are. The driver solves the covering program over configurations (sets of lengths that fit one
 sequence) by multiplicative weights: lengths still short of cover weigh more, a knapsack table prices all
 configurations at once, and the best one for each length gains a share. Shares are rounded down to whole sequences,
-what is left is solved again, and a rest of at most one piece for each length is placed best fit, alike pieces at once. Executors then number the pieces of each length
-without sorting them (a count per task and length is enough) and look their place up in the plan.
+what is left is solved again, and a rest of at most one piece for each length is placed best fit, alike pieces at once.
+Executors then number the pieces of each length without sorting them (a count per task and length is enough) and look
+their place up in the plan.
 """
 
 from __future__ import annotations

@@ -132,6 +132,62 @@ def test_an_article_in_two_containers_is_kept_whole(spark):
     assert all(found[n] == f"lead {n} {'one ' * 35}".strip() + "\n" + f"rest {n} {'two ' * 65}".strip() for n in range(9))
 
 
+def test_classes_out_of_order_are_no_part_of_the_template(spark):
+    """Two boxes that swap places: one vector, but no order; what lies below them is judged by the slot around."""
+    boxes = "<div class=a><p>one {n}</p></div>", "<div class=b><p>two {n}</p></div>"
+    page = lambda n: f"<body><ul class=x>{''.join(boxes if n % 2 else boxes[::-1]).format(n=n)}</ul><div class=footer>f {n}</div></body>"
+    df = spark.createDataFrame([(n, f"http://a.b/{n}", page(n)) for n in range(8)], "page_id bigint, url string, html string")
+    (host,) = htmlx.templates(df).collect()
+    assert {t.path for t in host.tokens} == {"", "/body", "/body/ul.x", "/body/ul.x/div.a/p", "/body/ul.x/div.b/p", "/body/div.footer!"}
+    assert all(sorted(r.text.split("\n")) == [f"one {r.page_id}", f"two {r.page_id}"] for r in htmlx.extract(df).collect())
+
+
+def test_templates_are_nested(spark):
+    page = "<body><div class=nav><p>{n} x</p></div><div class=x><h2>t {n}</h2><p>story {n}</p></div></body>"
+    df = spark.createDataFrame([(n, f"http://a.b/{n}", page.format(n=n)) for n in range(4)], "page_id bigint, url string, html string")
+    (host,) = htmlx.templates(df).collect()
+    path = {t.token: t.path for t in host.tokens}
+    assert {(t.path, path.get(t.parent)) for t in host.tokens} == {
+        ("", None), ("/body", ""), ("/body/div.nav!", "/body"), ("/body/div.nav!/p", "/body/div.nav!"), ("/body/div.x", "/body"),
+        ("/body/div.x/h2", "/body/div.x"), ("/body/div.x/p", "/body/div.x"),
+    }
+    assert {t.path for t in host.tokens if t.dropped} == {"/body/div.nav!"}
+
+
+def test_a_list_of_links_is_a_menu_by_the_template_alone(spark):
+    page = "<body><div class=u><ul>{items}</ul></div><div class=x><h2><a href=1>t {n}</a></h2><p>story {n} <a href=2>more</a></p></div></body>"
+    items = lambda n: "".join(f"<li><a href={k}>go {n} {k}</a></li>" for k in range(4 + n % 3))
+    rows = [(n, f"http://a.b/{n}", page.format(n=n, items=items(n))) for n in range(7)]
+    found = {r.page_id: r.text for r in htmlx.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(found[n] == f"t {n}\nstory {n} more" for n in range(7))
+    assert all("go" in htmlx.main_text(h) for _, _, h in rows)  # without the template nothing tells them apart
+
+
+def test_deep_paths_stay_apart():
+    page = "".join(f"<div class=c{k}>" for k in range(300)) + "<p>x</p>" + "<div class=nav><p>y</p></div>"
+    paths, _, above = htmlx.parse(page)
+    assert len(set(paths)) == 304 and max(map(len, paths)) < 2 * htmlx.PATH and all(p == "" or p in above for p in paths)
+
+
+def test_pages_of_the_driver_against_an_independent_extractor(spark):
+    """The articles of the given pages, read by a few substitutions; and each host's text depends on its template."""
+    import html
+    import re
+
+    def slow(page):
+        inside = re.search(r"<article>(.*)</article>", page or "", re.S)
+        body = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inside[1] if inside else "", flags=re.S)
+        parts = re.split(r"</?(?:p|h1|h2|h3|div|ul|li|section|blockquote|pre|table|tr|td)\b[^>]*>", body)
+        lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in parts)
+        return "\n".join(x for x in lines if x)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r.page_id: r.text for r in htmlx.extract(pages).collect()}
+    rows = pages.collect()
+    assert all(found[r.page_id] == slow(r.html) for r in rows)
+    assert all(found[r.page_id] != htmlx.main_text(r.html) for r in rows if slow(r.html))
+
+
 def test_templates_do_not_depend_on_partitions(spark):
     rows = [(n, "http://a.b/", PAGE.format(n=n, open="<div>", close="</div>")) for n in range(20)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
