@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.linkage import unused
+from ledgerloom.llm.linkage import small, unused
 from ledgerloom.plans.runtime import stage
 
 #: No document is taken more often, and no target exceeds so many times its source.
@@ -143,7 +143,7 @@ def copies(docs: DataFrame, **options) -> DataFrame:
     key, times, copy = unused(docs, "_id", "_times", "_copy")
     taken = mixed.where("taken > 0").groupBy(F.col(id_col).alias(key)).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(times))
     taken = stage(taken, "times")
-    rows = docs.join(taken, docs[id_col].eqNullSafe(taken[key]))
+    rows = docs.join(small(taken), docs[id_col].eqNullSafe(taken[key]))
     repeated = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return repeated.select(*docs.columns)
 
