@@ -60,9 +60,15 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target.getParent(), True)
 
 
+#: Bytes of the batches that go to Python workers, where the session does not say: a task holds several copies of one.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, however the driver came to import it."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH[0], None) is None:
+        spark.conf.set(*_BATCH)
     if getattr(context, "_ledgerloom_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="ledgerloom-")
