@@ -16,18 +16,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
-from ledgerloom.llm.linededup import _slim
 from ledgerloom.llm.linkage import likely, small, small_lists, unused
 from ledgerloom.llm.ngramjoin import NO_ID
 from ledgerloom.plans.runtime import ship, stage
 
-#: Least and greatest bytes of a chunk, and top bits of the hash that are zero at its end: about 24 bytes on average.
-LEAST, MOST, BITS = 8, 128, 4
 #: Words that a passage must have, and those of them that 32 bytes before a word's end may take: one letter and one space each.
 WORDS, BEHIND = 51, 16
 #: Kinds of chunk beyond which an anchor is treated by itself.
 MANY = 64
 _WINDOW = 32
+#: Least id that a document may bear; numbers below stand for null ids.
+NAMED = NO_ID + 2**62
 _GEAR = (kernels.BYTE_WORD >> np.uint64(16)).astype(np.uint32)
 
 
@@ -42,36 +41,6 @@ def gear(part: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte, one past the last byte) of the chunks of rows that lie in ``part`` at starts, ends."""
-    h = gear(part)
-    marks = np.flatnonzero(h >> np.uint32(32 - BITS) == 0) + 1
-    lo = np.searchsorted(marks, starts + max(LEAST, _WINDOW), "left")  # before that the hash looks at another row
-    hi = np.searchsorted(marks, ends, "left")
-    begins: list[int] = []
-    closes: list[int] = []
-    counts = np.zeros(len(starts), np.int64)
-    listed = marks.tolist()
-    for r, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        if e <= s:
-            continue
-        last, n = s, len(begins)
-        for p in [*listed[lo[r] : hi[r]], e]:
-            while p - last > MOST:
-                # no mark for so long is a text that repeats itself: cut where the hash is least, in step with it
-                low = max(last + LEAST, s + _WINDOW)
-                cut = low + int(h[low - 1 : last + MOST].argmin())
-                begins.append(last)
-                closes.append(cut)
-                last = cut
-            if p - last >= LEAST or p == e and e > last:
-                begins.append(last)
-                closes.append(p)
-                last = p
-        counts[r] = len(begins) - n
-    return np.repeat(np.arange(len(starts)), counts), np.array(begins, np.int64), np.array(closes, np.int64)
-
-
 def _word_places(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, one past the last byte, row) of the words of the rows that lie in ``part`` at starts, ends."""
     solid = ~kernels.IS_SPACE[part]
@@ -161,14 +130,22 @@ def _window_rows(parts, chunks):
     return pa.record_batch(columns, names=["anchor", "digest", "lo", "hi", "k", "a", "b", "window"])
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str):
+    """Columns doc and mark: the id, and a hash of the text. Null ids are told apart by that hash, below all ids from NAMED on."""
+    mark = F.coalesce(F.xxhash64(docs[text_col].cast("string")), F.lit(0))
+    return F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(mark, 2)).alias("doc"), mark.alias("mark")
+
+
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, mark, chunk, start, end, first)``: stretches all of whose windows of 51 words stand in other documents too.
 
     Each lies in the chunk that begins at ``chunk``; those of a document may overlap. ``first`` is true in the document
-    of the least id that has the windows. Rows of one id and text are one document. Windows are compared by 64 bits.
+    of the least id that has the windows. Rows of one id and text are one document. Chunks and windows are
+    compared by two digests of 64 bits, one of the whole and one of the bytes before the anchor.
     """
     ship(docs.sparkSession)
-    slim = _slim(docs, id_col, text_col)
+    text = F.col(text_col).cast("string")
+    slim = docs.select(*_named(docs, id_col, text_col), text.alias("text"))
     chunks = stage(slim.mapInArrow(_chunks, "doc long, mark long, start long, size int, anchor long, digest long"), "chunks")
     across = stage(chunks.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("anchor"), "across")
     # an inner join: the optimizer would move a semi-join below the bitmap
@@ -186,8 +163,9 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = kinds.where("several").groupBy(F.col("at.doc").alias("doc"), F.col("at.mark").alias("mark")).agg(F.collect_list(kind).alias("kinds"))
     rows = slim.join(small_lists(stage(asked, "asked"), "kinds"), ["doc", "mark"]).select("text", "kinds")
     windows = stage(rows.mapInArrow(_windows, "anchor long, digest long, lo long, hi long, k int, a int, b int, window long"), "windows")
-    shared = windows.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("window", "lo")
-    met = windows.drop("lo", "hi").join(shared, "window")
+    # equal windows have one anchor, whose digest is of other bits: both must agree
+    shared = windows.groupBy("anchor", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("anchor", "window", "lo")
+    met = windows.drop("lo", "hi").join(shared, ["anchor", "window"])
     own = Window.partitionBy("anchor", "digest").orderBy("a")
     opens = F.coalesce((F.lag("k").over(own) != F.col("k") - 1) | (F.lag("lo").over(own) != F.col("lo")), F.lit(True))
     runs = met.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(own))
@@ -215,11 +193,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A passage is a longest stretch that is covered by windows of 51 words that other documents have too, byte by byte;
     windows that overlap are one passage, whichever documents share them. Words end at ASCII white space. ``n_chunks``
     counts the chunks it was found in; ``first`` is true if no window of it stands in a document before this one, so
-    that it is the copy to keep. Null and empty texts have none. Null ids are one id below all others and come back as
-    null. Repeated rows of one id and text are one document. Other columns are not read.
+    that it is the copy to keep. Null and empty texts have none. Rows of null ids are documents told apart by their text,
+    before all others, and come back as null. Repeated rows of one id and text are one document. Other columns are not read.
     """
     out = _merged(repeated_stretches(docs, id_col, text_col))
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), "start", "length", "n_chunks", "first")
+    return out.select(F.when(F.col("doc") >= NAMED, F.col("doc")).alias(id_col), "start", "length", "n_chunks", "first")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +205,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = _merged(repeated_stretches(docs, id_col, text_col).where("not first")).select("doc", "mark", F.col("start").alias("a"), F.col("length").alias("n"))
     doc, mark, cut = unused(docs, "_doc", "_mark", "_gone")
     gone = spans.groupBy(F.col("doc").alias(doc), F.col("mark").alias(mark)).agg(F.sort_array(F.collect_list(F.struct("a", "n"))).alias(cut))
-    key = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.coalesce(F.xxhash64(docs[text_col].cast("string")), F.lit(0)))
+    key = _named(docs, id_col, text_col)
     rows = docs.join(small_lists(stage(gone, "gone"), cut), (key[0] == F.col(doc)) & (key[1] == F.col(mark)), "left")
     raw = F.encode(F.col(text_col).cast("string"), "utf-8")
     # what stands between the spans: from the end of one to the start of the next
