@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.runtime import ship
 from ledgerloom.schema import RANGE_SIZE, SUBTREE_LEAVES
 
 
@@ -117,30 +118,57 @@ def subtree_spans(sizes: DataFrame, before: str, after: str, leaves: int = SUBTR
     return spans.withColumn("subtree", F.col("subtree").cast("bigint"))
 
 
+def _fold(most_rows: int, most_weight: int, parts: bool):
+    """Rows ([part], order, weight), sorted by that, to ([part], order, group, by_rule, ends), each row once the next one is known."""
+
+    def run(batches):
+        group = n = total = 0
+        waiting = None  # the last row so far, with its part
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for part, o, w in zip(columns[0] if parts else [None] * batch.num_rows, *columns[-2:], strict=True):
+                if waiting is not None:
+                    same = waiting[0] == part
+                    out.append((*waiting, waiting[3] or not same))
+                    if not same:
+                        group = n = total = 0
+                n, total = n + 1, total + w
+                full = n >= most_rows or total >= most_weight
+                waiting = (part, o, group, full)
+                if full:
+                    group, n, total = group + 1, 0, 0
+            if out:
+                yield _folded(out, parts, batch.schema)
+        if waiting is not None:
+            yield _folded([(*waiting, True)], parts, batch.schema)
+
+    return run
+
+
+def _folded(out, parts, schema):
+    import pyarrow as pa
+
+    types = [schema.field(0).type, pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if parts else [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True))[1:], types[1:], strict=True)]
+    names = ["order", "group", "by_rule", "ends"]
+    return pa.record_batch(columns, names=["part", *names] if parts else names)
+
+
 def greedy_groups(rows: DataFrame, order: str, weight: str, most_rows: int, most_weight: int, part: str | None = None) -> DataFrame:
     """``(order, group, ends, by_rule)``: consecutive rows grouped greedily; a group closes at ``most_rows`` rows or when
     its weights reach ``most_weight``. The last group ends the list, but by rule only if it was full.
 
-    The fold is sequential by nature and runs over one row per range of a log (or per sample of a run), never over
-    blocks; ``part`` splits independent lists.
+    The fold is sequential by nature: each list passes through one task, sorted, a batch at a time, so that its length
+    costs time but no memory. It runs over one row per range of a log (or per sample of a run), never over blocks;
+    ``part`` splits independent lists, which are folded side by side.
     """
-    keys = [part] if part else []
-    items = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(weight).cast("bigint").alias("w")))).alias("items"))
-    entry = "array<struct<o: bigint, g: bigint, full: boolean>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("w"), F.array().cast(entry).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n, w = acc["n"] + 1, acc["w"] + x["w"]
-        full = (n >= most_rows) | (w >= most_weight)
-        row = F.struct(x["o"].alias("o"), acc["g"].alias("g"), full.alias("full"))
-        return F.struct(
-            F.when(full, acc["g"] + 1).otherwise(acc["g"]).alias("g"),
-            F.when(full, F.lit(0)).otherwise(n).cast("bigint").alias("n"),
-            F.when(full, F.lit(0)).otherwise(w).cast("bigint").alias("w"),
-            F.concat(acc["out"], F.array(row)).cast(entry).alias("out"),
-        )
-
-    folded = items.select(*keys, F.explode(F.aggregate("items", start, step, lambda acc: acc["out"])).alias("r"))
-    flat = folded.select(*keys, F.col("r.o").alias(order), F.col("r.g").alias("group"), F.col("r.full").alias("by_rule"))
-    last = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    return flat.withColumn("ends", F.col("by_rule") | (F.col(order) == F.max(order).over(last)))
+    ship(rows.sparkSession)
+    long = lambda c, n: F.col(c).cast("bigint").alias(n)
+    slim = rows.select(*([F.col(part).alias("part")] if part else []), long(order, "order"), long(weight, "weight"))
+    dealt = slim.repartition("part").sortWithinPartitions("part", "order") if part else slim.repartition(1).sortWithinPartitions("order")
+    shape = "order bigint, group bigint, by_rule boolean, ends boolean"
+    if part:
+        shape = f"part {slim.schema['part'].dataType.simpleString()}, {shape}"
+    folded = dealt.mapInArrow(_fold(most_rows, most_weight, part is not None), shape)
+    return folded.select(*([F.col("part").alias(part)] if part else []), F.col("order").alias(order), "group", "by_rule", "ends")

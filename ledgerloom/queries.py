@@ -263,13 +263,16 @@ def _(spark, sf_dir):
     return windows.falling_sizes(rows, _SIZES)
 
 
-@query("contiguous_prefix", f"WITH {_HEADERS} SELECT height, hash FROM headers WHERE height < 777")
+@query("contiguous_prefix", f"""WITH {_HEADERS}, seen AS (SELECT height, hash, height - row_number() OVER (ORDER BY height) AS run FROM headers WHERE height NOT IN (777, 1200))
+  SELECT height, hash FROM seen WHERE run = (SELECT min(run) FROM seen)""")
 def _(spark, sf_dir):
     rows = derive.headers(spark, sf_dir).where("height <> 777 and height <> 1200").select("height", "hash")
     return windows.contiguous_prefix(rows)
 
 
-@query("linked_prefix", f"WITH {_HEADERS} SELECT height, hash, prev_hash FROM headers WHERE height BETWEEN 500 AND 899")
+@query("linked_prefix", f"""WITH {_HEADERS}, offered AS (SELECT height, hash, CASE WHEN height = 900 THEN repeat('f', 64) ELSE prev_hash END AS prev_hash FROM headers WHERE height >= 500),
+  linked AS (SELECT o.*, o.prev_hash IS DISTINCT FROM b.hash AS broken FROM offered o LEFT JOIN headers b ON b.height = o.height - 1)
+  SELECT height, hash, prev_hash FROM (SELECT *, count(*) FILTER (broken) OVER (ORDER BY height) AS breaks FROM linked) WHERE breaks = 0""")
 def _(spark, sf_dir):
     blocks = derive.headers(spark, sf_dir).select("height", "hash", "prev_hash")
     offered = blocks.where("height >= 500").withColumn("prev_hash", F.when(F.col("height") == 900, F.lit("f" * 64)).otherwise(F.col("prev_hash")))
@@ -284,7 +287,9 @@ def _fork(spark, sf_dir, at: int, top: int) -> tuple[DataFrame, DataFrame]:
     return old, old.where(h <= top).select("height", mark(h, F.col("hash")).alias("hash"), mark(h - 1, F.col("prev_hash")).alias("prev_hash"))
 
 
-@query("common_ancestor", "SELECT CAST(1234 AS BIGINT) AS ancestor")
+@query("common_ancestor", f"""WITH {_HEADERS}, branch AS (SELECT height, CASE WHEN height > 1234 THEN sha256('branch:' || height) ELSE hash END AS hash FROM headers WHERE height <= 1399),
+  compared AS (SELECT height, h.hash = b.hash AS same FROM headers h JOIN branch b USING (height))
+  SELECT max(height) AS ancestor FROM compared WHERE same AND height < coalesce((SELECT min(height) FROM compared WHERE NOT same), 9223372036854775807)""")
 def _(spark, sf_dir):
     return windows.common_ancestor(*_fork(spark, sf_dir, 1234, 1399))
 
@@ -345,14 +350,6 @@ def _(spark, sf_dir):
     return tiers.coverage(_three(spark, sf_dir))
 
 
-@query("seal_boundaries", f"SELECT o_orderkey AS tip, CASE WHEN o_orderkey >= 100 THEN (o_orderkey - 99) // 1000 * 1000 - 1 ELSE -1 END AS sealed, greatest(o_orderkey - 10, -1) AS durable FROM orders WHERE o_orderkey % 10 IN (8, 9, 0) OR o_orderkey % 1000 IN (97, 98, 99)")
-def _(spark, sf_dir):
-    t = F.col("o_orderkey")
-    chosen = derive.table(spark, sf_dir, "orders").where((t % 10).isin(8, 9, 0) | (t % 1000).isin(97, 98, 99))
-    sealed = F.when(t >= 100, F.floor((t - 99) / RANGE_SIZE) * RANGE_SIZE - 1).otherwise(-1).cast("bigint")
-    return chosen.select(t.alias("tip"), sealed.alias("sealed"), F.greatest(t - 10, F.lit(-1)).alias("durable"))
-
-
 @query("export_missing_ranges", f"""WITH {_RANGES} SELECT start_height, CASE WHEN start_height % 3000 = 0 THEN 'missing' ELSE 'wrong length' END AS reason FROM ranges WHERE n_blocks = 1000 AND (start_height % 3000 = 0 OR start_height % 2000 = 1000)""")
 def _(spark, sf_dir):
     rows = windows.range_rollup(sized(spark, sf_dir), _SIZES).where(F.col("n_blocks") == RANGE_SIZE)
@@ -449,7 +446,8 @@ def _(spark, sf_dir):
     return verify.manifest_violations(rows, 14_999)
 
 
-@query("verified_prefix", f"WITH {_RANGES} SELECT start_height FROM ranges WHERE n_blocks = 1000 AND start_height < 7000")
+@query("verified_prefix", f"""WITH {_RANGES}, verified AS (SELECT start_height FROM ranges WHERE n_blocks = 1000 AND start_height <> 7000)
+  SELECT start_height FROM (SELECT start_height, start_height // 1000 - row_number() OVER (ORDER BY start_height) AS run FROM verified) WHERE run = -1""")
 def _(spark, sf_dir):
     rows = windows.range_rollup(sized(spark, sf_dir), _SIZES).where(F.col("n_blocks") == RANGE_SIZE)
     verified = rows.where("start_height <> 7000").select("start_height")
@@ -598,9 +596,9 @@ def _(spark, sf_dir):
 
 
 @query("mempool_compact", f"""WITH {_ITEMS} SELECT sha256('tx:' || height || ':' || tx) AS txid, CAST(0 AS BIGINT) AS "index", CAST(count(*) FILTER (pool = 'orchard') AS BIGINT) AS n_actions, CAST(count(*) FILTER (pool = 'ironwood') AS BIGINT) AS n_ironwood
-  FROM items WHERE height >= 1400 GROUP BY height, tx HAVING count(*) FILTER (pool <> 'sapling') > 0""")
+  FROM items GROUP BY height, tx HAVING count(*) FILTER (pool <> 'sapling') > 0""")
 def _(spark, sf_dir):
-    waiting = derive.transactions(spark, sf_dir).where("height >= 1400").select(F.col("tx.txid").alias("txid"), "tx")
+    waiting = derive.transactions(spark, sf_dir).select(F.col("tx.txid").alias("txid"), "tx")
     rows = project.compact_mempool(waiting, ["orchard", "ironwood"])
     return rows.select("txid", F.col("tx.index").alias("index"), F.size("tx.actions").cast("bigint").alias("n_actions"), F.size("tx.ironwood_actions").cast("bigint").alias("n_ironwood"))
 
@@ -710,13 +708,13 @@ def _(spark, sf_dir):
     return windows.running_sums(_samples(spark, sf_dir).select("event_id", "complete_us"), {"complete_us": "elapsed_us"}, "event_id").select("event_id", "elapsed_us")
 
 
-@query("cpu_windows", """WITH a AS (SELECT event_id AS o, CAST(round(value) AS BIGINT) AS w, row_number() OVER (ORDER BY event_id) AS k FROM events WHERE event_id < 600),
-  f AS (WITH RECURSIVE r AS (SELECT k, o, 0 AS g, w, w >= 100 AS done FROM a WHERE k = 1 UNION ALL SELECT a.k, a.o, CASE WHEN r.done THEN r.g + 1 ELSE r.g END, CASE WHEN r.done THEN a.w ELSE r.w + a.w END, CASE WHEN r.done THEN a.w ELSE r.w + a.w END >= 100 FROM r JOIN a ON a.k = r.k + 1) SELECT * FROM r)
-  SELECT CAST(g AS BIGINT) AS "window", CAST(count(*) AS BIGINT) AS n, max(o) AS last_sample, bool_or(done) AS complete FROM f GROUP BY g""")
+@query("cpu_windows", """WITH RECURSIVE a AS (SELECT user_id AS worker, event_id AS o, CAST(round(value) AS BIGINT) AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  r AS (SELECT worker, k, o, 0 AS g, w, w >= 100 AS done FROM a WHERE k = 1 UNION ALL SELECT a.worker, a.k, a.o, CASE WHEN r.done THEN r.g + 1 ELSE r.g END, CASE WHEN r.done THEN a.w ELSE r.w + a.w END, CASE WHEN r.done THEN a.w ELSE r.w + a.w END >= 100 FROM r JOIN a ON a.worker = r.worker AND a.k = r.k + 1)
+  SELECT worker, CAST(g AS BIGINT) AS "window", CAST(count(*) AS BIGINT) AS n, max(o) AS last_sample, bool_or(done) AS complete FROM r GROUP BY worker, g""")
 def _(spark, sf_dir):
-    rows = derive.table(spark, sf_dir, "events").where("event_id < 600").select("event_id", F.round("value").cast("bigint").alias("w"))
-    groups = windows.greedy_groups(rows, "event_id", "w", 1 << 40, 100)
-    return groups.groupBy(F.col("group").alias("window")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_sample"), F.max("by_rule").alias("complete"))
+    rows = derive.table(spark, sf_dir, "events").select(F.col("user_id").alias("worker"), "event_id", F.round("value").cast("bigint").alias("w"))
+    groups = windows.greedy_groups(rows, "event_id", "w", 1 << 40, 100, "worker")
+    return groups.groupBy("worker", F.col("group").alias("window")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_sample"), F.max("by_rule").alias("complete"))
 
 
 @query("metric_lines", """SELECT event_id, event_type AS metric, CAST(user_id AS VARCHAR) AS label, CAST(event_id AS DOUBLE) AS value FROM events""")
@@ -775,51 +773,17 @@ def _(spark, sf_dir):
     return spark.read.schema("user_id bigint").parquet(out)
 
 
-@query("blob_roundtrip", f"WITH {_SIZED} SELECT height, hash, prev_hash, sapling_size, orchard_size, ironwood_size FROM sized WHERE height < 1000")
-def _(spark, sf_dir):
-    """Nested blocks through the packed binary form and back."""
-    from ledgerloom.sources import blobs
-
-    blocks = sized_blocks(spark, sf_dir).select("height", "hash", "prev_hash", "time", "vtx", *_SIZES).where("height < 1000")
-    back = blobs.unpack_ranges(blobs.pack_ranges(blocks))
-    return back.select("height", "hash", "prev_hash", *_SIZES)
+# --- round trips and streams
 
 
-@query("wire_roundtrip", f"WITH {_SIZED} SELECT height, hash, prev_hash, time, sapling_size, orchard_size, ironwood_size FROM sized WHERE height BETWEEN 200 AND 1399")
-def _(spark, sf_dir):
-    """Nested blocks through the wire format and back."""
-    from ledgerloom.sources import wire
-
-    nested = derive.nested_blocks(spark, sf_dir).where("height between 200 and 1399")
-    sizes = sized(spark, sf_dir).select("height", *_SIZES)
-    return wire.from_wire(wire.to_wire(nested.join(sizes, "height"))).drop("vtx")
-
-
-@query("stream_depth_late_data", "SELECT o_orderkey AS height, CASE WHEN o_orderkey <= (1388 - 99) // 1000 * 1000 - 1 THEN 'deep recovery' WHEN o_orderkey <= 1378 THEN 'replace' WHEN o_orderkey <= 1388 THEN 'head' ELSE 'ahead' END AS action FROM orders WHERE o_orderkey % 3 = 0")
-def _(spark, sf_dir):
-    """Rows that arrive on a stream, sorted out by depth below a tip."""
-    from ledgerloom.plans.runtime import fresh_path
-    from ledgerloom.streaming.head import late_rows
-
-    shape = derive.table(spark, sf_dir, "orders").schema
-    live = spark.readStream.schema(shape).parquet(f"{sf_dir}/orders.parquet*")
-    late = late_rows(live.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("height")), 1388)
-    out = fresh_path(spark, "stream_late")
-    late.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}_progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("height bigint, action string").parquet(out)
-
-
-# --- the same features over whole tables
-
-
-@query("seal_boundaries_all", "SELECT o_orderkey AS tip, CASE WHEN o_orderkey >= 100 THEN (o_orderkey - 99) // 1000 * 1000 - 1 ELSE -1 END AS sealed, greatest(o_orderkey - 10, -1) AS durable FROM orders")
+@query("seal_boundaries", "SELECT o_orderkey AS tip, CASE WHEN o_orderkey >= 100 THEN (o_orderkey - 99) // 1000 * 1000 - 1 ELSE -1 END AS sealed, greatest(o_orderkey - 10, -1) AS durable FROM orders")
 def _(spark, sf_dir):
     t = F.col("o_orderkey")
     sealed = F.when(t >= 100, F.floor((t - 99) / RANGE_SIZE) * RANGE_SIZE - 1).otherwise(-1).cast("bigint")
     return derive.table(spark, sf_dir, "orders").select(t.alias("tip"), sealed.alias("sealed"), F.greatest(t - 10, F.lit(-1)).alias("durable"))
 
 
-@query("blob_roundtrip_all", f"WITH {_SIZED} SELECT height, hash, prev_hash, sapling_size, orchard_size, ironwood_size FROM sized WHERE height < ({_TIP} + 1) // 1000 * 1000")
+@query("blob_roundtrip", f"WITH {_SIZED} SELECT height, hash, prev_hash, sapling_size, orchard_size, ironwood_size FROM sized WHERE height < ({_TIP} + 1) // 1000 * 1000")
 def _(spark, sf_dir):
     """All complete ranges through the packed binary form and back; a range that the tip has not filled is never packed."""
     from ledgerloom.sources import blobs
@@ -830,7 +794,7 @@ def _(spark, sf_dir):
     return back.select("height", "hash", "prev_hash", *_SIZES)
 
 
-@query("wire_roundtrip_all", f"WITH {_SIZED} SELECT height, hash, prev_hash, time, sapling_size, orchard_size, ironwood_size FROM sized")
+@query("wire_roundtrip", f"WITH {_SIZED} SELECT height, hash, prev_hash, time, sapling_size, orchard_size, ironwood_size FROM sized")
 def _(spark, sf_dir):
     """All blocks through the wire format and back."""
     from ledgerloom.sources import wire
@@ -839,7 +803,7 @@ def _(spark, sf_dir):
     return wire.from_wire(wire.to_wire(nested.join(sized(spark, sf_dir).select("height", *_SIZES), "height"))).drop("vtx")
 
 
-@query("stream_depth_late_data_all", f"SELECT o_orderkey AS height, CASE WHEN o_orderkey <= ({_TIP} - 99) // 1000 * 1000 - 1 THEN 'deep recovery' WHEN o_orderkey <= {_TIP} - 10 THEN 'replace' WHEN o_orderkey <= {_TIP} THEN 'head' ELSE 'ahead' END AS action FROM orders")
+@query("stream_depth_late_data", f"SELECT o_orderkey AS height, CASE WHEN o_orderkey <= ({_TIP} - 99) // 1000 * 1000 - 1 THEN 'deep recovery' WHEN o_orderkey <= {_TIP} - 10 THEN 'replace' WHEN o_orderkey <= {_TIP} THEN 'head' ELSE 'ahead' END AS action FROM orders")
 def _(spark, sf_dir):
     """All rows, arriving on a stream, sorted out by depth below the table's own tip."""
     from ledgerloom.plans.runtime import fresh_path
@@ -848,6 +812,6 @@ def _(spark, sf_dir):
     orders = derive.table(spark, sf_dir, "orders")
     live = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parquet*")
     late = late_rows(live.select(F.col("o_orderkey").alias("height")), orders.agg(F.max("o_orderkey")).first()[0])
-    out = fresh_path(spark, "stream_late_all")
+    out = fresh_path(spark, "stream_late")
     late.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}_progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("height bigint, action string").parquet(out)

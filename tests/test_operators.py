@@ -173,6 +173,15 @@ def test_greedy_groups(spark, weights):
     assert values(found.select("start_height", "group", "by_rule", "ends")) == greedy(weights, 10, 100)
 
 
+def test_greedy_groups_of_many_lists(spark):
+    rng = random.Random(4)
+    lists = {name: [rng.randrange(60) for _ in range(rng.randrange(1, 400))] for name in ("a", "b", None, "", "é")}
+    rows = [(name, k, w) for name, weights in lists.items() for k, w in enumerate(weights)]
+    rng.shuffle(rows)
+    found = windows.greedy_groups(spark.createDataFrame(rows, "name string, k int, w int").repartition(5), "k", "w", 10, 100, "name")
+    assert sorted(map(tuple, found.select("name", "k", "group", "by_rule", "ends").collect()), key=repr) == sorted(((name, *r) for name, weights in lists.items() for r in greedy(weights, 10, 100)), key=repr)
+
+
 def test_subtree_spans_skip_empty_and_cross_many(spark):
     rows = spark.createDataFrame([(1, 0, 3), (2, 3, 4), (3, 4, 17), (4, 17, 17)], "height bigint, a bigint, b bigint")
     assert values(windows.subtree_spans(rows, "a", "b", 4).select("height", "subtree")) == [(2, 0), (3, 1), (3, 2), (3, 3)]

@@ -23,7 +23,7 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["seal_boundaries_all", "blob_roundtrip_all", "wire_roundtrip_all", "stream_depth_late_data_all"])
+@pytest.mark.parametrize("name", ["seal_boundaries", "blob_roundtrip", "wire_roundtrip", "stream_depth_late_data"])
 def test_whole_table_queries_have_every_height(spark, name):
     """sf0.01 ends with a complete range, so all of its 15 ranges are packed too."""
     sf_dir = "/root/testdata/sf0.01"
