@@ -78,3 +78,44 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(_PACKAGE.parent))
     context.addPyFile(archive)
     context._ledgerloom_shipped = True
+
+
+def publish(spark: SparkSession, body: bytes, path: str, replace: bool = False) -> None:
+    """A small file that readers see whole or not at all: written beside its name, then renamed to it.
+
+    Without ``replace`` an existing file stays and FileExistsError is raised; with it the old file is there until the new
+    one takes its place. Both are one step where the file system renames in one step, as shared ones that Spark commits to do.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    final, part = hadoop.Path(path), hadoop.Path(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.part")
+    files = final.getFileSystem(conf)
+    out = files.create(part, False)
+    out.write(bytearray(body))
+    out.close()
+    if files.getUri().getScheme() == "file":
+        _publish_here(Path(part.toUri().getPath()), Path(final.toUri().getPath()), replace)
+        return
+    option = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE if replace else option.NONE
+    try:
+        hadoop.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(part), files.makeQualified(final), options)
+    except Exception as e:
+        files.delete(part, False)
+        if not replace and files.exists(final):
+            raise FileExistsError(path) from e
+        raise
+
+
+def _publish_here(part: Path, final: Path, replace: bool) -> None:
+    """The same on a local file system, whose renames through Hadoop take several steps. Files without a checksum beside them are read as they are."""
+    for f in (part, *([final] if replace else [])):
+        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    try:
+        if replace:
+            os.replace(part, final)
+        else:
+            os.link(part, final)  # fails if it is there
+    finally:
+        part.unlink(missing_ok=True)

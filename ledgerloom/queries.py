@@ -815,3 +815,60 @@ def _(spark, sf_dir):
     out = fresh_path(spark, "stream_late")
     late.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}_progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("height bigint, action string").parquet(out)
+
+
+def _packed_entries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All complete ranges, packed and written, and what a manifest says of them."""
+    from ledgerloom.plans.runtime import stage
+    from ledgerloom.sources import blobs
+
+    full = (_tip(spark, sf_dir) + 1) // RANGE_SIZE * RANGE_SIZE
+    blocks = sized_blocks(spark, sf_dir).select("height", "hash", "prev_hash", "time", "vtx", *_SIZES).where(F.col("height") < full)
+    packed = stage(blobs.pack_ranges(blocks), "packed")
+    ends = sized(spark, sf_dir).where(F.col("height") % RANGE_SIZE == RANGE_SIZE - 1)
+    ends = ends.select((F.col("height") - RANGE_SIZE + 1).alias("start_height"), F.col("hash").alias("end_hash"), *_SIZES)
+    return packed, stage(ends.join(packed.select("start_height", "blob_len", "blob_digest"), "start_height"), "entries")
+
+
+@query("checked_ranges", f"""WITH {_RANGES}, d AS (SELECT start_height, start_height // 1000 % 7 AS k FROM ranges WHERE n_blocks = 1000)
+  SELECT start_height, start_height + CASE WHEN k IN (3, 5) THEN 999 ELSE 0 END AS height,
+         CASE k WHEN 1 THEN 'blob_length' WHEN 2 THEN 'blob_digest' WHEN 3 THEN 'end_hash' WHEN 4 THEN 'start_link' WHEN 5 THEN 'end_tree_sizes' ELSE 'tree_sizes' END AS "check"
+  FROM d WHERE k > 0""")
+def _(spark, sf_dir):
+    """Every complete range against a manifest that is wrong in a way of its own for six of seven ranges."""
+    from ledgerloom.sources import blobs
+
+    packed, entries = _packed_entries(spark, sf_dir)
+    k = F.floor(F.col("start_height") / RANGE_SIZE) % 7
+    wrong = {
+        "blob_len": F.col("blob_len") + F.when(k == 1, 1).otherwise(0), "blob_digest": F.when(k == 2, F.lit("0" * 64)).otherwise(F.col("blob_digest")),
+        "end_hash": F.when(k == 3, F.lit("f" * 64)).otherwise(F.col("end_hash")), "orchard_size": F.col("orchard_size") + F.when(k == 5, 1).otherwise(0),
+    }
+    return blobs.failures(packed, entries.withColumns(wrong))
+
+
+@query("store_install", f"WITH {_RANGES} SELECT r.start_height, h.hash AS end_hash, r.sapling, r.orchard, r.ironwood, 'checked' AS state, CAST(1000 AS BIGINT) AS n_blocks FROM ranges r JOIN headers h ON h.height = r.end_height WHERE n_blocks = 1000")
+def _(spark, sf_dir):
+    """Complete ranges, checked and installed in an empty store: its metadata and how many blocks it has of each."""
+    from ledgerloom.plans.runtime import fresh_path
+    from ledgerloom.sources import blobs
+    from ledgerloom.sources.store import Store
+
+    store = Store(spark, fresh_path(spark, "store"))
+    done = store.install(store.snapshot(), blobs.CheckedRanges.check(*_packed_entries(spark, sf_dir)))
+    counts = done.sealed.groupBy((F.col("range_id") * RANGE_SIZE).alias("start_height")).agg(F.count("*").alias("n_blocks"))
+    return done.range_meta.join(counts, "start_height")
+
+
+@query("store_reorganised", f"{_replace_sql(321, 1450)}")
+def _(spark, sf_dir):
+    """The log in a store, and a branch from far below its sealed height: what the store serves then."""
+    from ledgerloom.plans.runtime import fresh_path
+    from ledgerloom.sources.store import Store
+
+    blocks = sized_blocks(spark, sf_dir).select("height", "hash", "prev_hash", "time", "vtx", *_SIZES)
+    store = Store(spark, fresh_path(spark, "store"))
+    old = store.append(store.snapshot(), blocks)
+    _, new = _fork(spark, sf_dir, 321, 1450)
+    branch = old.blocks().drop("hash", "prev_hash").join(new.where("height > 321"), "height").select(*blocks.columns)
+    return store.replace_deep(old, 321, branch).blocks().select("height", "hash", "prev_hash")

@@ -6,6 +6,7 @@ light client needs is kept of a block. Decoding checks every length before it re
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -205,6 +206,97 @@ def unpack_ranges(packed: DataFrame, places: DataFrame | None = None) -> DataFra
     return decode_blocks(rows.mapInArrow(run, "payload binary"))
 
 
+#: Added items by the size that counts them.
+_ADDS = {"sapling_size": "outputs", "orchard_size": "actions", "ironwood_size": "ironwood_actions"}
+# fixed values: the named checks of a packed range, in the order in which they are made
+CHECKS = ("blob_length", "blob_digest", "range_version", "decode", "start_height", "start_link", "hash_chain", "tree_sizes", "end_hash", "end_tree_sizes")
+
+
+def range_failure(blob: bytes | None, entry: dict) -> tuple[int, str] | None:
+    """(height, check) of the first check that a packed range fails, or None.
+
+    ``entry`` says what the manifest does (start_height, end_hash, sizes, blob_len, blob_digest) and, as ``previous``, what
+    it says of the range before (None: this one is the first). Checks of the whole range fail at its start.
+    """
+    start = entry["start_height"]
+    if blob is None or len(blob) != entry["blob_len"]:
+        return start, "blob_length"
+    if hashlib.sha256(blob).hexdigest() != entry["blob_digest"]:
+        return start, "blob_digest"
+    if blob[:4] != MAGIC or blob[4:5] != bytes([VERSION]):
+        return start, "range_version"
+    try:
+        reader = RangeReader(blob)
+    except IntegrityError:
+        return start, "decode"
+    if reader.start != start:
+        return start, "start_height"
+    last = entry["previous"] or {"end_hash": "0" * 64} | dict.fromkeys(_ADDS, 0)
+    above, sizes = last["end_hash"], {s: last[s] for s in _ADDS}
+    for i in range(len(reader)):
+        try:
+            row = reader.block(i)
+        except IntegrityError:
+            return start + i, "decode"
+        if row["prev_hash"] != above:
+            return start + i, "hash_chain" if i else "start_link"
+        sizes = {s: n + sum(len(tx[_ADDS[s]]) for tx in row["vtx"]) for s, n in sizes.items()}
+        if any(row[s] != n for s, n in sizes.items()):
+            return start + i, "tree_sizes"
+        above = row["hash"]
+    if above != entry["end_hash"]:
+        return start + RANGE_SIZE - 1, "end_hash"
+    if any(sizes[s] != entry[s] for s in _ADDS):
+        return start + RANGE_SIZE - 1, "end_tree_sizes"
+    return None
+
+
+class CheckedRanges:
+    """Packed ranges that have passed every check against their entries: what a store installs. Only ``check`` makes one.
+
+    ``packed (start_height, blob)`` must not change afterwards, so hand in a table that is written.
+    """
+
+    def __init__(self, packed: DataFrame, entries: DataFrame, *, _proof: object = None):
+        if _proof is not _PROOF:
+            raise TypeError("CheckedRanges.check makes checked ranges")
+        self.packed, self.entries = packed, entries
+
+    @classmethod
+    def check(cls, packed: DataFrame, entries: DataFrame) -> CheckedRanges:
+        bad = failures(packed, entries).orderBy("start_height").first()
+        if bad is not None:
+            raise IntegrityError(bad["check"], bad["height"])
+        return cls(packed, entries, _proof=_PROOF)
+
+
+_PROOF = object()
+
+
+def failures(packed: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(start_height, height, check)`` of the entries whose range fails, and the first check that it fails.
+
+    Entries ``(start_height, end_hash, sapling_size, orchard_size, ironwood_size, blob_len, blob_digest)``; a range is
+    checked by itself, its first link and sizes against the entry before it. Each range is one row of one task.
+    """
+    ship(packed.sparkSession)
+    known = ["end_hash", *_ADDS]
+    before = entries.select((F.col("start_height") + RANGE_SIZE).alias("start_height"), F.struct(*known).alias("previous"))
+    rows = entries.select("start_height", *known, "blob_len", "blob_digest").join(before, "start_height", "left").join(packed.select("start_height", "blob"), "start_height", "left")
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+                if failed := range_failure(row.pop("blob"), row):
+                    found.append((row["start_height"], *failed))
+            if found:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["start_height", "height", "check"])
+
+    return rows.mapInArrow(run, "start_height bigint, height bigint, check string")
+
+
 class _Segment(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.errors import IntegrityError
 from ledgerloom.operators import tiers, verify
+from ledgerloom.plans.runtime import publish
 from ledgerloom.sources import blobs
 
 _ENTRY = (
@@ -21,6 +23,25 @@ _ENTRY = (
 )
 
 
+def entry(fields: dict) -> tuple:
+    """A manifest entry in the order of its columns. What is missing, unknown, of another type or out of bounds is named."""
+    kinds = {"bigint": int, "string": str, "boolean": bool}
+    columns = dict(c.split() for c in _ENTRY.split(", "))
+    start = fields.get("start_height")
+    if extra := sorted(fields.keys() - columns.keys()):
+        raise IntegrityError("entry_unknown_field", start, extra[0])
+    for name, kind in columns.items():
+        if name not in fields:
+            raise IntegrityError("entry_missing_field", start, name)
+        if type(fields[name]) is not kinds[kind]:
+            raise IntegrityError("entry_type", start, name)
+        if kind == "bigint" and not 0 <= fields[name] < 2**63:
+            raise IntegrityError("entry_range", start, name)
+        if name in ("end_hash", "blob_digest") and not re.fullmatch("[0-9a-f]{64}", fields[name]):
+            raise IntegrityError("entry_digest", start, name)
+    return tuple(fields[name] for name in columns)
+
+
 class SnapshotDirectory:
     """A directory that Spark can write. ``key`` authenticates manifests (HMAC stands in for a public-key signature)."""
 
@@ -31,16 +52,11 @@ class SnapshotDirectory:
         self._fs = path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _put(self, name: str, body: bytes, replace: bool = False) -> None:
-        """To a temporary file beside it, then renamed: readers see the old file or the new one."""
-        final, part = self._path(f"{self.root}/{name}"), self._path(f"{self.root}/{name}.part")
-        if self._fs.exists(final) and not replace:
-            raise IntegrityError("manifest exists", detail=name)
-        out = self._fs.create(part, True)
-        out.write(bytearray(body))
-        out.close()
-        if replace:
-            self._fs.delete(final, False)
-        self._fs.rename(part, final)
+        """Readers see the old file or the new one, never none."""
+        try:
+            publish(self.spark, body, f"{self.root}/{name}", replace)
+        except FileExistsError as e:
+            raise IntegrityError("manifest exists", detail=name) from e
 
     def _get(self, name: str) -> bytes:
         return bytes(self.spark.read.format("binaryFile").load(f"{self.root}/{name}").first()["content"])
@@ -49,8 +65,8 @@ class SnapshotDirectory:
         """``(start_height, blob_len)`` of the range files that are there."""
         if not self._fs.exists(self._path(f"{self.root}/ranges")):
             return self.spark.createDataFrame([], "start_height bigint, blob_len bigint")
-        files = self.spark.read.schema("start_height bigint, blob binary, blob_digest string").parquet(f"{self.root}/ranges")
-        return files.select("start_height", F.octet_length("blob").cast("bigint").alias("blob_len"))
+        files = self.spark.read.schema("start_height bigint, blob_len bigint").parquet(f"{self.root}/ranges")
+        return files.select("start_height", "blob_len")
 
     def export(self, packed: DataFrame, entries: DataFrame, sealed_through: int, now: datetime) -> dict:
         """Writes what is missing of the ranges, then the manifest of ``now``, then the pointer to it.
@@ -68,7 +84,7 @@ class SnapshotDirectory:
         if not (rules := verify.manifest_violations(entries, sealed_through)).isEmpty():
             raise IntegrityError("manifest", rules.first()["start_height"], rules.first()["check"])
         todo = tiers.missing_ranges(entries.select("start_height", "blob_len"), self.present())
-        fresh = packed.join(todo.select("start_height"), "start_height", "left_semi").select("start_height", "blob", "blob_digest")
+        fresh = packed.join(todo.select("start_height"), "start_height", "left_semi").select("start_height", "blob", "blob_digest", "blob_len")
         written = todo.count()
         if written:
             fresh.write.mode("append").parquet(f"{self.root}/ranges")
@@ -88,9 +104,7 @@ class SnapshotDirectory:
         body = self._get(signed["latest"]["manifest"])
         if hashlib.sha256(body).hexdigest() != signed["latest"]["digest"]:
             raise IntegrityError("manifest_digest")
-        entries = json.loads(body)["entries"]
-        names = [c.split()[0] for c in _ENTRY.split(", ")]
-        return self.spark.createDataFrame([tuple(e[n] for n in names) for e in entries], _ENTRY), signed["latest"]["sealed_through"]
+        return self.spark.createDataFrame([entry(e) for e in json.loads(body)["entries"]], _ENTRY), signed["latest"]["sealed_through"]
 
     def blocks(self) -> DataFrame:
         """Blocks of the ranges of the latest manifest; a blob that does not fit its entry fails the query."""

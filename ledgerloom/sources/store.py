@@ -1,8 +1,10 @@
 """A store of the log in Parquet, with generations.
 
-A generation is a small JSON file that lists the folders of its tables; folders are never changed once written, so a
-reader of an old generation goes on reading it. A commit writes new folders and then creates the file of the next
-generation, which fails if that exists: of two writers from one base only one commits.
+A generation is a small JSON file that lists the folders of its tables, each with the height that it counts up to;
+folders are never changed once written, so a reader of an old generation goes on reading it, and a reorganisation lowers
+the heights of the folders it reaches into and writes none of them anew. A commit writes new folders and then puts the
+file of the next generation in its place in one step, which fails if there is one: of two writers from one base only one
+commits, and no reader meets half a file. ``compact`` brings many folders together.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 from ledgerloom.errors import IntegrityError, OutOfRange
 from ledgerloom.operators import tiers, verify
 from ledgerloom.operators.windows import broken_links
-from ledgerloom.schema import BLOCK, RANGE_SIZE, SCHEMA_VERSION, SEAL_DEPTH
+from ledgerloom.plans.runtime import publish
+from ledgerloom.schema import BLOCK, RANGE_SIZE, SCHEMA_VERSION, SEAL_DEPTH, SHIELDED
+from ledgerloom.sources.blobs import CheckedRanges, unpack_ranges
 
 _META = "start_height bigint, end_hash string, sapling bigint, orchard bigint, ironwood bigint, state string"
 
@@ -46,6 +50,11 @@ class Snapshot:
         return self.sealed.where(F.col("range_id") == start // RANGE_SIZE)
 
 
+def _lowered(folders: list, height: int) -> list:
+    """The folders, none of which counts beyond ``height``."""
+    return [[f, height] if isinstance(f, str) else [f[0], min(f[1], height)] for f in folders]
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -66,8 +75,13 @@ class Store:
             return {"schema_version": SCHEMA_VERSION, "tip_height": -1, "tip_hash": None, "sealed_through": -1, "verified_through": -1, "sealed": [], "mutable": [], "hash_index": [], "range_meta": []}
         return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/generations/{generation}.json").first()[0])
 
-    def _table(self, folders: list[str], schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+    def _table(self, folders: list, schema: str) -> DataFrame:
+        """Folders as one table: whole ones are plain paths, others (path, last height that counts)."""
+        whole = [f for f in folders if isinstance(f, str)]
+        out = self.spark.read.schema(schema).parquet(*whole) if whole else self.spark.createDataFrame([], schema)
+        for path, through in (f for f in folders if not isinstance(f, str)):
+            out = out.unionByName(self.spark.read.schema(schema).parquet(path).where(F.col("height") <= through))
+        return out
 
     def snapshot(self, generation: int | None = None) -> Snapshot:
         known = self._generations()
@@ -85,13 +99,10 @@ class Store:
         return folder
 
     def _commit(self, base: int, state: dict) -> Snapshot:
-        file = self._path(f"{self.root}/generations/{base + 1}.json")
         try:
-            out = self._fs.create(file, False)
-        except Exception as e:
+            publish(self.spark, json.dumps(state).encode(), f"{self.root}/generations/{base + 1}.json")
+        except FileExistsError as e:
             raise IntegrityError("stale_batch", detail=f"generation {base + 1} exists") from e
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
         return self.snapshot(base + 1)
 
     def append(self, base: Snapshot, batch: DataFrame) -> Snapshot:
@@ -132,8 +143,8 @@ class Store:
         if ancestor > base.tip:
             raise IntegrityError("replacement", ancestor)
         keep = (ancestor + 1) // RANGE_SIZE * RANGE_SIZE
-        kept = base.sealed.where(F.col("range_id") < keep // RANGE_SIZE)
-        sealed = [self._write(kept, "sealed", by_range=True)] if keep else []
+        sealed = _lowered(base.state["sealed"], keep - 1) if keep else []
+        kept = self._table(sealed, f"{BLOCK}, range_id bigint")
         opened = base.sealed.where((F.col("range_id") >= keep // RANGE_SIZE) & (F.col("height") <= ancestor)).drop("range_id")
         meta = [self._write(base.range_meta.where(F.col("start_height") < keep), "range_meta")]
         state = base.state | {"sealed": sealed, "sealed_through": keep - 1, "verified_through": min(base.state["verified_through"], keep - 1)}
@@ -147,12 +158,43 @@ class Store:
         if top is None:
             top = base.sealed.agg(F.max_by(F.struct("height", "hash"), "height")).first()[0]
         tip, tip_hash = (top["height"], top["hash"]) if top else (-1, None)
-        index = base.hash_index.where(F.col("height") <= ancestor).union(replacement.select("hash", "height"))
         if not (bad := broken_links(base.sealed.where(F.col("height") == ancestor).drop("range_id").unionByName(joined))).isEmpty():
             raise IntegrityError("continuity", bad.agg(F.min("height")).first()[0])
-        state = self._sealed(base, joined, [self._write(index, "hash_index")], tip, tip_hash)
+        index = [*_lowered(base.state["hash_index"], ancestor), self._write(replacement.select("hash", "height"), "hash_index")]
+        state = self._sealed(base, joined, index, tip, tip_hash)
         return self._commit(base.generation, state | {"range_meta": meta})
 
+    def install(self, base: Snapshot, ranges: CheckedRanges) -> Snapshot:
+        """Checked ranges that continue a log of sealed ranges alone: they are sealed as they come, with their metadata."""
+        if not isinstance(ranges, CheckedRanges):
+            raise TypeError("only checked ranges are installed")
+        ends = ranges.entries.agg(F.min("start_height").alias("a"), F.max_by(F.struct("start_height", "end_hash"), "start_height").alias("z"), F.count("*").alias("n")).first()
+        if not ends["n"]:
+            return base
+        top = ends["z"]["start_height"] + RANGE_SIZE - 1
+        if base.tip != base.state["sealed_through"] or ends["a"] != base.tip + 1 or top - base.tip != ends["n"] * RANGE_SIZE:
+            raise IntegrityError("continuity", ends["a"])
+        blocks = unpack_ranges(ranges.packed.join(ranges.entries.select("start_height"), "start_height", "left_semi"))
+        folder = self._write(blocks.withColumn("range_id", F.floor(F.col("height") / RANGE_SIZE)), "sealed", by_range=True)
+        fresh = self.spark.read.schema(f"{BLOCK}, range_id bigint").parquet(folder)
+        if base.tip >= 0 and fresh.where(F.col("height") == ends["a"]).first()["prev_hash"] != base.state["tip_hash"]:
+            raise IntegrityError("start_link", ends["a"])
+        if not verify.duplicate_hashes(base.hash_index.join(fresh.select("hash"), "hash", "left_semi"), fresh).isEmpty():
+            raise IntegrityError("duplicate_hash")
+        columns = [F.col(f"{p}_size").alias(p) for p in SHIELDED]
+        meta = base.range_meta.unionByName(ranges.entries.select("start_height", "end_hash", *columns, F.lit("checked").alias("state")))
+        index = [*base.state["hash_index"], self._write(fresh.select("hash", "height"), "hash_index")]
+        state = base.state | {"tip_height": top, "tip_hash": ends["z"]["end_hash"], "sealed_through": top, "hash_index": index}
+        return self._commit(base.generation, state | {"sealed": [*base.state["sealed"], folder], "range_meta": [self._write(meta, "range_meta")]})
+
+    def compact(self, base: Snapshot, most: int = 64) -> Snapshot:
+        """Tables of more than ``most`` folders are written as one; the log stays the same."""
+        state = dict(base.state)
+        for name, table in (("sealed", base.sealed), ("hash_index", base.hash_index)):
+            if len(state[name]) > most:
+                state[name] = [self._write(table, name, by_range=name == "sealed")]
+        return self._commit(base.generation, state) if state != base.state else base
+
     def put_range_meta(self, base: Snapshot, rows: DataFrame) -> Snapshot:
         """Upsert of range metadata: ranges must be sealed and end as the log says."""
         ends = base.sealed.select((F.col("height") - RANGE_SIZE + 1).alias("start_height"), F.col("hash").alias("_hash"))

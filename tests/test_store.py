@@ -125,3 +125,104 @@ def test_codec_refuses_damage():
         blobs.encode_range(rows[1:])
     with pytest.raises(IntegrityError, match="block_link"):
         blobs.encode_range([*rows[:500], rows[500] | {"prev_hash": "f" * 64}, *rows[501:]])
+
+
+def packed(spark, low, high):
+    rows = blobs.pack_ranges(chain(spark, low, high)).collect()
+    of = lambda r: (r.start_height, derive_hash(r.start_height + 999), 0, 0, 0, r.blob_len, r.blob_digest)
+    entries = spark.createDataFrame([of(r) for r in rows], "start_height bigint, end_hash string, sapling_size bigint, orchard_size bigint, ironwood_size bigint, blob_len bigint, blob_digest string")
+    return spark.createDataFrame([(r.start_height, r.blob) for r in rows], "start_height bigint, blob binary"), entries
+
+
+def derive_hash(h):
+    import hashlib
+
+    return hashlib.sha256(str(h).encode()).hexdigest()
+
+
+def test_install_takes_only_checked_ranges_that_continue(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    files, entries = packed(spark, 0, 2999)
+    first = store.install(store.snapshot(), blobs.CheckedRanges.check(files, entries.where("start_height < 2000")))
+    assert (first.tip, first.state["sealed_through"], first.sealed.count(), first.range_meta.count(), first.hash_index.count()) == (1999, 1999, 2000, 2, 2000)
+    later = blobs.CheckedRanges.check(files, entries).entries  # one range by itself would lack the entry before it
+    with pytest.raises(IntegrityError, match="continuity"):
+        store.install(first, blobs.CheckedRanges.check(files, later))
+    with pytest.raises(TypeError):
+        store.install(first, (files, entries))
+    with pytest.raises(TypeError):
+        blobs.CheckedRanges(files, entries)
+    with pytest.raises(IntegrityError, match="blob_length"):
+        blobs.CheckedRanges.check(files.where("start_height = 0"), entries)
+    assert store.install(first, blobs.CheckedRanges.check(files, entries.where("start_height > 9000"))) is first
+    grown = store.append(first, chain(spark, 2000, 2100))
+    with pytest.raises(IntegrityError, match="continuity"):
+        store.install(grown, blobs.CheckedRanges.check(files, entries))
+
+
+def test_range_failures_are_named_in_order(spark):
+    (row,) = blobs.pack_ranges(chain(spark, 0, 999)).collect()
+    blob = bytes(row.blob)
+    import hashlib
+
+    def entry(data, **more):
+        sizes = dict.fromkeys(("sapling_size", "orchard_size", "ironwood_size"), 0)
+        return {"start_height": 0, "end_hash": derive_hash(999), "blob_len": len(data), "blob_digest": hashlib.sha256(data).hexdigest(), "previous": None} | sizes | more
+
+    assert blobs.range_failure(blob, entry(blob)) is None
+    assert blobs.range_failure(None, entry(blob)) == (0, "blob_length")
+    assert blobs.range_failure(blob + b"x", entry(blob)) == (0, "blob_length")
+    assert blobs.range_failure(blob, entry(blob, blob_digest="0" * 64)) == (0, "blob_digest")
+    for at, check in ((0, "range_version"), (5, "decode"), (9, "decode")):
+        bad = blob[:at] + bytes([blob[at] ^ 1]) + blob[at + 1 :]
+        assert blobs.range_failure(bad, entry(bad)) == (0, check)
+    assert blobs.range_failure(blob, entry(blob, start_height=1000, previous=None)) == (1000, "start_height")
+    assert blobs.range_failure(blob, entry(blob, previous={"end_hash": "1" * 64, "sapling_size": 0, "orchard_size": 0, "ironwood_size": 0})) == (0, "start_link")
+    body = 13 + 4 * RANGE_SIZE
+    size = (len(blob) - body) // RANGE_SIZE
+    link = bytearray(blob)
+    link[body + 7 * size + 5 + 32] ^= 1  # the previous hash of block 7
+    assert blobs.range_failure(bytes(link), entry(link)) == (7, "hash_chain")
+    grown = bytearray(blob)
+    grown[body + 9 * size + 5 + 64 + 4] ^= 1
+    assert blobs.range_failure(bytes(grown), entry(grown)) == (9, "tree_sizes")
+    assert blobs.range_failure(blob, entry(blob, end_hash="2" * 64)) == (999, "end_hash")
+    assert blobs.range_failure(blob, entry(blob, orchard_size=1)) == (999, "end_tree_sizes")
+
+
+def test_reorganisations_rewrite_no_sealed_folder(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    s = store.append(store.snapshot(), chain(spark, 0, 5209))
+    for k in (4500, 3100, 2999):
+        s = store.replace_deep(s, k, chain(spark, k + 1, 5300, f"b{k}", k))
+        assert (s.tip, s.blocks().count(), s.hash_index.count(), s.blocks().select("hash").distinct().count()) == (5300, 5301, 5301, 5301)
+    first = s.state["sealed"][0]
+    assert first[1] == 2999 and len({f if isinstance(f, str) else f[0] for f in s.state["sealed"]}) == len(s.state["sealed"])
+    whole = store.compact(s, most=1)
+    assert len(whole.state["sealed"]) == len(whole.state["hash_index"]) == 1
+    assert whole.blocks().exceptAll(s.blocks()).isEmpty() and s.blocks().exceptAll(whole.blocks()).isEmpty()
+    assert store.compact(whole) is whole
+
+
+def test_small_files_are_published_whole_or_not_at_all(spark, tmp_path):
+    from ledgerloom.plans.runtime import publish
+
+    path = f"file://{tmp_path}/x/one.json"
+    publish(spark, b"1", path)
+    with pytest.raises(FileExistsError):
+        publish(spark, b"2", path)
+    assert (tmp_path / "x/one.json").read_bytes() == b"1"
+    publish(spark, b"3", path, replace=True)
+    assert (tmp_path / "x/one.json").read_bytes() == b"3" and not list((tmp_path / "x").glob(".*.part"))
+
+
+def test_manifest_entries_name_what_is_wrong():
+    from ledgerloom.sources.snapshot import _ENTRY, entry
+
+    good = {c.split()[0]: {"bigint": 7, "string": "", "boolean": True}[c.split()[1]] for c in _ENTRY.split(", ")} | {"end_hash": "a" * 64, "blob_digest": "b" * 64}
+    assert entry(good)[0] == 7
+    for change, name in (({"start_height": None}, "entry_type"), ({"blob_len": -1}, "entry_range"), ({"end_hash": "A" * 64}, "entry_digest"), ({"more": 1}, "entry_unknown_field"), ({"epoch_end": 1}, "entry_type")):
+        with pytest.raises(IntegrityError, match=name):
+            entry(good | change)
+    with pytest.raises(IntegrityError, match="entry_missing_field"):
+        entry({k: v for k, v in good.items() if k != "sapling"})
