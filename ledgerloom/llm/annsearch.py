@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by a hierarchical k-means tree and best-bin-first search.
 
 The tree is fitted on a bounded sample and is itself bounded, so it goes to every executor; all rows are indexed, each
-in the leaf that it falls into. Largest inner product becomes smallest distance by one more component that brings all
+in the leaf that it falls into. The more rows there are, the finer the tree is, as far as its sample can tell apart. Largest inner product becomes smallest distance by one more component that brings all
 vectors to the norm of the longest. A query descends by a priority queue over the nodes not yet opened, nearest centre
 first, and so lists leaves in the order in which it would visit them. How many of them are searched is calibrated: the
 true neighbours of a bounded set of queries, found by comparison with all rows, tell how far down those lists they lie,
-and visits are widened until the recall wanted is reached, all leaves if need be.
+and visits are widened until the recall wanted is reached, all leaves if need be. At most half of the queries are in
+that set. Beyond that a query goes on until its leaves hold as many rows as it asks for.
 
-Leaves join on their own. A leaf of many rows is dealt over several tasks by a hash of the row, and its queries go to
-each; every task returns its best few of each query, and these are merged.
+Leaves join on their own. Rows and queries of a leaf are each dealt into parts by a hash, and every part of the one meets
+every part of the other in a task of bounded size; a task returns its best few of each query, and these are merged.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.linkage import whole_cells
 from ledgerloom.llm.vecjoin import matrix, valid
 from ledgerloom.plans.runtime import drop, ship, stage
 
-#: Vectors that the tree is fitted on, children of a node, sample vectors of a leaf that is not split further.
-SAMPLE, BRANCH, LEAF = 20_000, 8, 160
+#: Vectors that the tree is fitted on, children of a node.
+SAMPLE, BRANCH = 20_000, 8
+#: Rows that a leaf is meant to have, and bounds of the sample vectors of a leaf that is not split further.
+LEAF_ROWS, LEAF = 4096, (8, 160)
 #: Queries whose true neighbours set the number of visits, and the recall that these must reach.
-CALIBRATION, RECALL = 128, 0.95
-#: Rows of a leaf that one task searches.
-TASK = 8192
+CALIBRATION, RECALL = 128, 0.97
+#: Rows of a leaf, and queries of it, that one task searches.
+TASK, ASKED = 8192, 4096
 _BLOCK = 256
 
 
@@ -62,16 +66,15 @@ class Tree:
             moving = np.concatenate(still) if still else np.zeros(0, np.int64)
         return np.array([self.leaf_of[int(k)] for k in at], np.int64) if len(at) else at
 
-    def visits(self, queries: np.ndarray, most: int) -> np.ndarray:
-        """The first ``most`` leaves of each query, best bin first (-1 where the tree has fewer)."""
-        most = min(most, len(self.leaves))
+    def visits(self, queries: np.ndarray, most: int, rows: np.ndarray, least: int) -> np.ndarray:
+        """Leaves of each query, best bin first: ``most`` of them, and more until they hold ``least`` of the ``rows`` of
+        the leaves. What a query has fewer than another is -1."""
         flat = np.column_stack([queries, np.zeros(len(queries))])  # a query has nothing to add to its inner products
         far = (self.centres * self.centres).sum(1) - 2 * flat @ self.centres.T
-        out = np.full((len(queries), most), -1, np.int64)
-        for q in range(len(queries)):
-            d = far[q]
-            queue, n = [(0.0, 0)], 0
-            while queue and n < most:
+        found: list[list[int]] = []
+        for d in far:
+            queue, mine, held = [(0.0, 0)], [], 0
+            while queue and (len(mine) < most or held < least):
                 _, node = heapq.heappop(queue)
                 while self.children[node]:  # down to the best leaf below; the others wait for their turn
                     below = self.children[node]
@@ -80,8 +83,12 @@ class Tree:
                         if c != best:
                             heapq.heappush(queue, (d[c], c))
                     node = best
-                out[q, n] = self.leaf_of[node]
-                n += 1
+                mine.append(self.leaf_of[node])
+                held += int(rows[mine[-1]])
+            found.append(mine)
+        out = np.full((len(queries), max(map(len, found), default=0)), -1, np.int64)
+        for q, mine in enumerate(found):
+            out[q, : len(mine)] = mine
         return out
 
 
@@ -96,15 +103,15 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) ->
     return centres, ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
 
 
-def fit_tree(sample: np.ndarray, seed: int = 5) -> Tree:
-    """Hierarchical k-means on the lifted sample. A node whose vectors do not part is a leaf."""
+def fit_tree(sample: np.ndarray, leaf: int = LEAF[1], seed: int = 5) -> Tree:
+    """Hierarchical k-means on the lifted sample. A node of at most ``leaf`` vectors, or whose vectors do not part, is a leaf."""
     rng = np.random.Generator(np.random.PCG64(seed))
     longest = float(np.sqrt((sample * sample).sum(1)).max(initial=0.0))
     x = np.column_stack([sample, np.sqrt(np.maximum(longest**2 - (sample * sample).sum(1), 0))])
     centres, children, todo = [x.mean(0) if len(x) else np.zeros(x.shape[1])], [[]], [(0, np.arange(len(x)))]
     while todo:
         node, rows = todo.pop()
-        if len(rows) <= LEAF:
+        if len(rows) <= leaf:
             continue
         c, near = _k_means(x[rows], BRANCH, rng)
         groups = [rows[near == k] for k in range(BRANCH)]
@@ -132,7 +139,7 @@ def _index(tree):
     return run
 
 
-def _route(tree, most):
+def _route(tree, most, rows, least):
     """Queries (id, vector) to a row for each leaf that they visit."""
 
     def run(batches):
@@ -140,10 +147,9 @@ def _route(tree, most):
         for batch in batches:
             for at in range(0, batch.num_rows, _BLOCK):
                 some = batch.slice(at, _BLOCK)
-                leaves = tree.value.visits(matrix(some.column(1), size), most)
+                leaves = tree.value.visits(matrix(some.column(1), size), most, rows.value, least)
                 which, place = np.nonzero(leaves >= 0)
-                taken = some.take(pa.array(which))
-                yield pa.record_batch([pa.array(leaves[which, place]), taken.column(0), taken.column(1)], names=["leaf", "id", "vector"])
+                yield pa.record_batch([pa.array(leaves[which, place]), some.column(0).take(pa.array(which))], names=["leaf", "id"])
 
     return run
 
@@ -164,37 +170,22 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
 
 
 def _search_leaf(size: int, k: int):
-    """Rows (leaf, part, query?, id, vector) sorted by leaf and part, to the k best of the part for each query of it."""
-
-    def of_part(parts):
-        t = pa.Table.from_batches(parts)
-        asked = t.column(2).to_numpy().astype(bool)
-        ids = t.column(3).to_numpy()
-        x = np.concatenate([matrix(c, size) for c in t.column(4).chunks])
-        rows, queries = x[~asked], x[asked]
-        own, names = ids[asked], ids[~asked]
-        if not len(rows):
-            return
-        for at in range(0, len(queries), _BLOCK):
-            scores = queries[at : at + _BLOCK] @ rows.T
-            r, c = _best(scores, names, own[at : at + _BLOCK], k)
-            yield pa.record_batch([pa.array(own[at + r]), pa.array(names[c]), pa.array(scores[r, c])], names=["query_id", "vec_id", "score"])
+    """Rows (leaf, part, asked, query?, id, vector) sorted by leaf and parts, to the k best of the rows for each query."""
 
     def run(batches):
-        held, key = [], None
-        for batch in batches:
-            leaf, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            cuts = (np.flatnonzero((leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])) + 1).tolist()
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                if a == b:
-                    continue
-                if held and key != (leaf[a], part[a]):
-                    yield from of_part(held)
-                    held = []
-                key = (leaf[a], part[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from of_part(held)
+        for t in whole_cells(batches, 3):
+            key = np.stack([t.column(i).to_numpy() for i in range(3)], 1)
+            asked, ids = t.column(3).to_numpy(zero_copy_only=False).astype(bool), t.column(4).to_numpy()
+            x = matrix(t.column(5).chunk(0), size)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(t)], strict=True):
+                q = a + np.flatnonzero(asked[a:b])
+                r = a + np.flatnonzero(~asked[a:b])
+                for at in range(0, len(q) if len(r) else 0, _BLOCK):
+                    some = q[at : at + _BLOCK]
+                    scores = x[some] @ x[r].T
+                    i, j = _best(scores, ids[r], ids[some], k)
+                    yield pa.record_batch([pa.array(ids[some][i]), pa.array(ids[r][j]), pa.array(scores[i, j])], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -221,9 +212,9 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def calibrate(spark: SparkSession, tree, indexed: DataFrame, queries: DataFrame, k: int) -> int:
+def calibrate(spark: SparkSession, tree, indexed: DataFrame, rows: np.ndarray, queries: DataFrame, k: int) -> int:
     """Leaf visits after which the calibration queries have found RECALL of their true neighbours."""
-    some = queries.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).collect()
+    some = queries.orderBy(F.xxhash64("id"), "id").limit(min(CALIBRATION, -(-queries.count() // 2))).collect()
     if not some:
         return 1
     own, x = np.array([r["id"] for r in some], np.int64), np.array([r["vector"] for r in some], np.float64)
@@ -232,7 +223,7 @@ def calibrate(spark: SparkSession, tree, indexed: DataFrame, queries: DataFrame,
     truth = _top(indexed.select("id", "vector", "leaf").mapInArrow(_compare_all(data, k), columns), k).collect()
     if not truth:
         return 1
-    visits = tree.value.visits(x, len(tree.value.leaves))
+    visits = tree.value.visits(x, len(rows), rows, 0)
     rank = {int(q): {int(leaf): i for i, leaf in enumerate(row)} for q, row in zip(own, visits, strict=True)}
     depth = np.sort([rank[r["query_id"]][r["leaf"]] for r in truth])
     return int(depth[int(np.ceil(RECALL * len(depth))) - 1]) + 1
@@ -251,26 +242,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     plain = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & valid(F.col("vector")))
     rows = plain(vectors)
     asked = plain(queries).groupBy("id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
-    shape = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if shape is None:
-        return spark.createDataFrame([], empty)
-    size = shape["size"]
+    sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if sizes is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size = sizes["size"]
     rows, asked = rows.where(F.size("vector") == size), asked.where(F.size("vector") == size)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector")
-    fitted = fit_tree(np.array([r[0] for r in sample.toLocalIterator()], np.float64).reshape(-1, size))
+    sample = np.array([r[0] for r in sample.toLocalIterator()], np.float64).reshape(-1, size)
+    fitted = fit_tree(sample, int(np.clip(len(sample) * LEAF_ROWS // sizes["count"], *LEAF)))
     tree = spark.sparkContext.broadcast(fitted)
     indexed = stage(rows.mapInArrow(_index(tree), "leaf long, id long, vector array<double>"), "index")
-    visits = calibrate(spark, tree, indexed, asked, k)
-
-    parts = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / TASK).cast("long").alias("parts"))  # one row for each leaf
-    routed = asked.mapInArrow(_route(tree, visits), "leaf long, id long, vector array<double>")
-    routed = routed.join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    seated = indexed.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")))
-    shape_of = lambda df, q: df.select("leaf", "part", F.lit(q).alias("query"), "id", "vector")
-    both = shape_of(routed, True).union(shape_of(seated, False))
-    met = both.repartition("leaf", "part").sortWithinPartitions("leaf", "part")
+    held = np.zeros(len(fitted.leaves), np.int64)
+    for leaf, n in indexed.groupBy("leaf").agg(F.count("*")).collect():  # at most SAMPLE leaves
+        held[leaf] = n
+    visits = calibrate(spark, tree, indexed, held, asked, k)
+
+    counted = spark.sparkContext.broadcast(held)
+    routed = stage(asked.mapInArrow(_route(tree, visits, counted, k + 1), "leaf long, id long"), "routed")
+    # one row for each leaf: into how many parts its rows and its queries are dealt
+    split = lambda df, most, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / most).cast("long").alias(name))
+    parts = F.broadcast(stage(split(indexed, TASK, "parts").join(split(routed, ASKED, "askers"), "leaf"), "parts"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    seat = lambda n: F.pmod(F.xxhash64("id", F.lit(9)), F.col(n))
+    asking = routed.join(asked, "id").join(parts, "leaf").withColumn("part", every("parts")).withColumn("asked", seat("askers"))
+    seated = indexed.join(parts, "leaf").withColumn("part", seat("parts")).withColumn("asked", every("askers"))
+    shape_of = lambda df, q: df.select("leaf", "part", "asked", F.lit(q).alias("query"), "id", "vector")
+    met = shape_of(asking, True).union(shape_of(seated, False)).repartition("leaf", "part", "asked").sortWithinPartitions("leaf", "part", "asked")
     found = met.mapInArrow(_search_leaf(size, k), "query_id long, vec_id long, score double")
     result = stage(_top(found, k).select("query_id", "rank", "vec_id", "score"), "neighbours")
-    drop(indexed)
+    drop(indexed, routed)
     return result

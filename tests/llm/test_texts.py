@@ -374,6 +374,41 @@ def test_recall_and_order(spark):
     assert hits >= 0.9 * 10 * len(got) and len(got) == 105
 
 
+def test_recall_of_the_query_outside_its_calibration(spark, monkeypatch):
+    """The registered query on the driver's vectors against all rows, leaves and queries in several parts."""
+    import ledgerloom.llm.queries as registered
+
+    monkeypatch.setattr(annsearch, "TASK", 300)
+    monkeypatch.setattr(annsearch, "ASKED", 20)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    found = {}
+    for r in registered.op6_neighbours(spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    queries = np.flatnonzero(ids % 20 == 0)
+    assert set(found) == set(ids[queries].tolist())
+    shares = []
+    for q in queries:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        best = ids[np.lexsort((ids, -scores))[:20]]
+        assert len(found[ids[q]]) == 20
+        shares.append(len(set(best.tolist()) & set(found[ids[q]])) / 20)
+    spared = spark.createDataFrame([(int(i),) for i in ids[queries]], "id long").orderBy(F.xxhash64("id"), "id").limit(min(annsearch.CALIBRATION, -(-len(queries) // 2))).collect()
+    inside = np.isin(ids[queries], [r.id for r in spared])
+    assert np.mean(np.array(shares)[~inside]) >= 0.95
+
+
+def test_queries_go_on_until_they_have_enough(spark):
+    """A leaf of its own for the query alone: its neighbours are in others."""
+    rng = np.random.default_rng(2)
+    tree = annsearch.fit_tree(np.concatenate([rng.normal(size=(400, 4)), 50 + rng.normal(size=(400, 4))]), 8)
+    rows = np.zeros(len(tree.leaves), np.int64)
+    rows[3] = 5
+    (mine,) = tree.visits(rng.normal(size=(1, 4)), 1, rows, 5)
+    assert 3 in mine.tolist() and tree.visits(rng.normal(size=(2, 4)), 2, rows, 0).shape == (2, 2)
+
+
 def test_few_or_no_candidates(spark):
     schema = "vec_id bigint, embedding array<float>, id string"
     df = spark.createDataFrame([(0, [1.0, 0.0], "a"), (20, [0.0, 1.0], "b"), (3, [1.0, 1.0], "c")], schema)
