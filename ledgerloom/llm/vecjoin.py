@@ -5,7 +5,8 @@ sample of each label gives pivots, in proportion to the label's size. A vector b
 p. A partner within r that belongs to the cell of q lies beyond the plane between p and q, so the vector can have one
 there only if its own distance to that plane is at most r: it is then sent to the cell of q too, as a guest. Every link
 thus meets in the cell of each of its ends, and cells join on their own: residents are compared with all that are in
-the cell, in blocks of products in double precision. Cells of too many residents are dealt over several tasks.
+the cell, in blocks of products in double precision. The residents of a cell are dealt into parts and all that are in it
+into chunks; each part meets each chunk in a task of bounded size.
 
 A cell gives, for each vector in it, how many residents it links with, and a spanning forest of the links, not the
 links: the counts of a vector over cells add up because every partner is resident once.
@@ -15,17 +16,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components, union_find
+from ledgerloom.llm.linkage import whole_cells
 from ledgerloom.plans.runtime import drop, ship, stage
 
 COSINE = 0.98
-#: Residents that a cell is meant to have, residents that one task compares at most, pivots of a label at most.
-CELL, TASK, PIVOTS = 2048, 2048, 512
-#: Vectors from which the pivots of a label are drawn, at most.
-SAMPLE = 512
+#: Residents that a cell is meant to have; residents, and others, that one task compares at most on average.
+CELL, TASK, OTHERS = 2048, 2048, 8192
+#: Vectors of a label from which pivots are drawn, at most, and pivots of all labels together, which every executor holds.
+#: Beyond that cells grow, and their parts and chunks with them.
+SAMPLE, PIVOTS = 16_384, 65_536
 _BLOCK = 512
 #: Slack of the geometric bounds against rounding; bounds only ever let more through.
 _SLACK = 1e-9
@@ -65,13 +68,15 @@ def _assign(pivots, cosine):
                 if key not in table:
                     yield _placed(part, np.zeros(b - a, np.int64), np.ones(b - a, bool))
                     continue
-                p, apart = table[key]
-                for at in range(0, b - a, _BLOCK * 4):
-                    some = part.slice(at, _BLOCK * 4)
+                p = table[key]
+                step = max(16, min(_BLOCK * 4, (1 << 20) // len(p)))
+                for at in range(0, b - a, step):
+                    some = part.slice(at, step)
                     near = unit(matrix(some.column(3), key[1])) @ p.T
                     home = near.argmax(1)
                     best = near[np.arange(len(home)), home]
-                    member = best[:, None] - near <= reach * apart[home] + _SLACK
+                    apart = np.sqrt(np.maximum(2 - 2 * (p[home] @ p.T), 0))
+                    member = best[:, None] - near <= reach * apart + _SLACK
                     member[np.arange(len(home)), home] = True
                     which, cell = np.nonzero(member)
                     yield _placed(some.take(pa.array(which)), cell, cell == home[which])
@@ -84,56 +89,43 @@ def _placed(rows, cell, resident):
 
 
 def _join_cell(cosine):
-    """Rows of one (label, size, cell, part), sorted by that, to link counts and forest edges."""
-
-    def of_cell(parts):
-        t = pa.Table.from_batches(parts)
-        size = t.column(1)[0].as_py()
-        node, resident, weight = (t.column(i).to_numpy() for i in (4, 5, 7))
-        host = t.column(3)[0].as_py()
-        mine = resident.astype(bool) & (t.column(8).to_numpy() == host)
-        order = np.argsort(node, kind="stable")
-        node, mine, weight = node[order], mine[order], weight[order]
-        x = unit(np.concatenate([matrix(c, size) for c in t.column(6).chunks]))[order]
-        here = np.flatnonzero(mine)
-        count = np.zeros(len(node), np.int64)
-        root = np.arange(len(node))
-        for at in range(0, len(here), _BLOCK):
-            some = here[at : at + _BLOCK]
-            for low in range(0, len(node), _BLOCK * 8):
-                link = x[low : low + _BLOCK * 8] @ x[some].T >= cosine
-                i, j = np.nonzero(link)
-                i, j = i + low, some[j]
+    """Rows (label, size, cell, part, chunk, node, host, other, weight, vector), sorted by that, to link counts and forest edges.
+
+    Hosts are the residents of the part, others what is in the chunk; links are counted for others, over hosts.
+    """
+
+    def of_cell(t):
+        node, host, other, weight = (t.column(i).to_numpy(zero_copy_only=False) for i in range(5, 9))
+        x = unit(matrix(t.column(9).chunk(0), t.column(1)[0].as_py()))
+        names, at = np.unique(node, return_inverse=True)
+        hosts, others = np.flatnonzero(host), np.flatnonzero(other)
+        count = np.zeros(len(names), np.int64)
+        root = np.arange(len(names))
+        for low in range(0, len(hosts), _BLOCK):
+            some = hosts[low : low + _BLOCK]
+            for start in range(0, len(others), _BLOCK * 8):
+                them = others[start : start + _BLOCK * 8]
+                i, j = np.nonzero(x[them] @ x[some].T >= cosine)
+                i, j, heavy = at[them[i]], at[some[j]], weight[some[j]]
                 off = i != j
                 i, j = i[off], j[off]
-                np.add.at(count, i, weight[j])
+                np.add.at(count, i, heavy[off])
                 fresh = root[i] != root[j]  # others join what is one component already
                 if fresh.any():
                     old, new = union_find(root[i[fresh]], root[j[fresh]])
-                    moved = np.arange(len(node))
+                    moved = np.arange(len(names))
                     moved[old] = new
                     root = moved[root]
-        keep = np.flatnonzero(count > 0)
+        keep = np.flatnonzero((count > 0) | (root != np.arange(len(names))))
         if len(keep):
-            yield pa.record_batch([pa.array(node[keep]), pa.array(count[keep]), pa.array(node[root[keep]])], names=["node", "links", "root"])
+            yield pa.record_batch([pa.array(names[keep]), pa.array(count[keep]), pa.array(names[root[keep]])], names=["node", "links", "root"])
 
     def run(batches):
-        held = []
-        for batch in batches:
-            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], 1)
-            cuts = (np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()
-            if held and len(key) and [held[0].column(i)[0].as_py() for i in range(4)] != key[0].tolist():
-                cuts = [0, *cuts]
-            at = 0
-            for c in cuts:
-                held.append(batch.slice(at, c - at))
-                if sum(len(x) for x in held):
-                    yield from of_cell([x for x in held if len(x)])
-                held, at = [], c
-            if at < batch.num_rows:
-                held.append(batch.slice(at))
-        if held:
-            yield from of_cell(held)
+        for t in whole_cells(batches, 5):
+            key = np.stack([t.column(i).to_numpy() for i in range(5)], 1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(t)], strict=True):
+                yield from of_cell(t.slice(a, b - a))
 
     return run
 
@@ -153,31 +145,41 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     ship(spark)
     rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("long").alias("label"))
     usable = rows.where(valid(F.col("vector")) & F.col("label").isNotNull())
-    # equal vectors are one node that counts as many; a node is named by its least id
-    print_ = F.xxhash64("label", "vector")
+    # equal vectors are one node that counts as many, named by a hash, by two where different vectors share that
+    one, two = F.xxhash64("label", "vector"), F.xxhash64("vector", "label", F.lit(1))
+    doubled = usable.groupBy(one.alias("one")).agg(F.min(two).alias("lo"), F.max(two).alias("hi")).where("lo <> hi")
+    twice = [r["one"] for r in doubled.select("one").collect()]  # a few in 2**32 vectors
+    print_ = F.when(one.isin(twice), F.xxhash64(one, two)).otherwise(one) if twice else one
     grouped = usable.groupBy(print_.alias("node"), "label").agg(F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("weight"))
     classes = stage(grouped.select("label", F.size("vector").cast("long").alias("size"), "vector", "weight", "least", "node"), "classes")
-    groups = classes.groupBy("label", "size").agg(F.count("*").alias("n"))
-    top = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("node").alias("h"), "vector"))), 1, SAMPLE)
+    groups = classes.groupBy("label", "size").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     # smaller groups are one cell; of the others a few hash classes are enough to draw from, a bounded number of rows
-    drawn = classes.join(groups.where(F.col("n") > CELL), ["label", "size"]).where(F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("n") / (4 * SAMPLE)))) == 0)
-    pivots = {}
-    for label, size, n, sample in drawn.groupBy("label", "size").agg(F.first("n"), top).collect():
-        k = int(min(-(-n // CELL), PIVOTS, len(sample)))
-        p = unit(np.array([s["vector"] for s in sample[:k]], np.float64))
-        apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))
-        pivots[(label, size)] = (p, apart)
-    shared = spark.sparkContext.broadcast(pivots)
+    wanted = groups.select("label", "size", "n", F.least(F.ceil(F.col("n") / CELL), F.lit(SAMPLE)).cast("long").alias("k"))
+    several = wanted.agg(F.sum("k")).first()[0] or 0
+    wanted = wanted.withColumn("k", F.ceil(F.col("k") * min(1.0, PIVOTS / max(1, several))).cast("long"))
+    wanted = wanted.where("k > 1")
+    drawn = classes.join(wanted, ["label", "size"]).where(F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("n") / (4 * F.col("k"))))) == 0)
+    place = F.row_number().over(Window.partitionBy("label", "size").orderBy(F.xxhash64("node"), "node"))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= F.col("k")).select("label", "size", "vector")
+    chosen: dict[tuple[int, int], list] = {}
+    for label, size, vector in drawn.toLocalIterator():  # at most twice PIVOTS, as each label has two at least
+        chosen.setdefault((label, size), []).append(vector)
+    shared = spark.sparkContext.broadcast({key: unit(np.array(v, np.float64)) for key, v in chosen.items()})
     placed = classes.select("label", "size", "node", "vector").mapInArrow(_assign(shared, cosine), "label long, size long, cell long, node long, resident boolean, vector array<double>")
     placed = stage(placed, "cells")
-    residents = placed.where("resident").groupBy("label", "size", "cell").agg(F.count("*").alias("n"))
-    parts = residents.select("label", "size", "cell", F.ceil(F.col("n") / TASK).cast("long").alias("parts"))
-    dealt = placed.join(parts, ["label", "size", "cell"]).join(classes.select("node", "weight"), "node")
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("label", "size", "cell", "part", "node", "resident", "vector", "weight", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).alias("seat"))
-    keys = ["label", "size", "cell", "part"]
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_join_cell(cosine), "node long, links long, root long")
-    found = stage(found, "found")
+    cell = ["label", "size", "cell"]
+    counts = placed.groupBy(*cell).agg(F.count_if("resident").alias("n"), F.count("*").alias("all"))
+    counts = counts.select(*cell, F.greatest(F.lit(1), F.ceil(F.col("n") / TASK)).cast("long").alias("parts"), F.ceil(F.col("all") / OTHERS).cast("long").alias("chunks"))
+    seat = lambda c, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(c))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    dealt = placed.join(counts, cell).join(classes.select("node", "weight"), "node").withColumn("seat", seat("parts", 3)).withColumn("own", seat("chunks", 4))
+    # everything is in one chunk, which all parts meet; a resident is a host in its part, which all chunks meet
+    others = dealt.withColumn("part", F.explode(upto("parts"))).select(*cell, "part", F.col("own").alias("chunk"), "node", (F.col("resident") & (F.col("part") == F.col("seat"))).alias("host"), F.lit(True).alias("other"), "weight", "vector")
+    more = dealt.where("resident and chunks > 1").withColumn("chunk", F.explode(F.array_except(upto("chunks"), F.array("own"))))
+    hosts = more.select(*cell, F.col("seat").alias("part"), "chunk", "node", F.lit(True).alias("host"), F.lit(False).alias("other"), "weight", "vector")
+    keys = [*cell, "part", "chunk"]
+    met = others.unionByName(hosts).repartition(*keys).sortWithinPartitions(*keys)
+    found = stage(met.mapInArrow(_join_cell(cosine), "node long, links long, root long"), "found")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     # from nodes to rows: every row knows its node by the hash of its vector

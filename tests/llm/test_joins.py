@@ -265,10 +265,10 @@ def vectors(n_labels=3, per=150, size=12):
     return [(int(k), rows[i][0], rows[i][1]) for k, i in enumerate(order)]
 
 
-@pytest.mark.parametrize("cell", [2048, 40])
-def test_range_join_against_all_pairs(spark, monkeypatch, cell):
-    monkeypatch.setattr(vecjoin, "CELL", cell)
-    monkeypatch.setattr(vecjoin, "TASK", cell)
+@pytest.mark.parametrize(("cell", "task", "others", "pivots"), [(2048, 2048, 8192, 65_536), (40, 40, 8192, 65_536), (40, 15, 30, 65_536), (40, 25, 60, 6), (2048, 50, 70, 9)])
+def test_range_join_against_all_pairs(spark, monkeypatch, cell, task, others, pivots):
+    for name, value in (("CELL", cell), ("TASK", task), ("OTHERS", others), ("PIVOTS", pivots)):
+        monkeypatch.setattr(vecjoin, name, value)
     rows = vectors()
     unit = {}
     for k, v, label in rows:
