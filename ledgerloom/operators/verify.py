@@ -114,3 +114,10 @@ def epoch_groups(entries: DataFrame, most_ranges: int = MAX_RANGES, most_commitm
     total = F.col("sapling") + F.col("orchard") + F.col("ironwood")
     added = entries.select("start_height", (total - F.coalesce(F.lag(total).over(order), F.lit(0))).alias("added"))
     return greedy_groups(added, "start_height", "added", most_ranges, most_commitments)
+
+
+def epoch_part_after(groups: DataFrame, height: int) -> DataFrame:
+    """What is left of an epoch after ``height``, which must end a range: the rows of epoch_groups behind it in the epoch that
+    goes on there. The whole next epoch if ``height`` ends one; no rows if no range ends there or none follows."""
+    goes_on = groups.where(F.col("start_height") == height + 1).select("group")  # one row at most
+    return groups.where(F.col("start_height") > height).join(F.broadcast(goes_on), "group", "left_semi")

@@ -418,6 +418,11 @@ def _(spark, sf_dir):
     return verify.epoch_groups(_entries(spark, sf_dir), 4, 15_000)
 
 
+@query("epoch_part_after", f"""WITH {_EPOCHS} SELECT start_height, CAST(g AS BIGINT) AS "group" FROM f WHERE start_height > 5999 AND g = (SELECT g FROM f WHERE start_height = 6000)""")
+def _(spark, sf_dir):
+    return verify.epoch_part_after(verify.epoch_groups(_entries(spark, sf_dir), 4, 15_000), 5999).select("start_height", "group")
+
+
 @query("epoch_commitments", f"""WITH {_EPOCHS} SELECT CAST(g AS BIGINT) AS epoch, min(f.start_height) AS start_height, max(f.start_height) + 999 AS end_height, CAST(count(*) AS BIGINT) AS n_ranges, CAST(sum(a.w) AS BIGINT) AS commitments, least(CAST(sum(a.w) AS BIGINT) * 64, 2000000) AS budget FROM f JOIN a USING (k) GROUP BY g""")
 def _(spark, sf_dir):
     entries = _entries(spark, sf_dir)

@@ -173,6 +173,12 @@ def test_greedy_groups(spark, weights):
     assert values(found.select("start_height", "group", "by_rule", "ends")) == greedy(weights, 10, 100)
 
 
+@pytest.mark.parametrize(("height", "expected"), [(-1, [0, 1000]), (999, [1000]), (1999, [2000, 3000, 4000]), (2999, [3000, 4000]), (3500, []), (4999, [5000]), (5999, [])])
+def test_part_of_an_epoch(spark, height, expected):
+    groups = spark.createDataFrame([(k * 1000, g) for k, g in enumerate((0, 0, 1, 1, 1, 2))], "start_height bigint, group bigint")
+    assert [r.start_height for r in verify.epoch_part_after(groups, height).orderBy("start_height").collect()] == expected
+
+
 def test_greedy_groups_of_many_lists(spark):
     rng = random.Random(4)
     lists = {name: [rng.randrange(60) for _ in range(rng.randrange(1, 400))] for name in ("a", "b", None, "", "é")}
