@@ -224,7 +224,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min(place).alias("first"), F.max(place).alias("last"), F.min("h2").alias("lo"), F.max("h2").alias("hi")
     )
     classes = stage(classes.where("lo = hi").select("node", "first", "last"), "classes")
-    candidates = found.where("bands is not null").select(F.explode("bands").alias("key"), F.col("h1").alias("node"))
+    candidates = found.where("bands is not null").select(F.col("bands").alias("keys"), F.col("h1").alias("node"))
 
     def fetch(nodes: DataFrame) -> DataFrame:
         places = nodes.join(classes, "node").select(F.xxhash64("first.doc", "first.mark").alias("place"), F.col("first.line").cast("int").alias("line"))

@@ -3,7 +3,9 @@
 A *candidate row* says that a set has a signature. Sets that share a signature may be similar; how surely similar
 sets share one is up to the caller. Four steps find the components of the similarity graph over all such pairs:
 
-1. signatures are counted, with partial sums ahead of the shuffle, and only rows of those that several sets share go on;
+1. slots of signatures are counted: sorted within tasks and sent as the bytes of their differences, three or so for a
+   signature. A signature alone in its slot is of one set. Rows of other slots are written out; their signatures are
+   counted exactly, with partial sums ahead of the shuffle, and only rows of those that several sets share go on;
 2. each bucket of a signature contributes a star from the member that meets most others over all buckets; stars are
    verified exactly and joined;
 3. buckets whose members are then all in one component are done, whatever their size: no further link can change it.
@@ -34,6 +36,8 @@ SMALL_ROWS = 1_000_000
 #: Members, and features of members, that one seat of a bucket is meant for.
 SEAT, SEAT_FEATURES = 4096, 1 << 20
 _BLOCK = 1024
+#: Bits of a signature's slot, and slots that a task sorts at a time.
+_SLOT_BITS, _SLOTS = 40, 1 << 20
 #: Members up to which buckets are compared many at once.
 _SMALL = 64
 
@@ -74,6 +78,89 @@ def likely(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return tagged.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
 
 
+# --- slots: which signatures may be of several sets, for some bytes a signature
+
+
+def packed(sorted_values: np.ndarray) -> bytes:
+    """Ascending numbers below 2**56 as the bytes of their differences, all as wide as the largest one needs."""
+    step = np.diff(sorted_values, prepend=sorted_values.dtype.type(0)).astype("<u8")
+    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)[1:].reshape(-1, blob[0])
+    step = np.zeros((len(raw), 8), np.uint8)
+    step[:, : blob[0]] = raw
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _twice_at_most(values: np.ndarray) -> np.ndarray:
+    """Sorted values, those that come more than twice only two times."""
+    values = np.sort(values)
+    return values[np.append(np.ones(min(2, len(values)), bool), values[2:] != values[:-2])]
+
+
+def _pack(parts: int):
+    """Batches of lists of keys to rows (part, packed slots of that range, counted from its start)."""
+    edges = np.array([((k << _SLOT_BITS) + parts - 1) // parts for k in range(parts + 1)], np.uint64)
+
+    def out(held):
+        values = _twice_at_most(np.concatenate(held))
+        at = np.searchsorted(values, edges)
+        some = np.flatnonzero(at[1:] > at[:-1])
+        blobs = [packed(values[at[k] : at[k + 1]] - edges[k]) for k in some.tolist()]
+        return pa.record_batch([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "slots"])
+
+    def run(batches):
+        held, size = [], 0
+        for x in batches:
+            keys = x.column(0).flatten().to_numpy(zero_copy_only=False)
+            held.append(keys.view(np.uint64) >> np.uint64(64 - _SLOT_BITS))
+            size += len(keys)
+            if size >= _SLOTS:
+                yield out(held)
+                held, size = [], 0
+        if size:
+            yield out(held)
+
+    return run
+
+
+def _repeated(parts: int):
+    """All rows (part, packed slots) of some parts to the slots that come more than once."""
+
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        for x in batches:
+            for part, blob in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                held.setdefault(part, []).append(blob)
+        while held:
+            part, blobs = held.popitem()
+            values = np.sort(np.concatenate([unpacked(b) for b in blobs]))
+            first = np.uint64(((part << _SLOT_BITS) + parts - 1) // parts)
+            yield pa.record_batch([pa.array(kernels.signed(np.unique(values[1:][values[1:] == values[:-1]]) + first))], names=["slot"])
+
+    return run
+
+
+def shared_rows(candidates: DataFrame) -> DataFrame:
+    """Rows (key, node, ...) of the candidates (keys, node, ...) but for keys that come once only: all rows of the others,
+    and a few more.
+
+    The plan of the candidates is run twice. What is shuffled is packed slots, the first bits of the keys; their repeats
+    go to all executors as the bitmap of ``likely``.
+    """
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = candidates.select("keys").mapInArrow(_pack(parts), "part int, slots binary")
+    repeats = stage(sent.repartitionById(parts, F.col("part")).mapInArrow(_repeated(parts), "slot long"), "slots")
+    rows = candidates.select(F.explode("keys").alias("key"), *[c for c in candidates.columns if c != "keys"])
+    rows = rows.withColumn("slot", F.shiftrightunsigned("key", 64 - _SLOT_BITS))
+    rows = stage(likely(rows, repeats, "slot").drop("slot"), "candidates")
+    drop(repeats)
+    return rows
+
+
 def may_be_similar(n: np.ndarray, m: np.ndarray, differ: np.ndarray, num: int, den: int) -> np.ndarray:
     """False only where den * |A & B| >= num * |A | B| is impossible, given sizes and a lower bound of |A ^ B|."""
     return (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (differ * (num + den) <= (den - num) * (n + m))
@@ -283,8 +370,9 @@ def link(
 ) -> DataFrame:
     """Components of the graph that links sets of a common signature with den * |A & B| >= num * |A | B|.
 
-    candidates ``(key long, node long[, own boolean])``: own is false for a set that is in a bucket only to meet others
-    that are there on their own account; two such guests need not be compared. Without that column none is a guest. Repeated rows are fine; the plan of the
+    candidates ``(keys array<long>, node long[, own boolean])``: keys are signatures, hashes whose first bits are spread
+    evenly; own is false for a set that is in these buckets only to meet others that are there on their own account; two
+    such guests need not be compared. Without that column none is a guest. Repeated rows are fine; the plan of the
     candidates is run twice and must name the same sets each time. meta ``(node long, n long, sketch binary)`` has one
     row for each node, or is None to be derived from the features of the nodes that share a signature; ``fetch(nodes)``
     gives ``(node long, feats)``, one row for each of the nodes asked for, which ``sets`` turns into their sorted
@@ -294,13 +382,14 @@ def link(
     spark = candidates.sparkSession
     ship(spark)
     guests = "own" in candidates.columns
+    candidates = shared_rows(candidates)
     own = F.max("own") if guests else F.lit(True)
     met = candidates.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("far"), F.count("*").alias("met"), *([own.alias("any")] if guests else []))
     keys = stage(met.where("low <> far and any" if guests else "low <> far").select("key", "met"), "keys")
     # an inner join: the optimizer would move a semi-join below the bitmap
     found = likely(candidates, keys, "key").join(keys, "key")
     shared = stage(found.groupBy("key", "node").agg(F.max("met").alias("met"), *([own.alias("own")] if guests else [])).withColumn("own", F.col("own") if guests else own), "shared")
-    drop(keys)
+    drop(keys, candidates)
     kept = None
     if meta is None:
         nodes = stage(shared.select("node").distinct(), "nodes")

@@ -175,7 +175,7 @@ def _sign(width, num, den):
                 if len(seen) < _SEEN:
                     seen.add(mark)
                 for own, k in zip((True, False), signatures(values[a:b], mixed[a:b], num, den), strict=True):
-                    out.append((k, np.full(len(k), one[i]), np.full(len(k), two[i]), np.full(len(k), own)))
+                    out.append((k, one[i], two[i], own))
                     held += len(k)
                 if held >= _ROWS:
                     yield _rows(out)
@@ -187,8 +187,10 @@ def _sign(width, num, den):
 
 
 def _rows(out):
-    key, one, two, own = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.record_batch([pa.array(kernels.signed(x)) for x in (key, one, two)] + [pa.array(own)], names=["key", "h1", "h2", "own"])
+    keys, one, two, own = zip(*out, strict=True)
+    offsets = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(kernels.signed(np.concatenate(keys))))
+    return pa.record_batch([lists, *(pa.array(kernels.signed(np.array(x, np.uint64))) for x in (one, two)), pa.array(own)], names=["keys", "h1", "h2", "own"])
 
 
 def _features(width):
@@ -221,8 +223,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     node = F.when(F.col("h1").isin(twice), F.xxhash64("h1", "h2")).otherwise(F.col("h1")) if twice else F.col("h1")
     sets = filled.select(node.alias("node"), "doc", "mark", "n", "sketch")
     classes = stage(sets.groupBy("node").agg(F.min(F.struct("doc", "mark")).alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    signed = slim.select("doc", "mark", "text").mapInArrow(_sign(width, num, den), "key long, h1 long, h2 long, own boolean")
-    candidates = signed.select("key", node.alias("node"), "own")
+    signed = slim.select("doc", "mark", "text").mapInArrow(_sign(width, num, den), "keys array<long>, h1 long, h2 long, own boolean")
+    candidates = signed.select("keys", node.alias("node"), "own")
 
     def fetch(nodes: DataFrame) -> DataFrame:
         places = nodes.join(classes, "node").select(F.col("place.doc").alias("doc"), F.col("place.mark").alias("mark")).distinct()

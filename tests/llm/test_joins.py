@@ -288,3 +288,55 @@ def test_range_join_of_nothing(spark):
     assert vecjoin.near_duplicates(empty).collect() == []
     same = spark.createDataFrame([(None, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1)], "vec_id bigint, embedding array<float>, label int")
     assert sorted(map(tuple, vecjoin.near_duplicates(same.withColumn("node", F.lit("x"))).collect()), key=repr) == [(2, 2, None, False), (2, 2, None, False), (None, 2, None, True)]
+
+
+@pytest.mark.parametrize("parts", [1, 7, 51])
+def test_packed_slots_show_every_repeat(monkeypatch, parts):
+    monkeypatch.setattr(linkage, "_SLOTS", 4000)
+    rng = np.random.default_rng(5)
+    low = np.uint64(64 - linkage._SLOT_BITS)
+    keys = rng.integers(0, 2**64 - 1, 20_000, dtype=np.uint64, endpoint=True)
+    keys = rng.permutation(np.concatenate([keys, keys[:300], np.repeat(keys[300:302], 900), np.array([0, 0, 2**64 - 1, 2**64 - 1], np.uint64)]))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, len(keys) // 8).astype(np.int32)), pa.array(kernels.signed(keys)))
+    batch = pa.record_batch([lists], names=["keys"])
+    sent = list(linkage._pack(parts)(batch.slice(i, 1) for i in range(len(lists))))
+    found = [x for out in linkage._repeated(parts)(iter(sent)) for x in out.column(0).to_pylist()]
+    slots, times = np.unique(keys[: len(keys) // 8 * 8] >> low, return_counts=True)
+    assert sorted(found) == slots[times > 1].tolist()
+    assert list(linkage._pack(parts)(iter([]))) == [] == list(linkage._repeated(parts)(iter([])))
+
+
+def test_rows_of_shared_keys_are_all_kept(spark):
+    rng = random.Random(12)
+    word = lambda: rng.randrange(-(2**63), 2**63)
+    common = [word() for _ in range(200)]
+    rows = [([word() for _ in range(9)] + rng.sample(common, k % 3), k, bool(k % 2)) for k in range(2000)] + [([], 2000, True)]
+    rows += rows[:20]
+    kept = [(r.key, r.node, r.own) for r in linkage.shared_rows(spark.createDataFrame(rows, "keys array<long>, node long, own boolean").repartition(5)).collect()]
+    times = {}
+    for keys, _, _ in rows:
+        for x in keys:
+            times[x] = times.get(x, 0) + 1
+    given = [(x, node, own) for keys, node, own in rows for x in keys]
+    assert sorted(x for x in kept if times[x[0]] > 1) == sorted(x for x in given if times[x[0]] > 1)
+    assert len([x for x in kept if times[x[0]] == 1]) < 0.3 * len(given)
+
+
+def shuffled(spark):
+    """Bytes of shuffle files that each stage wrote, as far as the session remembers them."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_lines_that_stand_alone_shuffle_few_bytes(spark):
+    rng = random.Random(13)
+    rows = [(k, "\n".join(" ".join(words(rng, 8, 10**6)) for _ in range(50))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2).cache()
+    docs.count()
+    before = shuffled(spark)
+    assert linededup.line_classes(docs).where("kept").count() == 6000
+    docs.unpersist()
+    sent = sum(n for k, n in shuffled(spark).items() if k > max(before))
+    assert 0 < sent < 150 * 6000  # the 12 signatures of a line take some 40 of them
