@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
-from ledgerloom.llm.linkage import link, small_lists, unused
+from ledgerloom.llm.linkage import flagged, likely, link, shared_rows, small_lists, unused
 from ledgerloom.llm.ngramjoin import NO_ID
 from ledgerloom.plans.runtime import drop, ship, stage
 
@@ -206,6 +206,22 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"), text.alias("text"))
 
 
+def _shared_signatures(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ``shared_rows`` (key, node) of the classes, each signed from one task only as a rule.
+
+    Copies of a line that lie in several tasks are signed in each. Rows of a class that may be one of these, by a bitmap,
+    go on where a second bitmap may hold their task as the signer of their class. It holds the signer of every class that
+    the first one lets through, so no class goes without its signatures; a few may come more than once.
+    """
+    again = classes.where("again").select("node")
+    signers = stage(likely(classes.select("node", "signer"), again, "node").select(F.xxhash64("node", "signer").alias("signing")), "signers")
+    rows = signed.where("bands is not null").select(F.col("bands").alias("keys"), F.col("h1").alias("node"), F.xxhash64("h1", "part").alias("signing"))
+    rows = flagged(flagged(rows, again, "node", "again"), signers, "signing", "chosen").where("not again or chosen")
+    found = shared_rows(rows.select("keys", "node"))
+    drop(signers)
+    return found
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per non-blank line: ``(doc, mark, line, first_doc, first_mark, first_line, kept)``.
 
@@ -218,31 +234,38 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     ship(spark)
     slim = _slim(docs, id_col, text_col)
-    found = stage(slim.mapInArrow(_sign, "doc long, mark long, line long, h1 long, h2 long, bands array<long>"), "lines")
-    place = F.struct("doc", "mark", "line")
-    classes = found.groupBy(F.col("h1").alias("node")).agg(
-        F.min(place).alias("first"), F.max(place).alias("last"), F.min("h2").alias("lo"), F.max("h2").alias("hi")
+    signed = slim.mapInArrow(_sign, "doc long, mark long, line long, h1 long, h2 long, bands array<long>")
+    signed = stage(signed.withColumn("part", F.spark_partition_id()), "signed")
+    place, signer = F.struct("doc", "mark", "line"), F.when(F.col("bands").isNotNull(), F.col("part"))
+    classes = signed.groupBy(F.col("h1").alias("node")).agg(
+        F.min(place).alias("first"), F.max(place).alias("last"), F.min("h2").alias("lo"), F.max("h2").alias("hi"), F.min(signer).alias("signer"), F.max(signer).alias("other")
     )
-    classes = stage(classes.where("lo = hi").select("node", "first", "last"), "classes")
-    candidates = found.where("bands is not null").select(F.col("bands").alias("keys"), F.col("h1").alias("node"))
+    classes = classes.where("lo = hi").select("node", "first", (F.col("first") != F.col("last")).alias("several"), "signer", (F.col("signer") != F.col("other")).alias("again"))
+    classes = stage(classes, "classes")
+    rows = _shared_signatures(signed, classes)
+    found = stage(signed.select("doc", "mark", "line", "h1"), "lines")  # without the signatures, most of its bytes
+    drop(signed)
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        places = nodes.join(classes, "node").select(F.xxhash64("first.doc", "first.mark").alias("place"), F.col("first.line").cast("int").alias("line"))
+        places = likely(classes, nodes, "node").join(nodes, "node").select(F.xxhash64("first.doc", "first.mark").alias("place"), F.col("first.line").cast("int").alias("line"))
         places = stage(places.groupBy("place").agg(F.collect_list("line").alias("wanted")), "places")
         rows = slim.select(F.xxhash64("doc", "mark").alias("place"), "text").join(small_lists(places, "wanted"), "place")
         # lines are named by their text, so a place too many does no harm
         return rows.select("wanted", "text").mapInArrow(_wanted, "node long, feats binary").dropDuplicates(["node"])
 
-    roots = link(candidates, None, fetch, NUM, DEN, line_sets)
-    grouped = classes.join(roots, "node", "left").where("first <> last or root is not null")
-    grouped = grouped.select("node", "first", F.coalesce("root", "node").alias("root"))
+    roots = link(rows, None, fetch, NUM, DEN, line_sets)
+    # only rows that a join may change go through it; the bitmaps let a few more come along
+    grouped = flagged(classes, roots, "node", "linked").where("several or linked").join(roots, "node", "left").where("several or root is not null")
+    grouped = stage(grouped.select("node", "first", F.coalesce("root", "node").alias("root")), "grouped")
     keepers = stage(grouped.groupBy("root").agg(F.min("first").alias("keeper")), "keepers")
     shared = stage(grouped.join(keepers, "root").select(F.col("node").alias("h1"), "keeper"), "shared")
-    rows = found.select("doc", "mark", "line", "h1").join(shared, "h1", "left")
-    keeper = F.coalesce("keeper", place)
+    rows = flagged(found, shared, "h1", "met")
+    alone = rows.where("not met").select("doc", "mark", "line", place.alias("keeper"))
+    rows = rows.where("met").join(shared, "h1", "left").select("doc", "mark", "line", F.coalesce("keeper", place).alias("keeper")).union(alone)
+    keeper = F.col("keeper")
     out = rows.select("doc", "mark", "line", keeper["doc"].alias("first_doc"), keeper["mark"].alias("first_mark"), keeper["line"].alias("first_line"), (keeper == place).alias("kept"))
     result = stage(out, "line_classes")
-    drop(found, classes, roots, keepers, shared)
+    drop(found, classes, roots, grouped, keepers, shared)
     return result
 
 

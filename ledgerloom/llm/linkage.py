@@ -38,6 +38,8 @@ SEAT, SEAT_FEATURES = 4096, 1 << 20
 _BLOCK = 1024
 #: Bits of a signature's slot, and slots that a task sorts at a time.
 _SLOT_BITS, _SLOTS = 40, 1 << 20
+#: A bitmap has at most two to this many bits: 16 MB.
+_MAP_BITS = 27
 #: Members up to which buckets are compared many at once.
 _SMALL = 64
 
@@ -65,17 +67,29 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _tagged(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the place of their ``column`` in a bitmap, and the words of the bitmap of ``keys``, 16 MB at most."""
+    bits = min(_MAP_BITS, max(12, int(8 * keys.count()).bit_length()))
+    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    words = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.withColumn("_word", word).withColumn("_bit", bit), F.broadcast(words)
+
+
 def likely(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` may be in ``keys``, by a bitmap of at most 16 MB that goes to every executor.
 
     It only spares rows the way through a join: where the bitmap is too small for the keys, it lets more through.
     """
-    bits = min(27, max(12, int(8 * keys.count()).bit_length()))
-    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
-    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    words = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    tagged = rows.withColumn("_word", word).withColumn("_bit", bit)
-    return tagged.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+    tagged, words = _tagged(rows, keys, column)
+    return tagged.join(words, "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+
+
+def flagged(rows: DataFrame, keys: DataFrame, column: str, flag: str) -> DataFrame:
+    """All rows, with ``flag`` true for those that ``likely`` keeps: where it is false, ``column`` is surely not in ``keys``."""
+    tagged, words = _tagged(rows, keys, column)
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return tagged.join(words, "_word", "left").withColumn(flag, hit).drop("_word", "_bit", "_bits")
 
 
 # --- slots: which signatures may be of several sets, for some bytes a signature
@@ -145,11 +159,11 @@ def _repeated(parts: int):
 
 
 def shared_rows(candidates: DataFrame) -> DataFrame:
-    """Rows (key, node, ...) of the candidates (keys, node, ...) but for keys that come once only: all rows of the others,
-    and a few more.
+    """Rows (key, node, ...), staged, of the candidates (keys array<long>, node, ...) but for keys that come once only: all
+    rows of the others, and a few more. Keys are hashes whose first bits are spread evenly.
 
-    The plan of the candidates is run twice. What is shuffled is packed slots, the first bits of the keys; their repeats
-    go to all executors as the bitmap of ``likely``.
+    The plan of the candidates is run twice and must name the same sets each time. What is shuffled is packed slots, the
+    first bits of the keys; their repeats go to all executors as the bitmap of ``likely``.
     """
     parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = candidates.select("keys").mapInArrow(_pack(parts), "part int, slots binary")
@@ -352,16 +366,17 @@ def _forest(num: int, den: int, sets: Sets):
     return run
 
 
-def _dealt(rows: DataFrame, parts: DataFrame, payload: str) -> DataFrame:
-    """Rows at their cells, sorted by them: ``parts`` (key, parts) says how many seats a bucket has."""
-    seated = rows.join(parts, "key").withColumn("seat", F.pmod(F.xxhash64("node"), F.col("parts")))
+def _dealt(rows: DataFrame, parts: DataFrame, sets: DataFrame, payload: str) -> DataFrame:
+    """Rows at their cells, sorted by them: ``parts`` (key, parts) says how many seats a bucket has, ``sets`` (node, ...)
+    brings the payload, which joins after the seats so that it is shuffled to the cells only."""
+    seated = rows.join(parts, "key").withColumn("seat", F.pmod(F.xxhash64("node"), F.col("parts"))).join(sets, "node")
     met = seated.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select("key", F.least("seat", "other").alias("a"), F.greatest("seat", "other").alias("b"), "seat", "node", "root", "own", "n", payload)
     return met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
 
 def link(
-    candidates: DataFrame,
+    rows: DataFrame,
     meta: DataFrame | None,
     fetch: Callable[[DataFrame], DataFrame],
     num: int,
@@ -370,26 +385,23 @@ def link(
 ) -> DataFrame:
     """Components of the graph that links sets of a common signature with den * |A & B| >= num * |A | B|.
 
-    candidates ``(keys array<long>, node long[, own boolean])``: keys are signatures, hashes whose first bits are spread
-    evenly; own is false for a set that is in these buckets only to meet others that are there on their own account; two
-    such guests need not be compared. Without that column none is a guest. Repeated rows are fine; the plan of the
-    candidates is run twice and must name the same sets each time. meta ``(node long, n long, sketch binary)`` has one
+    rows ``(key long, node long[, own boolean])`` are the ``shared_rows`` of the candidates, and are dropped here: own is
+    false for a set that is in these buckets only to meet others that are there on their own account; two such guests need
+    not be compared. Without that column none is a guest. Repeated rows are fine. meta ``(node long, n long, sketch binary)`` has one
     row for each node, or is None to be derived from the features of the nodes that share a signature; ``fetch(nodes)``
     gives ``(node long, feats)``, one row for each of the nodes asked for, which ``sets`` turns into their sorted
     distinct 64-bit features: the bytes of those, unless ``sets`` says otherwise.
     Returns ``(node, root)`` for nodes that have a link; root is the least node of the component.
     """
-    spark = candidates.sparkSession
-    ship(spark)
-    guests = "own" in candidates.columns
-    candidates = shared_rows(candidates)
+    ship(rows.sparkSession)
+    guests = "own" in rows.columns
     own = F.max("own") if guests else F.lit(True)
-    met = candidates.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("far"), F.count("*").alias("met"), *([own.alias("any")] if guests else []))
+    met = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("far"), F.count("*").alias("met"), *([own.alias("any")] if guests else []))
     keys = stage(met.where("low <> far and any" if guests else "low <> far").select("key", "met"), "keys")
     # an inner join: the optimizer would move a semi-join below the bitmap
-    found = likely(candidates, keys, "key").join(keys, "key")
+    found = likely(rows, keys, "key").join(keys, "key")
     shared = stage(found.groupBy("key", "node").agg(F.max("met").alias("met"), *([own.alias("own")] if guests else [])).withColumn("own", F.col("own") if guests else own), "shared")
-    drop(keys, candidates)
+    drop(keys, rows)
     kept = None
     if meta is None:
         nodes = stage(shared.select("node").distinct(), "nodes")
@@ -410,13 +422,12 @@ def link(
     placed = shared.join(roots, "node", "left").select("key", "node", "own", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / SEAT).cast("long").alias("parts"))
     split = stage(split.where("lo <> hi").select("key", "parts"), "open")
-    in_open = likely(placed, split, "key").join(meta, "node")
-    alive = _dealt(in_open, split, "sketch").mapInArrow(_survivors(num, den), "key long, node long, root long, own boolean, n long")
+    alive = _dealt(likely(placed, split, "key"), split, meta, "sketch").mapInArrow(_survivors(num, den), "key long, node long, root long, own boolean, n long")
     alive = stage(alive.distinct(), "alive")
     seats = alive.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SEAT), F.ceil(F.sum("n") / SEAT_FEATURES)).cast("long").alias("parts"))
     nodes = stage(alive.select("node").distinct(), "wanted")
     feats = kept if kept is not None else stage(fetch(nodes), "feats")
-    second = _dealt(alive.join(feats, "node"), seats, "feats").mapInArrow(_forest(num, den, sets), "a long, b long")
+    second = _dealt(alive, seats, feats, "feats").mapInArrow(_forest(num, den, sets), "a long, b long")
     second = stage(second.distinct(), "links")
     final = roots if second.isEmpty() else components(first.union(second))
     drop(shared, split, alive, nodes, feats, first, second, *([meta] if kept is not None else []), *([roots] if final is not roots else []))

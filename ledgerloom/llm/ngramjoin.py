@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernels
 from ledgerloom.llm.components import components
-from ledgerloom.llm.linkage import link, small, unused
+from ledgerloom.llm.linkage import link, shared_rows, small, unused
 from ledgerloom.plans.runtime import drop, ship, stage
 
 #: Stands for a null id inside the operator; such documents are one vertex below all others.
@@ -231,7 +231,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = slim.join(small(places), ["doc", "mark"], "left_semi").select("doc", "mark", "text").mapInArrow(_features(width), "h1 long, h2 long, feats binary")
         return found.select(node.alias("node"), "feats").dropDuplicates(["node"])
 
-    roots = link(candidates, classes.select("node", "n", "sketch"), fetch, num, den)
+    roots = link(shared_rows(candidates), classes.select("node", "n", "sketch"), fetch, num, den)
     rooted = sets.select("node", "doc").join(roots, "node", "left").select("doc", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "rooted")
     # an id with texts in several components holds these together

@@ -340,3 +340,45 @@ def test_lines_that_stand_alone_shuffle_few_bytes(spark):
     docs.unpersist()
     sent = sum(n for k, n in shuffled(spark).items() if k > max(before))
     assert 0 < sent < 150 * 6000  # the 12 signatures of a line take some 40 of them
+
+
+@pytest.mark.parametrize("bits", [27, 8, 6])
+def test_copies_in_several_tasks_are_signed_once_at_least(spark, monkeypatch, bits):
+    monkeypatch.setattr(linkage, "_MAP_BITS", bits)
+    kept = []
+    monkeypatch.setattr(linededup, "shared_rows", lambda candidates: kept.append(candidates.collect()) or linkage.shared_rows(candidates))
+    rng = random.Random(14)
+    hot = [" ".join(words(rng, 9, 10**6)) for _ in range(150)]
+    near = [f"{x} more" for x in hot[:60]]
+    rows = [(k, "\n".join(rng.sample(hot + near, 60) + [" ".join(words(rng, 9, 10**6)) for _ in range(6)])) for k in range(40)]
+    found = linededup.line_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()
+    forms = {(d, i): x for d, t in rows for i, x in enumerate(t.split("\n"))}
+    first = {}
+    for place, x in sorted(forms.items()):
+        first.setdefault(x.removesuffix(" more"), place)
+    assert {(r.doc, r.line): (r.first_doc, r.first_line) for r in found} == {p: first[x.removesuffix(" more")] for p, x in forms.items()}
+    nodes = [r.node for r in kept[0]]
+    assert len(set(nodes)) == len(set(forms.values()))
+    if bits == 27:
+        assert len(nodes) < 1.5 * len(set(nodes))  # over 3 times as many without the choice
+
+
+def test_copies_in_many_tasks_shuffle_few_bytes(spark):
+    rng = random.Random(15)
+    text = "\n".join(" ".join(words(rng, 8, 10**6)) for _ in range(2000))
+    docs = spark.createDataFrame([(k, text) for k in range(8)], "doc_id bigint, text string").repartition(8).cache()
+    docs.count()
+    before = shuffled(spark)
+    assert linededup.line_classes(docs).where("kept").count() == 2000
+    docs.unpersist()
+    sent = sum(n for k, n in shuffled(spark).items() if k > max(before))
+    assert 0 < sent < 100 * 16_000  # 142 bytes a line with the signatures of all copies, 60 without
+
+
+def test_flagged_rows_miss_no_key(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "_MAP_BITS", 13)
+    rows, keys = spark.range(-3000, 3000).toDF("x"), spark.range(0, 3000, 7).toDF("x")
+    found = linkage.flagged(rows, keys, "x", "hit").collect()
+    assert sorted(r.x for r in found) == list(range(-3000, 3000))
+    assert {r.x for r in found if r.hit} >= set(range(0, 3000, 7)) and sum(r.hit for r in found) < 1500
+    assert not any(r.hit for r in linkage.flagged(rows, keys.limit(0), "x", "hit").collect())
