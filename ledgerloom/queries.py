@@ -559,7 +559,8 @@ def _(spark, sf_dir):
 
 @query("address_balance_distinct", f"WITH {_OUTPUTS}, {_ASKED} SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS balance FROM outputs JOIN asked USING (address) WHERE NOT spent")
 def _(spark, sf_dir):
-    return address.balance(_unspent(spark, sf_dir), address.limited(_wanted(spark, sf_dir)))
+    # all addresses of the table; the limit of a client's request (address.limited) is none of the log's
+    return address.balance(_unspent(spark, sf_dir), _wanted(spark, sf_dir))
 
 
 @query("address_utxos", f"WITH {_OUTPUTS}, {_ASKED} SELECT height, CAST(0 AS BIGINT) AS tx_index, txid, CAST(0 AS BIGINT) AS out_index, address, value FROM outputs JOIN asked USING (address) WHERE NOT spent AND height >= 250 ORDER BY height LIMIT 100")

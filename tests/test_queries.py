@@ -28,3 +28,10 @@ def test_whole_table_queries_have_every_height(spark, name):
     """sf0.01 ends with a complete range, so all of its 15 ranges are packed too."""
     sf_dir = "/root/testdata/sf0.01"
     assert QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count() == 15_000
+
+
+def test_balance_counts_more_addresses_than_a_request_may_list(spark, tmp_path):
+    ids = spark.range(1, 31_001)
+    ids.selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    ids.where("id > 30000").selectExpr("id AS o_orderkey", "id AS o_custkey", "IF(id % 2 = 0, 'F', 'O') AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    assert_same(spark, str(tmp_path), QUERIES["address_balance_distinct"], SQL["address_balance_distinct"])
