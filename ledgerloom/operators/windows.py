@@ -34,14 +34,19 @@ def _ahead(totals: DataFrame, columns: Sequence[str], by: str, size: int) -> Dat
     return within.join(tops, "_u").select(by, *[(F.col(f"_w_{c}") + F.col(f"_t_{c}")).alias(f"_a_{c}") for c in columns])
 
 
-def running_sums(rows: DataFrame, columns: dict[str, str], order: str = "height", size: int = RANGE_SIZE) -> DataFrame:
-    """``rows`` with, for each ``source: target``, the sum of source over all rows up to this one."""
-    ranked = rows.withColumn("_g", _group(order, size))
-    totals = ranked.groupBy("_g").agg(*[F.sum(c).cast("bigint").alias(c) for c in columns])
-    ahead = _ahead(totals, list(columns), "_g", size)
+def running_sums(rows: DataFrame, columns: dict[str, str], order: str = "height", size: int = RANGE_SIZE, group: str | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """``rows`` with, for each ``source: target``, the sum of source over all rows up to this one.
+
+    ``group`` names a column that holds a row's group, ``order // size``, already: rows that are dealt by it stay where
+    they are. ``totals`` are rows ``(order, *sources)`` with the same sums by group, where these are cheaper to make.
+    """
+    ranked = rows.withColumn("_g", F.col(group) if group else _group(order, size))
+    counted = ranked if totals is None else totals.withColumn("_g", _group(order, size))
+    sums = counted.groupBy("_g").agg(*[F.sum(c).cast("bigint").alias(c) for c in columns])
+    ahead = _ahead(sums, list(columns), "_g", size)
     own = _until_now("_g", order)
-    sums = {target: (F.col(f"_a_{source}") + F.sum(source).over(own)).cast("bigint") for source, target in columns.items()}
-    return ranked.join(ahead, "_g").withColumns(sums).drop("_g", *[f"_a_{c}" for c in columns])
+    sums = {target: (F.coalesce(F.col(f"_a_{source}"), F.lit(0)) + F.sum(source).over(own)).cast("bigint") for source, target in columns.items()}
+    return ranked.join(ahead, "_g", "left").withColumns(sums).drop("_g", *[f"_a_{c}" for c in columns])
 
 
 def with_previous(rows: DataFrame, columns: Sequence[str], order: str = "height", size: int = RANGE_SIZE) -> DataFrame:

@@ -62,14 +62,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers with what each block adds to the pools and the cumulative sizes."""
-    return windows.running_sums(derive.added(spark, sf_dir), _SIZE_OF)
+    return derive.named(windows.running_sums(derive.counts(spark, sf_dir), _SIZE_OF))
+
+
+def dealt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested blocks with cumulative sizes taken from what their transactions hold, dealt by their ``range_id``."""
+    placed = derive.placed_blocks(spark, sf_dir)
+    counted = placed.withColumns(project.additions(F.col("vtx")))
+    totals = derive.counts(spark, sf_dir).select("height", *SHIELDED)
+    return derive.named_blocks(windows.running_sums(counted, _SIZE_OF, group="range_id", totals=totals), *SHIELDED, *_SIZES, "range_id")
 
 
 def sized_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested blocks with cumulative sizes taken from what their transactions hold."""
-    nested = derive.nested_blocks(spark, sf_dir)
-    counted = nested.withColumns(project.additions(F.col("vtx")))
-    return windows.running_sums(counted, _SIZE_OF)
+    return dealt_blocks(spark, sf_dir).drop("range_id")
 
 
 def _tip(spark: SparkSession, sf_dir: str) -> int:
