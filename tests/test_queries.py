@@ -55,6 +55,11 @@ def test_nested_blocks_move_once_and_without_hashes(spark, sf_dir, name):
     assert sum("Exchange" in x for x in lines) == 1
 
 
+@pytest.mark.parametrize("name", ["blob_roundtrip", "wire_roundtrip"])
+def test_round_trips_move_blocks_once_and_without_hashes(spark, sf_dir, name):
+    _blocks_move_once(QUERIES[name](spark, sf_dir))
+
+
 def test_blocks_of_odd_tables(spark, tmp_path):
     """Line items without an order or a line number, orders without items or a date, and an order that stands twice."""
     from ledgerloom.plans import derive

@@ -226,3 +226,52 @@ def test_manifest_entries_name_what_is_wrong():
             entry(good | change)
     with pytest.raises(IntegrityError, match="entry_missing_field"):
         entry({k: v for k, v in good.items() if k != "sapling"})
+
+
+def test_no_blob_is_staged_and_no_block_is_put_in_order_again(spark, monkeypatch):
+    """checked_ranges writes entries alone; store_install and store_reorganised write blocks where they are made."""
+    from ledgerloom.plans import runtime
+    from ledgerloom.queries import QUERIES
+
+    staged, sealed, stage, write = [], [], runtime.stage, Store._write
+    monkeypatch.setattr(runtime, "stage", lambda df, label: staged.append(label) or stage(df, label))
+
+    def recorded(self, df, name, **options):
+        sealed.extend([df._jdf.queryExecution().executedPlan().toString()] if name == "sealed" else [])
+        assert not options.get("by_range") or df.count() <= 2000  # the branch of a reorganisation, not the log
+        return write(self, df, name, **options)
+
+    monkeypatch.setattr(Store, "_write", recorded)
+    for name in ("checked_ranges", "store_install", "store_reorganised"):
+        QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert staged == ["entries", "entries"] and len(sealed) == 3
+    assert "rangepartitioning" not in "".join(sealed) and "sha2(" in sealed[0]
+
+
+def test_install_refuses_a_blob_that_changed_after_its_check(spark, tmp_path):
+    files, entries = packed(spark, 0, 1999)
+    checked = blobs.CheckedRanges.check(files, entries)
+    checked.packed = files.withColumn("blob", F.when(F.col("start_height") == 1000, F.concat("blob", F.lit(b"x"))).otherwise(F.col("blob")))
+    store = Store(spark, str(tmp_path))
+    with pytest.raises(Exception, match="blob_digest"):
+        store.install(store.snapshot(), checked)
+    checked.packed = files.where("start_height = 0")
+    with pytest.raises(IntegrityError, match="continuity"):
+        store.install(store.snapshot(), checked)
+    assert store.snapshot().generation == 0
+
+
+def test_dealt_batches_are_stored_like_others(spark, tmp_path):
+    dealt = lambda df: df.withColumn("range_id", F.floor(F.col("height") / RANGE_SIZE)).repartition("range_id")
+    one, two = Store(spark, str(tmp_path / "one")), Store(spark, str(tmp_path / "two"))
+    with pytest.raises(IntegrityError, match="range_id"):
+        one.append(one.snapshot(), dealt(chain(spark, 0, 10)).withColumn("range_id", F.col("range_id") + 1))
+    with pytest.raises(IntegrityError, match="continuity"):
+        one.append(one.snapshot(), dealt(chain(spark, 0, 3000).withColumn("prev_hash", F.when(F.col("height") == 7, F.lit("f" * 64)).otherwise(F.col("prev_hash")))))
+    s, t = one.snapshot(), two.snapshot()
+    for low, high in ((0, 3209), (3210, 5300)):
+        s, t = one.append(s, dealt(chain(spark, low, high))), two.append(t, chain(spark, low, high))
+    s, t = (store.replace_deep(x, 1500, chain(spark, 1501, 4000, "b", 1500)) for store, x in ((one, s), (two, t)))
+    rows = lambda x: sorted(x.blocks().collect(), key=lambda r: r.height)
+    assert rows(s) == rows(t) and (s.tip, s.state["sealed_through"]) == (t.tip, t.state["sealed_through"]) == (4000, 2999)
+    assert sorted(s.hash_index.collect()) == sorted(t.hash_index.collect()) and s.sealed.count() == t.sealed.count() == 3000
